@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import line_dedup, near_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filters": url_filter.op2_url_filters,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_output": token_files.op5_token_output,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": url_filter.ORACLE_OP2, "op7_line_dedup": line_dedup.ORACLE_OP7}
