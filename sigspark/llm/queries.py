@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, token_files, url_filter
+from . import decontaminate, line_dedup, near_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_output": token_files.op5_token_output,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_decontamination": decontaminate.op8_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filter.ORACLE_OP2, "op7_line_dedup": line_dedup.ORACLE_OP7}
+    return {"op2_url_filters": url_filter.ORACLE_OP2, "op7_line_dedup": line_dedup.ORACLE_OP7, "op8_decontamination": decontaminate.ORACLE_OP8}
