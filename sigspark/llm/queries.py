@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, token_files, url_filter
+from . import decontaminate, language_id, line_dedup, near_dedup, secret_scan, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_output": token_files.op5_token_output,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
