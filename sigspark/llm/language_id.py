@@ -99,15 +99,19 @@ class Space:
         letters = np.arange(ALPHABET * dimensions, dtype=np.uint64)
         self.letters = (1 - 2 * (mix(letters, seed) >> np.uint64(63)).astype(np.int8)).reshape(ALPHABET, dimensions)
         self.row = np.full(ALPHABET**3, -1, np.int32)
-        self.vectors = np.zeros((0, dimensions), np.float32)
+        self.vectors = np.zeros((1024, dimensions), np.float32)
+        self.used = 0
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         new = grams[self.row[grams] < 0]
         if len(new):
             a, b, c = new // ALPHABET**2, new // ALPHABET % ALPHABET, new % ALPHABET
             made = np.roll(self.letters[a], 2, 1) * np.roll(self.letters[b], 1, 1) * self.letters[c]
-            self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
-            self.vectors = np.concatenate((self.vectors, made.astype(np.float32)))
+            while self.used + len(new) > len(self.vectors):
+                self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
+            self.row[new] = np.arange(self.used, self.used + len(new))
+            self.vectors[self.used : self.used + len(new)] = made
+            self.used += len(new)
         return self.vectors[self.row[grams]]
 
 

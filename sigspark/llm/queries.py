@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, near_dedup, secret_scan, token_files, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, near_dedup, secret_scan, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_url_filters": url_filter.op2_url_filters,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_output": token_files.op5_token_output,
