@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, near_dedup, secret_scan, token_files, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dedup, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_url_filters": url_filter.op2_url_filters,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_output": token_files.op5_token_output,
+        "op6_mixing": mixing.op6_mixing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_language_id": language_id.op9_language_id,
