@@ -6,8 +6,7 @@
    member only, so a bucket of any size makes no more pairs than it has members.
 3. Signature batches of a pair are compared one after another; a pair is pruned as soon as the posterior chance
    that its similarity reaches the threshold, given the matches so far and a uniform prior, is below the miss probability.
-4. Survivors are verified on their full sets, the likeliest partner of each text first; those whose ends are then
-   connected already need no more work, the others are verified too.
+4. Each text's likeliest survivor is verified on the full sets; these links give first components.
 5. Buckets whose members are still in several components are compared across components, in blocks of bounded size,
    pruned and verified as before. So only links that change no component are left unlooked at.
 """
@@ -17,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +27,7 @@ from .textblock import NOT_SPACE, Chunk, chunks, mix, prefix_sums, shingles, spa
 BANDS, ROWS = 25, 5
 N_HASHES = BANDS * ROWS
 BATCH = 25
-BLOCK = 512
+BLOCK = 256
 _A = mix(np.arange(N_HASHES, dtype=np.uint64), 21) | np.uint64(1)
 _B = mix(np.arange(N_HASHES, dtype=np.uint64), 22)
 
@@ -121,6 +119,14 @@ def survivors(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float)
     return full.mapInArrow(run, "a long, b long, matches long")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets that aren't empty."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -135,10 +141,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                good = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3))):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+                good = [alike(x, y, percent) for x, y in zip(sets(part.column(2)), sets(part.column(3)))]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -146,27 +149,62 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return full.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, reps: DataFrame, label: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(a, b, matches) of unpruned pairs of one bucket and different components, by blocks of members."""
-    least = least_matches(threshold, miss)
+def across(members: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """(a, b): verified links between the components of each bucket, by blocks of its members.
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(block["sig"]), "<u4").reshape(-1, N_HASHES)
-        rep, comp, side = block["rep"].to_numpy(), block["component"].to_numpy(), block["chunk"].to_numpy()
-        lone = block["i"].iat[0] == block["j"].iat[0]
-        found = []
+    A pair is looked at in the first band it shares and nowhere else, pruned by its signatures, and verified on the full
+    sets within the block; pairs whose components the block has joined already are passed over. So a block
+    returns fewer links than it has members, however many pairs it holds.
+    """
+    least = least_matches(percent / 100, miss)
+
+    def run(block: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u4").reshape(-1, N_HASHES)
+        rep, comp, side = (block.column(n).to_numpy() for n in ("rep", "component", "chunk"))
+        band, lone = block.column("band")[0].as_py(), block.column("i")[0].as_py() == block.column("j")[0].as_py()
+        bands = sig.reshape(-1, BANDS, ROWS)
+        left, right, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in range(len(rep)):
             y = np.flatnonzero((comp != comp[x]) & ((rep > rep[x]) if lone else (side > side[x])))
             keep, count = prune(np.broadcast_to(sig[x], (len(y), N_HASHES)), sig[y], least)
-            found.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y[keep]]), "b": np.maximum(rep[x], rep[y[keep]]), "matches": count}))
-        return pd.concat(found)
-
-    named = members.join(label.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+            y = y[keep]
+            mine = (bands[y] == bands[x]).all(2).argmax(1) == band
+            left.append(np.full(int(mine.sum()), x))
+            right.append(y[mine])
+            same.append(count[mine])
+        x, y, count = np.concatenate(left), np.concatenate(right), np.concatenate(same)
+        order = np.argsort(-count, kind="stable")
+        some, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+        column = block.column("text").combine_chunks().take(pa.array(some))
+        sets = []
+        for chunk in chunks(column):
+            h, bound = shingle_sets(chunk, size)
+            sets += [h[i:j] for i, j in zip(bound[:-1].tolist(), bound[1:].tolist())]
+        root = {int(c): int(c) for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for k in order.tolist():
+            p, q = top(int(comp[x[k]])), top(int(comp[y[k]]))
+            if p != q:
+                u, v = sets[at[k]], sets[at[len(x) + k]]
+                if alike(u, v, percent):
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(rep[x[k]]))
+                    b.append(int(rep[y[k]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    named = members.join(label.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("k"))
     cut = named.join(mixed.hint("merge"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), "k"))
-    blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("bucket", "rep", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    full = blocks.join(reps.select("rep", "sig").hint("merge"), "rep")
-    return full.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long, matches long").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("bucket", "band", "rep", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    carried = reps.select("rep", "sig").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    return blocks.join(carried.hint("merge"), "rep").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -184,34 +222,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     reps = scratch.save(sigs.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "reps")
     rows = 4 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substr(F.col("sig"), j * rows + 1, F.lit(rows))))
-    buckets = reps.select("rep", F.explode(band).alias("bucket"))
+    buckets = reps.select("rep", F.posexplode(band).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("bucket", "pivot")
     members = scratch.save(buckets.join(shared.hint("merge"), "bucket"), "members")
+    texts = scratch.save(_plain(docs).join(members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id"), "texts")
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     live = scratch.save(survivors(pairs, reps, threshold, miss), "live")
-    ids = live.select(F.col("a").alias("doc_id")).union(live.select("b")).distinct()
-    texts = scratch.save(_plain(docs).join(ids.hint("shuffle_hash"), "doc_id"), "texts")
     first = live.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = scratch.save(verified(first, texts, size, percent), "links1")
     label = components(links, scratch, "c1")
-
-    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        of = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
-        known = pairs.join(of["a"].hint("merge"), "a", "left").join(of["b"].hint("merge"), "b", "left")
-        return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = scratch.save(apart(live, label).join(first.hint("merge"), ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = links.union(scratch.save(verified(rest, texts, size, percent), "links2"))
-        label = components(links, scratch, "c2")
-    tried = live.select("a", "b")
-    late = scratch.save(across(members, reps, label, threshold, miss).join(tried.hint("merge"), ["a", "b"], "left_anti"), "late")
+    late = scratch.save(across(members, reps, texts, label, size, percent, miss), "links2")
     if late.limit(1).count():
-        ids = late.select(F.col("a").alias("doc_id")).union(late.select("b")).distinct()
-        texts = _plain(docs).join(ids.hint("shuffle_hash"), "doc_id")
-        links = links.union(scratch.save(verified(late, texts, size, percent), "links3"))
-        label = components(links, scratch, "c3")
-    scratch.drop("members", "live", "texts", "rest", "late")
+        label = components(links.union(late), scratch, "c2")
+    scratch.drop("members", "live", "texts")
     named = reps.select("n", "d1", "d2", "rep").join(label.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(named.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
