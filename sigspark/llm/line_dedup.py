@@ -12,34 +12,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def lowered(text: Column) -> Column:
+    """A-Z lowered and nothing else; lower() does just that where every character is ASCII, and is faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key; null where the key is too short to count."""
-    key = line_key(line)
-    hashed = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-    return F.when(F.length(key) >= min_chars, hashed) if min_chars else hashed
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, key, lines) per row: a hash of the text, and for each line 128 bits of its key; null for a short key."""
+    text = F.coalesce("text", F.lit(""))
+    keys = F.transform(F.split(lowered(text), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
+    hashed = F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
+    return docs.select("doc_id", F.xxhash64(text).alias("key"), hashed.alias("lines"))
 
 
-def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs with lines (array) and their key hashes (array, null for short keys)."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    return docs.withColumn("_lines", lines).withColumn("_keys", F.transform("_lines", lambda x: _hash(x, min_chars)))
-
-
-def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n_docs) of keys found in at least min_docs distinct documents. The distinct (key, document) pairs are
-    counted in two steps, so a line of a third of all documents is no single task. Rows without doc_id count as one."""
-    seen = split_lines(docs, min_chars).select("doc_id", F.explode(F.array_distinct("_keys")).alias("k")).where("k is not null")
-    pairs = seen.select("k.h1", "k.h2", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")).distinct()
-    return pairs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+def common_lines(hashed: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2) of keys found in at least min_docs distinct documents. The distinct (key, document) pairs are counted in
+    two steps, so a line of a third of all documents is no single task. Rows without doc_id count as one document."""
+    seen = hashed.select("doc_id", F.explode(F.array_distinct("lines")).alias("k")).where("k is not null")
+    pairs = seen.select("k.h1", "k.h2", "doc_id").distinct()
+    return pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs(doc_id, text) with columns n_lines (before), n_dropped and kept (text without its common lines) added to
-    doc_id.
+    """doc_id, n_lines (before), n_dropped and kept (the text without its common lines) per row of docs(doc_id, text).
 
     A null or empty text is one empty line, and stays unless min_chars is 0. All lines of a common key go, in every
     document, whichever stands first. Repeated rows are one document in the count and each gives a result; a text
@@ -47,16 +42,18 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     """
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    common = scratch.save(common_lines(plain, min_docs, min_chars).select("h1", "h2"), "common")
-    hashes = split_lines(plain, min_chars).select("doc_id", F.explode(F.array_distinct("_keys")).alias("k")).where("k is not null").select("doc_id", "k.h1", "k.h2")
-    hits = hashes.join(common.hint("merge"), ["h1", "h2"])
-    drops = scratch.save(hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")), "drops")
-    marked = split_lines(plain, min_chars).withColumnRenamed("doc_id", "_id").join(drops.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(F.col("_id").alias("doc_id"), "_lines", "_keys", "_drop")
-    gone = F.transform("_keys", lambda k: k.isNotNull() & F.coalesce(F.array_contains(F.col("_drop"), k), F.lit(False)))
-    flagged = marked.select("doc_id", "_lines", F.when(F.col("_drop").isNotNull(), gone).alias("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.get("_gone", i)), "\n"))
-    n_dropped = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(F.filter("_gone", lambda g: g)))
-    return flagged.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), kept.alias("kept"))
+    hashed = scratch.save(line_hashes(plain, min_chars), "hashed")
+    common = scratch.save(common_lines(hashed, min_docs), "common")
+    places = hashed.select("doc_id", "key", F.posexplode("lines").alias("pos", "k")).where("k is not null").select("doc_id", "key", "pos", "k.h1", "k.h2")
+    hits = places.join(common.hint("merge"), ["h1", "h2"])
+    drops = scratch.save(hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("pos").alias("_drop")), "drops")
+    scratch.drop("hashed")
+    text = F.coalesce("text", F.lit(""))
+    told = plain.select("doc_id", text.alias("text")).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_dropped = F.coalesce(F.size("_drop"), F.lit(0))
+    return told.select("doc_id", n_lines.cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left).alias("kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
