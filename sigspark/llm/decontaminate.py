@@ -265,15 +265,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     exceeds max_coverage goes altogether. Clean rows are unchanged; n_chars, where there is one, follows the text."""
     found = contamination(docs, benchmark, window).where("n_hit > 0").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n_words", "n_hit", F.col("spans").alias("_spans"))
     found = Scratch(docs.sparkSession, "decontaminate").save(found, "found")
-    marked = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
-    text = F.col("text").cast("string")
+    # The row is one column here, so none of its names can clash with those of the marks.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    text = F.col("_row.text").cast("string")
+    marked = rows.join(found.hint("shuffle_hash"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     gaps = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_spans"), i - 1)["stop"]).alias("a"), F.when(i == F.size("_spans"), F.length(text)).otherwise(F.get(F.col("_spans"), i)["start"]).alias("b")))
     clean = F.array_join(F.transform(gaps, lambda g: F.substr(text, g["a"] + 1, g["b"] - g["a"])), "")
-    kept = marked.where(F.col("_id").isNull() & F.col("_key").isNull() | (F.col("n_hit") <= max_coverage * F.col("n_words")))
-    out = kept.withColumn("text", F.when(F.col("_key").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_key").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    kept = marked.where(F.col("_key").isNull() | (F.col("n_hit") <= max_coverage * F.col("n_words")))
+    hit = F.col("_key").isNotNull()
+    new = {"text": F.when(hit, clean).otherwise(text), "n_chars": F.when(hit, F.length(clean).cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from .textblock import NOT_SPACE, chunks, prefix_sums, span_hashes, words
 
 BUCKETS = 1 << 16
 #: Labelled rows of each domain in the sample, and the longest text taken into it (in characters).
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 
 
 @dataclass
@@ -175,5 +175,5 @@ def repeat_by_rate(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     """docs with each row as often as its copies say; all columns stay."""
     copies = mixed(docs, labelled, targets, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
     copies = Scratch(docs.sparkSession, "mixing").save(copies, "copies")
-    told = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return told.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    told = docs.select(F.struct(*docs.columns).alias("_row")).join(copies.hint("shuffle_hash"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return told.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
