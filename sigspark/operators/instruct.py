@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rnd import md5_key, uniform
 from ..functions.text import word_count
+from .sampling import numbered
 
 IGNORE = -100
 
@@ -77,7 +78,7 @@ def pad_batch(df: DataFrame, batch: str, key: str, ids: str, labels: str, pad_id
 
 def length_order(df: DataFrame, key: str, length: str, megabatch: int, seed: int) -> DataFrame:
     """megabatch and place: rows in seeded order, cut into megabatches, each sorted by length from long to short."""
-    told = df.withColumn("_r", F.row_number().over(Window.orderBy(md5_key(seed, key), key)) - 1)
+    told = numbered(df, md5_key(seed, key), "_r", [key])
     told = told.withColumn("megabatch", F.floor(F.col("_r") / megabatch))
     return told.withColumn("place", F.row_number().over(Window.partitionBy("megabatch").orderBy(F.col(length).desc(), key)) - 1).drop("_r")
 

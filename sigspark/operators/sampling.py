@@ -9,6 +9,31 @@ from ..functions.rnd import md5_key, uniform
 from .metrics import group_weights
 
 
+def numbered(df: DataFrame, key: Column, name: str, ties: list[str | Column] = (), buckets: int = 64) -> DataFrame:
+    """df with name: each row's number from 0 in the order of key (a number, or the hex text of md5_key), then ties.
+
+    No single task orders all rows: they are cut to buckets in order (at approximate quantiles, or by the first two hex digits),
+    the buckets' counts give where each one starts, and rows are numbered within buckets.
+    """
+    told = df.withColumn("_k", key)
+    if dict(told.dtypes)["_k"] == "string":
+        bucket = F.conv(F.substring("_k", 1, 2), 16, 10).cast("int")
+    else:
+        cuts = told.agg(F.percentile_approx(F.col("_k").cast("double"), [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
+        bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), lambda c: c <= F.col("_k").cast("double"))) if cuts else F.lit(0)
+    told = told.withColumn("_b", bucket)
+    start, at = {}, 0
+    for r in sorted(told.groupBy("_b").count().collect(), key=lambda r: (r["_b"] is not None, r["_b"] or 0)):  # as many rows as buckets
+        start[r["_b"]] = at
+        at += r["count"]
+    offset = F.lit(start.get(None, 0))
+    for b, n in start.items():
+        if b is not None:
+            offset = F.when(F.col("_b") == b, F.lit(n)).otherwise(offset)
+    number = F.row_number().over(Window.partitionBy("_b").orderBy("_k", *ties)) - 1
+    return told.withColumn(name, (number + offset).cast("long")).drop("_k", "_b")
+
+
 def limit_per_group(df: DataFrame, group: list[str], n: int, key: str, seed: int | None = None) -> DataFrame:
     """The first n rows of each group by key, or n seeded ones."""
     order = F.col(key) if seed is None else md5_key(seed, key)
@@ -44,10 +69,9 @@ def split_modulo(index: str, every: int = 10) -> Column:
 
 
 def split_tail(df: DataFrame, key: str, share: float) -> DataFrame:
-    """train for the first floor(share * n) rows by key. The cut is found from counts by key, without numbering every row."""
+    """train for the first floor(share * n) rows by key."""
     n = df.count()
-    cut = df.orderBy(key).limit(int(n * share)).agg(F.max(key).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(key) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    return numbered(df, F.col(key), "_i").withColumn("split", F.when(F.col("_i") < int(n * share), "train").otherwise("test")).drop("_i")
 
 
 def sample_fraction(df: DataFrame, group: list[str], key: str, share: float, seed: int) -> DataFrame:
@@ -59,10 +83,10 @@ def sample_fraction(df: DataFrame, group: list[str], key: str, share: float, see
 
 def draw_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """draws rows, each any row of df with equal chance: draw i takes the row whose number by key is hash(i) mod n."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = numbered(df, F.col(key), "_i")
     n = df.count()
-    picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(uniform(seed, "id") * n).cast("int").alias("_i"))
-    return picks.join(numbered, "_i").drop("_i")
+    picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(uniform(seed, "id") * n).cast("long").alias("_i"))
+    return picks.join(rows, "_i").drop("_i")
 
 
 def first_per(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -83,8 +107,7 @@ def expand_repeats(df: DataFrame, n: int) -> DataFrame:
 def dense_relabel(df: DataFrame, label: str, order: str) -> DataFrame:
     """Labels numbered from 0 by their first row in order. Numbers are given over distinct labels, not over rows."""
     firsts = df.groupBy(label).agg(F.min(order).alias("_f"))
-    numbered = firsts.withColumn("new_label", (F.row_number().over(Window.orderBy("_f", label)) - 1).cast("int")).drop("_f")
-    return df.join(numbered, label)
+    return df.join(numbered(firsts, F.col("_f"), "new_label", [label]).withColumn("new_label", F.col("new_label").cast("int")).drop("_f"), label)
 
 
 def sample_weights(df: DataFrame, group: str, key: str) -> DataFrame:

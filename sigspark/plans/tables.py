@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.rnd import md5_key, uniform
 from ..operators import clean, instruct, metrics, sampling, windows
+from ..sources.store import missing_keys
 from .registry import Tables, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -51,12 +52,11 @@ def _(t):
     return t.documents.select("doc_id", lines.alias("l")).where("size(l) > 0").select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
 
 
-@query("s20_embed_cache", "SELECT DISTINCT md5(source || '/' || lang) AS k FROM documents WHERE md5(source || '/' || lang) NOT IN (SELECT md5(source || '/' || lang) FROM documents WHERE doc_id % 50 = 0)")
+@query("s20_embed_cache", "SELECT DISTINCT md5(text) AS k FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
 def _(t):
-    """Keys not yet in the cache, each once."""
-    keys = t.documents.select("doc_id", F.md5(F.concat("source", F.lit("/"), "lang")).alias("k"))
-    cached = keys.where("doc_id % 50 = 0").select("k").distinct()
-    return keys.select("k").distinct().join(cached, "k", "left_anti")
+    """Keys not yet in the cache (here: labelled texts), each once."""
+    keys = t.documents.select("doc_id", F.md5("text").alias("k"))
+    return missing_keys(keys, "k", keys.join(t.labels.select("doc_id"), "doc_id", "left_semi"))
 
 
 @query("s21_trial_part", "SELECT event_id, t, t // 8 AS window_no FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE t >= floor(n * 0.6) AND t < floor(n * 0.8)")
@@ -183,7 +183,7 @@ def _(t):
 
 @query("j4_zip_join", "SELECT doc_id, item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) USING (r)")
 def _(t):
-    r = lambda df, key: df.select(key, F.row_number().over(Window.orderBy(key)).alias("r"))
+    r = lambda df, key: sampling.numbered(df.select(key), F.col(key), "r")
     return r(t.documents, "doc_id").join(r(t.benchmark, "item_id"), "r").select("doc_id", "item_id")
 
 
@@ -362,15 +362,15 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber").orderBy("l_orderkey", "l_linenumber").limit(3000)
 
 
-@query("o5_union_all", "SELECT o_orderkey, 'a' AS part FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_orderkey % 3 = 0")
+@query("o5_union_all", "SELECT o_orderkey, 'a' AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_totalprice > 100000")
 def _(t):
-    part = lambda n, p: t.orders.where(F.col("o_orderkey") % n == 0).select("o_orderkey", F.lit(p).alias("part"))
-    return part(2, "a").unionByName(part(3, "b"))
+    part = lambda where, p: t.orders.where(where).select("o_orderkey", F.lit(p).alias("part"))
+    return part("o_orderstatus = 'O'", "a").unionByName(part("o_totalprice > 100000", "b"))
 
 
-@query("o6_set_difference", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)")
+@query("o6_set_difference", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def _(t):
-    gone = t.supplier.where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    gone = t.supplier.where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
     return t.nation.join(gone, "n_nationkey", "left_anti").select("n_name")
 
 

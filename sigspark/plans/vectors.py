@@ -14,7 +14,7 @@ R = lambda c, n=6: F.round(c, n)
 
 
 def _long(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(name).alias("pos", "v")).select(*keys, "pos", R(F.col("v")).alias("v"))
+    return df.select(*keys, F.posexplode(name).alias("pos", "v")).select(*keys, "pos", (R(F.col("v")) + 0.0).alias("v"))
 
 
 _PROTO = """
@@ -57,11 +57,11 @@ def _(t):
     return ranked(t, 5).select("vec_id", "class", "rank", R("sim").alias("sim"))
 
 
-@query("r1_topk_by_type", """WITH g AS (SELECT vec_id AS gid, label, label % 4 AS type, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0),
+@query("r1_topk_by_type", """WITH g AS (SELECT vec_id AS gid, label, label % 4 AS type, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id, gid, list_cosine_similarity(q.embedding::DOUBLE[], e) AS sim FROM embeddings q, g WHERE type = 2)
 SELECT vec_id, gid, rank::INT AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, gid) AS rank FROM s) WHERE rank <= 3""")
 def _(t):
-    g = t.embeddings.where("vec_id % 5 = 0").select(F.col("vec_id").alias("gid"), (F.col("label") % 4).alias("type"), F.col("embedding").alias("g"))
+    g = t.embeddings.select(F.col("vec_id").alias("gid"), (F.col("label") % 4).alias("type"), F.col("embedding").alias("g"))
     out = retrieval.topk_by_type(t.embeddings.select("vec_id", "embedding"), g, 2, 3, "embedding", "g", ["vec_id"], "type", ["gid"])
     return out.select("vec_id", "gid", "rank", R("sim").alias("sim"))
 
@@ -258,7 +258,7 @@ def _(t):
 
 
 def _per_value(name: str, f, sql: str):
-    query(name, f"SELECT vec_id, unnest(range(0, len(x)))::INT AS pos, round(unnest(x), 6) AS v FROM (SELECT vec_id, {sql} AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))")(lambda t: _long(t.embeddings.select("vec_id", f(F.col("embedding")).alias("x")), "x", "vec_id"))
+    query(name, f"SELECT vec_id, unnest(range(0, len(x)))::INT AS pos, round(unnest(x), 6) + 0.0 AS v FROM (SELECT vec_id, {sql} AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))")(lambda t: _long(t.embeddings.select("vec_id", f(F.col("embedding")).alias("x")), "x", "vec_id"))
 
 
 _per_value("n1_l2_normalize", vec.l2_normalize, "list_transform(e, lambda v: v / greatest(sqrt(list_dot_product(e, e)), 1e-12))")
@@ -449,7 +449,7 @@ def _(t):
 
 
 @query("c5_retrieve_context", f"""WITH {_PROTO}, h AS (SELECT vec_id, class, class % 3 AS type, rank FROM ranked WHERE rank <= 4),
-l AS (SELECT vec_id, type, 'If task is ' || type || ': ' || string_agg(class::VARCHAR, ' | ' ORDER BY rank) AS t FROM h GROUP BY ALL)
+l AS (SELECT vec_id, type, 'If task is ' || type || ': ' || string_agg(class::VARCHAR, ' | ' ORDER BY rank) AS t FROM h GROUP BY vec_id, type)
 SELECT vec_id, string_agg(t, chr(10) ORDER BY o) AS context FROM (SELECT *, md5(concat_ws('|', '21', vec_id, type)) AS o FROM l) GROUP BY vec_id""")
 def _(t):
     h = ranked(t, 4).withColumn("type", F.col("class") % 3)
