@@ -14,3 +14,9 @@ def md5_key(seed: int | str, *keys: Column | str) -> Column:
 def uniform(seed: int | str, *keys: Column | str) -> Column:
     """A number in [0, 1) from the first eight hex digits of md5_key."""
     return F.conv(F.substring(md5_key(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def gaussian(seed: int | str, *keys: Column | str) -> Column:
+    """A standard normal number of the keys, from two uniform ones."""
+    u, v = uniform(f"{seed}a", *keys), uniform(f"{seed}b", *keys)
+    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(F.lit(2 * 3.141592653589793) * v)
