@@ -346,20 +346,22 @@ def write_blocks(tokens: DataFrame, codebook: list[int]) -> DataFrame:
 
 
 def read_blocks(blocks: DataFrame, codebook: list[int], starts: DataFrame) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, from the blocks alone."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, from the blocks alone. Payloads are decoded where they are read;
+    only the documents' numbers are joined with the blocks' starts."""
     id_of = np.array(codebook or [0], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, sizes, payload, start in zip(*(batch.column(i) for i in range(4))):
+            for shard, block, keys, sizes, payload in zip(*batch.columns):
                 ids = id_of[unpack(payload.as_buffer().to_pybytes())]
                 n = np.array(sizes.as_py(), np.int64)
                 end = np.cumsum(n)
                 crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(end.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(start.as_py() + end - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = [pa.array([v.as_py()] * len(n), t) for v, t in ((shard, pa.int32()), (block, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*at, keys.values, pa.array(end - n), pa.array(n), pa.array(crc, pa.int64())], ["shard", "block", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    placed = blocks.join(starts.hint("merge"), ["shard", "block"]).select("doc_ids", "doc_sizes", "payload", "start")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = blocks.select("shard", "block", "doc_ids", "doc_sizes", "payload").mapInArrow(run, "shard int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    return found.join(starts.hint("merge"), ["shard", "block"]).select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
