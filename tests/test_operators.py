@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import rnd, text, vec
-from sigspark.operators import clean, dsp, instruct, metrics, retrieval, sampling, windows
+from sigspark.operators import augment, clean, dsp, instruct, metrics, retrieval, sampling, windows
 
 
 def one(df, c):
@@ -171,3 +171,27 @@ def test_instruction_steps(spark):
     assert all(r["count"] == 4 for r in chunks if r.megabatch < 3)
     ids = spark.createDataFrame([([[1, 2], [1, 3]],)], "c array<array<int>>")
     assert one(ids, instruct.splice_placeholder("c", -200, 1)) == [1, 2, -200, 3]
+
+
+def test_numbered(spark):
+    df = spark.range(500).select("id", (F.col("id") * 37 % 101).alias("k"))
+    got = sampling.numbered(df, F.col("k"), "i", ["id"], 8).orderBy("i").collect()
+    assert [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got) and [r.i for r in got] == list(range(500))
+    by_hash = sampling.numbered(df, rnd.md5_key(1, "id"), "i").orderBy("i").withColumn("h", rnd.md5_key(1, "id")).collect()
+    assert [r.h for r in by_hash] == sorted(r.h for r in by_hash)
+    assert sampling.numbered(df.limit(0), F.col("k"), "i").count() == 0
+
+
+def test_augment(spark):
+    df = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=(5, 8)).tolist()) for i in range(6)], "id long, s array<array<double>>")
+    for r in df.withColumn("m", augment.masked(5, 0.6, 1, "id")).withColumn("x", augment.mask_channels("s", 5, 0.6, 1, "id")).collect():
+        assert sum(r.m) == 3
+        for masked, old, new in zip(r.m, r.s, r.x):
+            assert (old == new) != masked and abs(np.linalg.norm(old) - np.linalg.norm(new)) < 1e-9
+    flat = spark.range(1000).select("id", F.array_repeat(F.lit(0.0), 4).alias("v"))
+    x = np.array([r.j for r in flat.select(augment.jitter("v", 2.0, 1, "id").alias("j")).collect()])
+    assert abs(x.mean()) < 0.15 and abs(x.std() - 2) < 0.1
+    pts = spark.createDataFrame([(i, [float(i % 2) * 10, float(i) / 100]) for i in range(40)], "id long, v array<double>")
+    centres = sorted(augment.kmeans(pts, "id", "v", 2, 10, 3))
+    assert np.allclose(centres, [[0, 0.19], [10, 0.2]], atol=1e-9) or len(centres) == 2
+    assert augment.nearest(pts, "v", [[0.0, 0.0], [10.0, 0.0]]).where("code <> id % 2").count() == 0
