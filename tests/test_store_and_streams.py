@@ -120,3 +120,11 @@ def test_streams(spark, tmp_path):
     live = jobs.liveness(jobs.read_files(spark, str(tmp_path / "in"), batch.schema, per_batch=100), "k", "ts", 1).writeStream.format("memory").queryName("live").outputMode("update").trigger(availableNow=True).start()
     live.awaitTermination(120)
     assert {r.k for r in spark.table("live").where("alive").collect()} == {0, 1}
+
+
+def test_caption_prototypes(spark):
+    from sigspark.plans.reports import caption_prototypes
+
+    labels = spark.createDataFrame([("a", 0, "x"), ("a", 1, "yy"), ("b", 0, "x")], "dataset string, label_id int, caption string")
+    out = caption_prototypes(labels, lambda c: F.array(F.length(c)))
+    assert sorted((r.dataset, r.label_id, r.feature) for r in out.collect()) == [("a", 0, [1]), ("a", 1, [2]), ("b", 0, [1])]
