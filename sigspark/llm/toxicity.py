@@ -26,7 +26,7 @@ from .scratch import Scratch
 from .textblock import ALNUM, Chunk, Words, chunks, mix, prefix_sums, span_hashes, words
 
 #: Sample sizes by class, and the longest text taken into it (in characters).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 9000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 5000, 20_000
 PREFIXES = (4, 5, 6)
 SEGMENT = 24
 TABLE = 1 << 20
@@ -174,76 +174,91 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return max(float(b[0]), 0.0), float(b[1])
 
 
-def first_of_copies(words_of: list[np.ndarray], bands: int = 6, rows: int = 4) -> np.ndarray:
-    """Indices of texts that share no MinHash band of their words with an earlier one: a copied text's rare words
-    would else look like signs of its label."""
-    seen: set[tuple] = set()
-    out = []
-    for i, h in enumerate(words_of):
-        low = [mix(h, 70 + j).min() if len(h) else 0 for j in range(bands * rows)]
-        keys = [(b, *map(int, low[b * rows : (b + 1) * rows])) for b in range(bands)]
-        if not seen.intersection(keys):
-            out.append(i)
-        seen.update(keys)
-    return np.array(out, np.int64)
+def copy_keys(words_of: np.ndarray, bands: int = 6, rows: int = 4) -> set[tuple]:
+    """MinHash bands of a text's words. A copied text's rare words would look like signs of its label, so the fit takes
+    only texts that share no band with an earlier one."""
+    low = [int(mix(words_of, 70 + j).min()) if len(words_of) else 0 for j in range(bands * rows)]
+    return {(b, *low[b * rows : (b + 1) * rows]) for b in range(bands)}
 
 
-def fit(texts: list[str], toxic: list[int]) -> Field:
-    """A field from a sample of labelled texts without their copies; a fifth is kept for the logistic function."""
-    feats: list[np.ndarray] = []
+def _texts(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, features of its tokens) of each text, chunk by chunk."""
     for chunk in chunks(pa.array(texts, pa.string())):
         w = words(chunk, ALNUM)
         h = token_features(chunk, w)
-        feats += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-    single = first_of_copies([np.unique(x[:, 0]) for x in feats])
-    feats, y_doc = [feats[i] for i in single], np.array(toxic, np.int64)[single]
-    held = np.arange(len(feats)) % 5 == 4
-    fitting = np.flatnonzero(~held)
-    n1, n0 = int(y_doc[fitting].sum()), int((1 - y_doc[fitting]).sum())
-    empty = Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), 1.0, 0.0)
-    if not n1 or not n0:
-        return empty
-    own = [np.unique(feats[i]) for i in fitting]
-    both = np.concatenate(own)
-    is_toxic = np.repeat(y_doc[fitting], [len(x) for x in own])
-    names, slot = np.unique(both, return_inverse=True)
-    a = np.bincount(slot, is_toxic, len(names))
-    n = np.bincount(slot, minlength=len(names))
+        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist()), chunk.first):
+            yield i, h[a:b]
+
+
+def select_features(by_class: list[tuple[np.ndarray, np.ndarray]], n1: int, n0: int) -> np.ndarray:
+    """Features (sorted) of which more texts are toxic than chance would give. by_class: (features, texts that have them)
+    of toxic and of clean texts; n1, n0: numbers of those texts."""
+    names, a = by_class[0]  # a feature that no toxic text has can't be picked
+    n = a.copy()
+    if len(by_class[1][0]):
+        at = np.minimum(np.searchsorted(by_class[1][0], names), len(by_class[1][0]) - 1)
+        n += np.where(by_class[1][0][at] == names, by_class[1][1][at], 0)
     share, rate = n1 / (n1 + n0), a / n
-    # Log of the chance (Chernoff's bound) that so many of a feature's documents are toxic, against as many features.
+    # Log of the chance (Chernoff's bound) that so many of a feature's texts are toxic, against as many features.
     with np.errstate(divide="ignore", invalid="ignore"):
         chance = n * (rate * np.log(rate / share) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0))
-    pick = (chance >= np.log(len(names)) - 2) & (rate >= 0.8) & (names != 0)
-    field = Field(names[pick], np.zeros(int(pick.sum())), -4.0, np.zeros((2, 2)), 1.0, 0.0)
+    return names[(chance >= np.log(len(names) + len(by_class[1][0])) - 2) & (rate >= 0.8) & (names != 0)]
+
+
+def fit(texts: list[str], toxic: list[int]) -> Field:
+    """A field from a sample of labelled texts without their copies; a fifth is kept for the logistic function. The sample
+    is read twice, chunk by chunk: once for the features, once for the segments that train the chain."""
+    use: dict[int, bool] = {}  # index of a text taken: whether it is kept for the logistic function
+    seen: set[tuple] = set()
+    parts: list[list[np.ndarray]] = [[], []]
+    for i, x in _texts(texts):
+        keys = copy_keys(np.unique(x[:, 0]))
+        if not seen.intersection(keys):
+            use[i] = len(use) % 5 == 4
+            if not use[i]:
+                parts[0 if toxic[i] else 1].append(np.unique(x))
+        seen.update(keys)
+    n1, n0 = len(parts[0]), len(parts[1])
+    field = Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), 1.0, 0.0)
+    if not n1 or not n0:
+        return field
+    by_class = []
+    for part in parts:
+        both = np.concatenate(part)
+        part.clear()
+        by_class.append(np.unique(both, return_counts=True))
+    field.features = select_features(by_class, n1, n0)
+    del by_class, both, seen
+    field.weights = np.zeros(len(field.features))
     if not len(field.features):
         return field
     table = field.table()
-    ids = [field.ids(x, table) for x in feats]
-    xs, ys, lens = [], [], []
+    xs, ys, lens, proof = [], [], [], []
     width = 1 + len(PREFIXES)
     rng = np.random.default_rng(3)
-    for i in fitting:
-        got = ids[i]
-        if not len(got):
+    for i, x in _texts(texts):
+        if i not in use or not len(x):
             continue
-        label = (got >= 0).any(1) & bool(y_doc[i])
+        got = field.ids(x, table)
         hot = np.flatnonzero((got >= 0).any(1))
+        if use[i]:
+            proof.append((hot, got[hot], len(x), int(toxic[i])))
+            continue
         starts = {max(0, int(k) - int(rng.integers(SEGMENT))) for k in hot[:: max(1, len(hot) // 4)][:6]} | {int(rng.integers(len(got)))}
         for s in starts:
             part = got[s : s + SEGMENT]
-            x = np.full((SEGMENT, width), -1, np.int32)
-            x[: len(part)] = part
-            v = np.zeros(SEGMENT, np.int64)
-            v[: len(part)] = label[s : s + SEGMENT]
-            xs.append(x)
-            ys.append(v)
+            ids = np.full((SEGMENT, width), -1, np.int32)
+            ids[: len(part)] = part
+            label = np.zeros(SEGMENT, np.int64)
+            label[: len(part)] = (part >= 0).any(1) & bool(toxic[i])
+            xs.append(ids)
+            ys.append(label)
             lens.append(len(part))
     valid = np.arange(SEGMENT) < np.array(lens)[:, None]
     field.weights, field.bias, field.transitions = fit_chain(np.stack(xs), np.stack(ys), valid, len(field.features))
     power = field.plain_power()
-    proof = np.flatnonzero(held)
-    found = np.array([evidence(field.marginals(k := np.flatnonzero((ids[i] >= 0).any(1)), field.scores_of(ids[i][k]), len(ids[i]), power)) if (ids[i] >= 0).any() else evidence(np.zeros(0)) for i in proof])
-    field.slope, field.offset = fit_logistic(found, y_doc[proof])
+    found = [evidence(field.marginals(hot, field.scores_of(ids), n, power) if len(hot) else np.zeros(0)) for hot, ids, n, _ in proof]
+    field.slope, field.offset = fit_logistic(np.array(found), np.array([y for *_, y in proof]))
     return field
 
 
