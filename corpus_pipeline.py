@@ -17,7 +17,7 @@ TARGETS = {"good": 0.9, "plain": 0.1}
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.3 or more go. The field is trained on labelled rows of docs."""
-    field = toxicity.fit(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    field = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject_toxic(docs, field, 0.3)
 
 

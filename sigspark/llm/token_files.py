@@ -72,8 +72,8 @@ class Tokeniser:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(4 * CACHE_ENTRIES, np.uint64)  # open addressing; 0 is free
-        self.slots = np.zeros(4 * CACHE_ENTRIES, np.int32)
+        self.keys = np.zeros(2 * CACHE_ENTRIES, np.uint64)  # open addressing; 0 is free
+        self.slots = np.zeros(2 * CACHE_ENTRIES, np.int32)
         self.pool = np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = self.count = 0
         self.begin = np.zeros(CACHE_ENTRIES, np.int32)

@@ -13,6 +13,7 @@ that chose no feature, of the expected number of toxic tokens among those with f
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -262,16 +263,26 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     return field
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most SAMPLE_TOXIC and SAMPLE_CLEAN texts of labels(doc_id, toxic), the first by a hash of doc_id; a doc_id
-    labelled twice takes the larger label."""
+def learn(docs: DataFrame, labels: DataFrame) -> Field:
+    """A field fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN texts of labels(doc_id, toxic), the first by a hash of
+    doc_id; a doc_id labelled twice takes the larger label. The bounded sample is fitted in one task; only the field comes
+    to the driver."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = Scratch(docs.sparkSession, "toxicity").save(known, "labels")
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     ids = F.broadcast(known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN)))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(ids, "doc_id").orderBy(order, "doc_id", "text").select("text", "toxic").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).toArrow()
-    return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
+    rows = texts.join(ids, "doc_id").orderBy(order, "doc_id", "text").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, toxic = [], []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, toxic))], pa.binary())], ["field"])
+
+    made = rows.mapInArrow(run, "field binary").collect()
+    return pickle.loads(bytes(made[0]["field"])) if made else fit([], [])
 
 
 def toxicity(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
@@ -349,7 +360,7 @@ def held_out(doc_id: str):
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id"))
-    field = fit(*sample(docs, labels))
+    field = learn(docs, labels)
     out = toxicity(docs, field, 0.3)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", spans.alias("spans"))

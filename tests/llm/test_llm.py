@@ -320,7 +320,7 @@ def test_toxicity(spark, docs, empty):
     rows = [(i, prose(rng, 40) + (" " + rng.choice(bad) + " " + prose(rng, 10) + " " + rng.choice(bad) if i % 4 == 0 else "")) for i in range(800)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(5000, None), (None, 1), (3, 0)], "doc_id long, toxic int")
-    field = toxicity.fit(*toxicity.sample(d, labels))
+    field = toxicity.learn(d, labels)
     got = {r.doc_id: r for r in toxicity.toxicity(d, field).collect()}
     test = [got[i] for i in range(600, 800)]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in test) >= 196
@@ -331,7 +331,7 @@ def test_toxicity(spark, docs, empty):
     hard = toxicity.toxicity(docs, field).collect()
     assert len(hard) == docs.count() and all(0 <= r.score <= 1 and not r.predicted for r in hard)
     assert toxicity.reject_toxic(docs, field).columns == docs.columns and toxicity.toxicity(empty, field).count() == 0
-    unlabelled = toxicity.fit(*toxicity.sample(d, labels.limit(0)))
+    unlabelled = toxicity.learn(d, labels.limit(0))
     assert toxicity.toxicity(docs, unlabelled).count() == docs.count()
 
 
