@@ -3,12 +3,15 @@
 1. Equal vectors are one class; its smallest vec_id stands for it.
 2. A coarse quantiser and residual codebooks are fitted on a bounded sample. Every class goes to the list of its
    nearest centroid, with the codes of its residual (one byte a subspace) and the length of the coding error.
-3. Every class probes its nearest lists. A list's entries are ranked by asymmetric distance (table look-ups of the
-   exact query against the codes); an entry is dropped only if that distance less its coding error exceeds the
-   largest distance of a link, which loses no link. What stays is judged by the exact cosine in double precision.
-4. Lists and their probes are cut into blocks of bounded size, so a list of a third of all vectors is many
-   small tasks. A block returns one row a vector: its links counted, and its component within the block; pairs are never
-   written out. Components of blocks join into those of the table.
+3. Neighbouring lists are packed into blocks of bounded size, and a list beyond it is cut into several, so a list of a
+   third of all vectors is many small tasks. Every class goes to the pair of its own block with each block of a list
+   that can hold a link of it: one whose centroid is no farther than the list's radius and the largest distance of a
+   link, and whose side of the plane between both centroids is no farther than that distance. Neither loses a link.
+4. In a pair of blocks entries are ranked by asymmetric distance (table look-ups of the exact query against the codes);
+   an entry is dropped only if that distance less its coding error exceeds the largest distance of a link, which loses
+   no link. What stays is judged by the exact cosine in double precision. A pair of blocks returns one row a vector: its
+   links counted, and its component within the pair; pairs of vectors are never written out. Components of the
+   pairs of blocks join into those of the table.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from .scratch import Scratch
 LIST_SIZE = 200
 MOST_LISTS = 4096
 SAMPLE = 20_000
-PROBES = 16
 SUB = 8
-INDEX_BLOCK, QUERY_BLOCK = 1024, 4096
+#: Most rows of a block. A table is cut into some 16 blocks at least, unless they would be smaller than LIST_SIZE.
+BLOCK = 4096
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, k: int = 1) -> np.ndarray:
@@ -75,14 +78,61 @@ class Quantiser:
         made = np.stack([b[codes[:, s]] for s, b in enumerate(self.books)], 1)
         return own, codes, np.sqrt(((rest - made) ** 2).sum((1, 2)))
 
-    def distances(self, unit: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of exact queries to the coded entries of one list."""
-        rest = (unit - self.coarse[own]).reshape(len(unit), -1, SUB)
-        out = np.zeros((len(unit), len(codes)), np.float32)
+    def norms(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared lengths of coded entries."""
+        made = np.stack([b[codes[:, s]] for s, b in enumerate(self.books)], 1).reshape(len(codes), -1)
+        return ((self.coarse[lists] + made) ** 2).sum(1)
+
+    def distances(self, unit: np.ndarray, lists: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of exact unit queries to coded entries, with their norms()."""
+        some, at = np.unique(lists, return_inverse=True)
+        out = np.take((unit @ self.coarse[some].T).astype(np.float32), at, 1)
+        parts = unit.reshape(len(unit), -1, SUB)
         for s, b in enumerate(self.books):
-            table = (rest[:, s] ** 2).sum(1, keepdims=True) - 2 * (rest[:, s] @ b.T) + (b**2).sum(1)
-            out += np.take(table.astype(np.float32), codes[:, s], 1)
-        return np.sqrt(np.maximum(out, 0))
+            out += np.take((parts[:, s] @ b.T).astype(np.float32), codes[:, s], 1)
+        out *= -2
+        out += (1 + norms).astype(np.float32)
+        return np.sqrt(np.maximum(out, 0, out=out), out=out)
+
+
+@dataclass
+class Layout:
+    """Which blocks a list fills (first, and how many: parts), and how far its entries are from its centroid at most."""
+
+    coarse: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def pack(cls, coarse: np.ndarray, sizes: np.ndarray, radius: np.ndarray, most: int) -> Layout:
+        """Blocks of at most about most rows: lists one after the other, each beside its nearest still left."""
+        norms, left = (coarse**2).sum(1), np.ones(len(coarse), bool)
+        first, parts = np.zeros(len(coarse), np.int64), np.maximum(1, -(-sizes // most))
+        block, filled, at = 0, 0, 0
+        for _ in range(len(coarse)):
+            left[at] = False
+            if filled and filled + sizes[at] > most:
+                block, filled = block + 1, 0
+            first[at] = block
+            block, filled = (block, filled + sizes[at]) if parts[at] == 1 else (block + parts[at], 0)
+            at = int(np.where(left, norms - 2 * (coarse @ coarse[at]), np.inf).argmin())
+        return cls(coarse, radius, first, parts)
+
+    def targets(self, unit: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block): every block that may hold a vector within reach of the row's, by its lists' radii and by the
+        planes between their centroids and the row's own (the nearest)."""
+        norms = (self.coarse**2).sum(1)
+        squares = np.maximum((unit**2).sum(1)[:, None] + norms - 2 * (unit @ self.coarse.T), 0)
+        gaps = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * (self.coarse[own] @ self.coarse.T), 0))
+        may = np.sqrt(squares) - self.radius <= reach
+        may &= squares - squares[np.arange(len(own)), own][:, None] <= 2 * reach * gaps + 1e-6
+        hit = np.zeros((len(unit), int((self.first + self.parts).max())), bool)
+        row, near = np.nonzero(may)
+        for k in range(int(self.parts.max())):
+            some = self.parts[near] > k
+            hit[row[some], self.first[near[some]] + k] = True
+        return np.nonzero(hit)
 
 
 def _units(raw: pa.Array, width: int) -> np.ndarray:
@@ -111,49 +161,55 @@ def usable(vector: Column, width: int) -> Column:
     return F.coalesce((F.size(vector) == width) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def reach_of(least: float) -> float:
+    """Largest distance of two unit vectors of cosine least, and a margin for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-3
+
+
 def block_links(blocks: DataFrame, q: Quantiser, least: float) -> DataFrame:
-    """(node, label, links) of each block: links counts the other vectors, copies included, whose cosine with a query is
-    at least least; label is the smallest node of its component in the block."""
+    """(node, label, links) of each pair of blocks (lo, hi): links counts the other vectors, copies included, whose cosine
+    with the node is at least least; label is the smallest node of its component in the pair."""
     shared = blocks.sparkSession.sparkContext.broadcast(q)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-3
+    reach = reach_of(least)
     schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("links", pa.int64())])
 
-    def run(block: pa.Table) -> pa.Table:
+    def run(pair: pa.Table) -> pa.Table:
         q = shared.value
-        block = block.combine_chunks()
-        query = block.column("code").is_null().to_numpy()
-        ids, copies = block.column("rep").to_numpy(), block.column("m").to_numpy()
-        unit = _units(block.column("embedding").combine_chunks(), q.width)
-        qs, es = np.flatnonzero(query), np.flatnonzero(~query)
+        pair = pair.combine_chunks()
+        lo, hi, block = pair.column("lo")[0].as_py(), pair.column("hi")[0].as_py(), pair.column("block").to_numpy()
+        qs, es = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         if not len(qs) or not len(es):
             return schema.empty_table()
-        codes = np.frombuffer(b"".join(block.column("code").filter(pa.array(~query)).to_pylist()), np.uint8).reshape(len(es), -1)
-        error = block.column("error").to_numpy()[es]
-        own = int(block.column("list")[0].as_py())
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, copies = pair.column("rep").to_numpy(), pair.column("m").to_numpy()
+        unit = _units(pair.column("embedding").combine_chunks(), q.width)
+        codes = np.frombuffer(b"".join(pair.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[es]
+        error, lists = pair.column("error").to_numpy()[es], pair.column("list").to_numpy()[es]
+        norms = q.norms(lists, codes)
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for k in range(0, len(qs), 512):
             part = qs[k : k + 512]
-            near = q.distances(unit[part], own, codes) - error <= reach
-            near &= ids[part][:, None] != ids[es]
+            near = q.distances(unit[part], lists, codes, norms) - error <= reach
+            near &= part[:, None] != es
             i, j = np.nonzero(near)
             for c in range(0, len(i), 1 << 17):
                 x, y = part[i[c : c + (1 << 17)]], es[j[c : c + (1 << 17)]]
                 good = (unit[x] * unit[y]).sum(1) >= least
-                left.append(x[good])
-                right.append(y[good])
-        a, b = np.concatenate(left), np.concatenate(right)
-        if not len(a):
-            return schema.empty_table()
-        links = np.bincount(a, copies[b], len(ids)).astype(np.int64)
-        names, node = np.unique(ids, return_inverse=True)
-        label = names[_labels(len(names), node[a], node[b])][node]
-        some = np.unique(np.concatenate((a, b)))
-        return pa.Table.from_arrays([pa.array(ids[some]), pa.array(label[some]), pa.array(links[some])], schema=schema)
-
-    return blocks.groupBy("list", "i", "j").applyInArrow(run, "node long, label long, links long")
-
-
-def embedding_links(vectors: DataFrame, least: float = 0.95, probes: int = PROBES) -> DataFrame:
+                x, y = x[good], y[good]
+                links += np.bincount(x, copies[y], len(ids)).astype(np.int64)
+                if lo != hi:
+                    links += np.bincount(y, copies[x], len(ids)).astype(np.int64)
+                apart = root[x] != root[y]
+                if apart.any():
+                    root = _labels(len(ids), root[x[apart]], root[y[apart]])[root]
+        some = np.flatnonzero(links)
+        least_id = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least_id, root, ids)
+        return pa.Table.from_arrays([pa.array(ids[some]), pa.array(least_id[root[some]]), pa.array(links[some])], schema=schema)
+
+    return blocks.groupBy("lo", "hi").applyInArrow(run, "node long, label long, links long")
+
+
+def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of vectors(vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors of another
@@ -185,22 +241,32 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, probes: int = PROBE
                 if batch.num_rows:
                     unit = _units(batch.column(2), width)
                     own, codes, error = shared.value.encode(unit)
-                    near = _nearest(unit, shared.value.coarse, probes).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(list(near), pa.list_(pa.int32()))], ["rep", "m", "embedding", "list", "code", "error", "probes"])
+                    away = np.sqrt(((unit - shared.value.coarse[own]) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(away)], ["rep", "m", "embedding", "list", "code", "error", "away"])
 
         kind = dict(classes.dtypes)["embedding"]
-        entries = scratch.save(classes.select("rep", "m", "embedding").mapInArrow(index, f"rep long, m long, embedding {kind}, list int, code binary, error double, probes array<int>"), "entries")
-        asked = entries.select("rep", "m", "embedding", F.explode("probes").alias("list"))
-        # As many rows as lists, at most MOST_LISTS: small enough to broadcast.
-        sizes = entries.groupBy("list").agg(F.ceil(F.count("*") / INDEX_BLOCK).alias("ni")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("nj")).hint("merge"), "list")
-        sizes = F.broadcast(scratch.save(sizes, "sizes"))
-
-        def cut(side: DataFrame, mine: str, its: str, other: str, others: str) -> DataFrame:
-            told = side.join(sizes, "list").withColumn(mine, F.pmod(F.xxhash64("rep"), its))
-            return told.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
-
-        columns = ["list", "i", "j", "rep", "m", "embedding", "code", "error"]
-        blocks = cut(entries, "i", "ni", "j", "nj").select(*columns).unionByName(cut(asked.withColumn("code", F.lit(None).cast("binary")).withColumn("error", F.lit(0.0)), "j", "nj", "i", "ni").select(*columns))
+        entries = scratch.save(classes.select("rep", "m", "embedding").mapInArrow(index, f"rep long, m long, embedding {kind}, list int, code binary, error double, away double"), "entries")
+        sizes, radius = np.zeros(len(q.coarse), np.int64), np.zeros(len(q.coarse))
+        for r in entries.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect():  # at most MOST_LISTS rows
+            sizes[r["list"]], radius[r["list"]] = r["n"], r["away"]
+        layout = spark.sparkContext.broadcast(Layout.pack(q.coarse, sizes, radius, min(BLOCK, max(LIST_SIZE, -(-n // 16)))))
+        reach = reach_of(least)
+
+        def place(batches):
+            for whole in batches:
+                for k in range(0, whole.num_rows, 1024):
+                    batch, told = whole.slice(k, 1024), layout.value
+                    own = batch.column(3).to_numpy()
+                    block = told.first[own] + batch.column(6).to_numpy() % told.parts[own]
+                    row, other = told.targets(_units(batch.column(2), width), own, reach)
+                    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(block, pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(other, pa.int32()))], ["rep", "m", "embedding", "list", "code", "error", "block", "others"])
+
+        columns = ["rep", "m", "embedding", "list", "code", "error"]
+        dealt = F.pmod(F.xxhash64("rep"), F.lit(1 << 31)).alias("dealt")
+        placed = entries.select(*columns, dealt).mapInArrow(place, f"rep long, m long, embedding {kind}, list int, code binary, error double, block int, others array<int>")
+        told = placed.select(*columns, "block", F.explode("others").alias("other"))
+        blocks = told.select(*columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         found = scratch.save(block_links(blocks, q, least), "found")
     else:
         found = spark.createDataFrame([], "node long, label long, links long")
@@ -208,7 +274,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, probes: int = PROBE
     label = components(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).distinct(), scratch, "c")
     named = classes.select("h1", "h2", "m", F.col("rep").alias("node")).join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left")
     named = scratch.save(named.select("h1", "h2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "named")
-    scratch.drop("entries", "found", "sizes")
+    scratch.drop("entries", "found")
     out = hashed.select("vec_id", "h1", "h2").join(named.hint("merge"), ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -380,6 +380,23 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embeddings_dense_group(spark, monkeypatch):
+    """Unequal near copies over far more than 16 lists: every link counts, and lists beyond a block are cut."""
+    rng = np.random.default_rng(10)
+    group = rng.normal(size=64) + 0.175 * rng.normal(size=(1200, 64))
+    x = np.concatenate([rng.normal(size=(400, 64)), group])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    assert link.sum(1).max() > 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for lists, block in ((20, 4096), (400, 150)):
+        monkeypatch.setattr(embedding_dedup, "LIST_SIZE", lists)
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block, raising=False)
+        got = {r.vec_id: r for r in embedding_dedup.embedding_links(df).collect()}
+        assert [got[i].n_links for i in range(len(x))] == link.sum(1).tolist()
+        assert all(got[i].component_id == (400 if link[i].any() else i) for i in range(len(x)))
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage on planted rows, and the last stage against the library."""
     import corpus_pipeline
