@@ -2,9 +2,9 @@
 
 A classifier fitted on a bounded sample of the labelled table gives every document a posterior over domains. Document rates are
 the least-squares solution, over rates in [low, high], of: expected tokens of each domain (rate x tokens x posterior,
-summed over all documents) equal its target share of the token budget. The fit is accelerated projected gradient;
-each round is one aggregate over all documents in Spark, and a document's rate is recomputed from the rounds' gradients
-(a few numbers each), so no state of the table's size is kept or sent.
+summed over all documents) equal its target share of the token budget; of several, the one nearest to rates of 1. Such a rate
+is 1 plus its posterior times one multiplier a domain, cut to [low, high]. The multipliers are found by Newton steps on
+the convex dual; each round is one aggregate over all documents in Spark, and no state of the table's size is kept or sent.
 """
 
 from __future__ import annotations
@@ -105,39 +105,56 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return plain.mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", *(f"`{n}` double" for n in names)]))
 
 
-def _state(gradients: list[list[float]], domains: list[str], step: float, low: float, high: float) -> tuple[Column, Column]:
-    """A document's rate and its extrapolated rate after the rounds with these gradients."""
-    rate = ahead = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(1.0)))
-    if not gradients:
-        return rate, ahead
-    rounds = F.array(*(F.struct(F.lit(float(t)).alias("t"), F.array(*(F.lit(float(x)) for x in g)).alias("g")) for t, g in enumerate(gradients)))
+#: Weight of the squared distance from rates of 1 beside the squared gaps: a target's miss by it is this times its multiplier.
+NEARNESS = 1e-6
 
-    def advance(s: Column, x: Column) -> Column:
-        slope = sum((x["g"][k] * F.col(f"p_{d}") for k, d in enumerate(domains)), F.lit(0.0))
-        new = F.greatest(F.lit(low), F.least(F.lit(high), s["y"] - F.lit(step) * slope))
-        return F.struct(new.alias("r"), (new + x["t"] / (x["t"] + 3.0) * (new - s["r"])).alias("y"))
 
-    last = F.aggregate(rounds, F.struct(rate.alias("r"), ahead.alias("y")), advance)
-    return last["r"], last["y"]
+def _rate(multipliers: np.ndarray, domains: list[str], low: float, high: float) -> tuple[Column, Column]:
+    """A document's rate, and whether it lies strictly between low and high."""
+    free = sum((F.lit(float(x)) * F.col(f"p_{d}") for x, d in zip(multipliers, domains)), F.lit(1.0))
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), free)), (free > low) & (free < high)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, rounds: int = 25, close: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, rounds: int = 200, close: float = 1e-5) -> DataFrame:
     """members with rate. targets: shares by domain (scaled to add up to 1); budget: total tokens wanted, as a multiple
-    of what there is. Stops early when every domain is within close of its target, as a share of all tokens."""
+    of what there is. Ends when the dual's gradient, a share of all tokens for each domain, is below close; raises an
+    error if it isn't after that many rounds. Targets out of reach are met as nearly as low and high let them."""
     domains = list(targets)
     want = np.array([targets[d] for d in domains]) / max(sum(targets.values()), 1e-12) * budget
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
-    gradients: list[list[float]] = []
     weight = F.col("n_tokens") / F.lit(float(max(total, 1)))
-    for _ in range(rounds if total else 0):
-        _, ahead = _state(gradients, domains, 1.0, low, high)
-        row = members.withColumn("_y", ahead).agg(*(F.sum(weight * F.col("_y") * F.col(f"p_{d}")).alias(d) for d in domains)).first()
-        gap = np.array([row[d] for d in domains]) - want
-        if np.abs(gap).max() < close:
-            break
-        gradients.append(gap.tolist())
-    rate, _ = _state(gradients, domains, 1.0, low, high)
-    return members.withColumn("rate", rate)
+    upper = list(zip(*np.triu_indices(len(domains))))
+    left = rounds
+
+    def slope(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the dual."""
+        nonlocal left
+        if left == 0:
+            raise RuntimeError(f"rates did not settle in {rounds} rounds")
+        left -= 1
+        rate, free = _rate(at, domains, low, high)
+        told = members.select(weight.alias("_w"), rate.alias("_r"), free.cast("double").alias("_f"), *(F.col(f"p_{d}").alias(f"_{i}") for i, d in enumerate(domains)))
+        row = told.agg(*(F.sum(F.col("_w") * F.col("_r") * F.col(f"_{i}")) for i in range(len(domains))), *(F.sum(F.col("_w") * F.col("_f") * F.col(f"_{i}") * F.col(f"_{j}")) for i, j in upper)).first()
+        bend = np.zeros((len(domains), len(domains)))
+        for (i, j), x in zip(upper, row[len(domains) :]):
+            bend[i, j] = bend[j, i] = x
+        return NEARNESS * at + np.array(row[: len(domains)]) - want, bend + NEARNESS * np.eye(len(domains))
+
+    at = np.zeros(len(domains))
+    gap, bend = slope(at) if total else (np.zeros(len(domains)), None)
+    while np.abs(gap).max() >= close:
+        step = -np.linalg.solve(bend, gap)
+        before, short, long, size = abs(gap @ step), 0.0, np.inf, 1.0
+        while True:
+            # The slope along the step rises with its size; one of at most half the first slope is near the lowest point.
+            gap, bend = slope(at + size * step)
+            along = gap @ step
+            if abs(along) <= 0.5 * before or np.abs(gap).max() < close:
+                break
+            short, long = (short, size) if along > 0 else (size, long)
+            size = 2 * size if long == np.inf else float(np.sqrt(short * long)) if short else long / 8
+        at = at + size * step
+    return members.withColumn("rate", _rate(at, domains, low, high)[0])
 
 
 def uniform(key: Column, seed: int) -> Column:

@@ -355,6 +355,18 @@ def test_mixing(spark, docs, empty):
     assert hard.count() == docs.count() and mixing.mixed(empty, lab, {"good": 1.0}).count() == 0
 
 
+def test_mixing_rare_domain(spark):
+    """The defaults reach a rare domain's attainable target, and settle beside one out of reach."""
+    rows = [(i, 100, float(i % 100 != 0), float(i % 100 == 0)) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_plain double, p_rare double")
+    for target, want in ((0.03, 0.03), (0.5, 0.04)):
+        out = mixing.fit_rates(members, {"plain": 1 - target, "rare": target}).toPandas()
+        share = (out.rate * out.n_tokens * out.p_rare).sum() / out.n_tokens.sum()
+        assert abs(share - want) < 1e-4 and out.rate.between(0, 4).all()
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(members, {"plain": 0.5, "rare": 0.5}, rounds=1)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 20))
