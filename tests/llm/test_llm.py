@@ -206,6 +206,17 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rule_lengths(spark, monkeypatch):
+    """Every distinct length of the rules' paths is asked for."""
+    asked = []
+    keys = url_filter.candidate_keys
+    monkeypatch.setattr(url_filter, "candidate_keys", lambda host, path, lengths: asked.append(sorted(lengths)) or keys(host, path, [1]))
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    rules = spark.range(1, 1201).select(F.lit("a.com").alias("host"), F.expr("repeat('/', int(id))").alias("path"), F.lit("block").alias("verdict"))
+    url_filter.url_verdicts(pages, rules)
+    assert asked == [list(range(1, 1201))]
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where("hash(key) % 50 = 0")
