@@ -38,7 +38,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
 
     A null or empty text is one empty line, and stays unless min_chars is 0. All lines of a common key go, in every
     document, whichever stands first. Repeated rows are one document in the count and each gives a result; a text
-    all of whose lines go is empty. An empty table gives an empty result. Other columns are not looked at.
+    all of whose lines go is empty. A very long text is one row of its lines' hashes; its work grows with its lines. An empty
+    table gives an empty result. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -46,17 +47,21 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     common = scratch.save(common_lines(hashed, min_docs), "common")
     places = hashed.select("doc_id", "key", F.posexplode("lines").alias("pos", "k")).where("k is not null").select("doc_id", "key", "pos", "k.h1", "k.h2")
     hits = places.join(common.hint("merge"), ["h1", "h2"])
-    drops = scratch.save(hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("pos").alias("_drop")), "drops")
-    scratch.drop("hashed")
+    at = hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.array_sort(F.collect_set("pos")).alias("_at"))
+    # A flag for each line up to the last one dropped, so that a line is looked up by its place.
+    gap = lambda p, i: p - F.coalesce(F.get("_at", i - 1), F.lit(-1)) - 1
+    flags = F.flatten(F.transform("_at", lambda p, i: F.array_append(F.array_repeat(F.lit(False), gap(p, i)), F.lit(True))))
+    drops = scratch.save(at.select("_id", "_key", flags.alias("_flags"), F.size("_at").cast("long").alias("_n")), "drops")
+    scratch.drop("hashed", "common")
     text = F.coalesce("text", F.lit(""))
-    told = plain.select("doc_id", text.alias("text")).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    told = plain.select("doc_id", text.alias("text")).join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False))), "\n")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    n_dropped = F.coalesce(F.size("_drop"), F.lit(0))
-    return told.select("doc_id", n_lines.cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left).alias("kept"))
+    return told.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_dropped"), F.when(F.col("_n").isNull(), F.col("text")).otherwise(left).alias("kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_dedup() of documents at 10 documents and 1 code point, with the kept text's digest."""
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

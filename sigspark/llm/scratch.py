@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder is set only where the session names none (tests)."""
+    """The session's spark.checkpoint.dir. Where it is unset, a session on this machine alone gets a folder of its own; any
+    other is an error, since parts written to the executors' own disks could not be read back."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-llm-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -20,11 +23,16 @@ def shared_root(spark: SparkSession) -> str:
 
 class Scratch:
     """A run's own folder below the shared one. save() writes a table and reads it back; drop() removes tables no
-    longer needed. A lost executor loses nothing: the files are committed by Spark's writer."""
+    longer needed, and the folder goes when the driver ends, since results are read from it lazily. A lost executor
+    loses nothing: the files are committed by Spark's writer."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

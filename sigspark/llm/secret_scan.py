@@ -1,10 +1,12 @@
 """Secrets in texts, and credentials whose parts stand apart, with DataFrame functions only.
 
-Base spans come from three patterns. The linking method adds weak candidates: short access ids, unlabelled high-entropy strings, and
-endpoints. A weak candidate alone proves nothing; it is reported only where, within one scope (a stretch of scope code
-points), parts of all complementary kinds come together: an access id, a secret, and an endpoint or a second part of
-base strength. Candidates of a document are joined by intervals: cut to overlapping scope buckets, joined on document
-and bucket, then compared by distance. Texts without a weak candidate never leave their scan.
+Base spans come from three patterns. The linking method adds weak candidates: access identifiers (short access ids,
+user names, e-mail addresses), unlabelled base64 runs, and endpoints (addresses with or without a scheme, the domain of
+an e-mail, IPv4 addresses). A weak candidate alone proves nothing; it is reported only where complementary parts lie
+within scope code points of it: an identifier and a secret for an endpoint; for an identifier or a secret the other of both
+if that one is of base strength, or the other of both and an endpoint. Candidates of a document are joined by intervals:
+cut to overlapping scope buckets, joined on document and bucket, then compared by the gap between them. Texts
+without a weak candidate never leave their scan.
 """
 
 from __future__ import annotations
@@ -17,10 +19,19 @@ from .scratch import Scratch
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Weak parts: any access-like id of an upper-case word; a run of 32 or more base64 signs; an endpoint.
-WEAK_ID = r"\bA[KS]IA[A-Z0-9]{8,15}\b"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"
-ENDPOINT = r"https?://[A-Za-z0-9.-]+\.[a-z]{2,}[^\s\"'<>]*"
+#: Weak parts: an access-like id of an upper-case word, a named user or client, or an e-mail address; a run of 32 or more
+#: base64 signs; an endpoint. A run of signs is looked at from its first one only, so long runs cost no more than short ones.
+WEAK_ID = (
+    r"""\bA[KS]IA[A-Z0-9]{8,15}\b"""
+    r"""|\b(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+    r"""|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9])[A-Za-z0-9.-]*[A-Za-z0-9]"""
+)
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"
+ENDPOINT = (
+    r"""https?://[A-Za-z0-9.-]+\.[a-z]{2,}[^\s\"'<>]*"""
+    r"""|(?<![A-Za-z0-9_.:-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{1,5})?"""
+    r"""|(?<![A-Za-z0-9_.-])(?:[a-z0-9-]++\.){1,8}[a-z]{2,}+(?![A-Za-z0-9_-])(?::[0-9]{1,5})?"""
+)
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 SCOPE = 400
 
@@ -66,34 +77,35 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, key, spans): the weak candidates with complementary parts within scope code points.
-
-    An access id (base or weak), a secret (assign, hex or weak key) and an endpoint must all lie within scope of the
-    candidate, itself one of them; a weak id or key that lies in a base span is no candidate.
-    """
+    """(doc_id, key, more): the weak candidates with complementary parts within scope code points (the gap between both
+    intervals), by the rule above. A weak candidate that lies in a base span is none."""
     parts = scanned.where("size(weak) > 0").select("doc_id", "key", F.explode(F.concat("base", "weak")).alias("s")).distinct().select("doc_id", "key", "s.*")
     role = F.when(F.col("kind").isin(1, 3), 0).when(F.col("kind").isin(0, 2, 4), 1).otherwise(2)
-    parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / scope))
-    weak = parts.where("kind >= 3").select("doc_id", "key", "kind", "start", "end", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    other = parts.select(F.col("doc_id").alias("doc2"), F.col("key").alias("key2"), F.col("bucket").alias("bucket2"), F.col("kind").alias("kind2"), F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
-    on = F.col("doc_id").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2")) & (F.col("bucket") == F.col("bucket2"))
-    near = weak.join(other.hint("merge"), on).where(F.abs(F.col("start") - F.col("start2")) <= scope)
+    first, last = (F.floor(F.col(c) / scope) for c in ("start", "end"))
+    parts = parts.withColumn("role", role)
+    weak = parts.where("kind >= 3").select("doc_id", "key", "kind", "role", "start", "end", F.explode(F.sequence(first - 1, last + 1)).alias("bucket"))
+    renamed = [F.col(c).alias(f"{c}2") for c in ("doc_id", "key", "kind", "role", "start", "end")]
+    other = parts.select(*renamed, F.explode(F.sequence(first, last)).alias("bucket2"))
+    on = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("key") == F.col("key2")) & (F.col("bucket") == F.col("bucket2"))
+    near = weak.join(other.hint("merge"), on).where(F.greatest("start", "start2") - F.least("end", "end2") <= scope)
     inside = (F.col("kind2") < 3) & (F.col("start2") <= F.col("start")) & (F.col("end") <= F.col("end2"))
-    sums = near.groupBy("doc_id", "key", "kind", "start", "end").agg(*(F.max((F.col("role2") == r).cast("int")).alias(f"r{r}") for r in range(3)), F.max(inside.cast("int")).alias("inside"))
-    good = sums.where("r0 = 1 and r1 = 1 and r2 = 1 and inside = 0")
+    seen = {f"r{r}": F.col("role2") == r for r in range(3)} | {"base": (F.col("kind2") < 3) & (F.col("role2") == 1 - F.col("role")), "inside": inside}
+    sums = near.groupBy("doc_id", "key", "kind", "role", "start", "end").agg(*(F.bool_or(c).alias(n) for n, c in seen.items()))
+    good = sums.where("not inside and r0 and r1 and (role = 2 or base or r2)")
     return good.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
 
 
 def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, base and all, arrays of (start, kind, end) by start, then kind.
 
-    Null and empty texts have no spans. Repeated rows each give a result. Equal spans of two kinds stay two. An empty
-    table gives an empty result. Other columns are not looked at.
+    Null and empty texts have no spans. Repeated rows each give a result. Equal spans of two kinds stay two. A very long text is
+    scanned whole; a bucket holds no more of its parts than scope code points have room for. An empty table gives an
+    empty result. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned = scratch.save(scan(docs), "scan")
     more = scratch.save(linked(scanned, scope), "linked").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "more")
-    out = scanned.join(more.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    out = scanned.join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     return out.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("all"))
 
 
@@ -103,6 +115,7 @@ def _digest(spans_: str) -> Column:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_scan() of documents: counts and digest of the base spans, and all spans."""
     out = secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return out.select("doc_id", *counts, F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("all").alias("spans"))
