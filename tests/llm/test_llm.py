@@ -98,7 +98,7 @@ def near_brute(rows, size, percent):
     return {i: len(s) for i, s in sets.items()}, {i: top(i) for i in ids}
 
 
-def test_near_duplicates(docs, empty, texts):
+def test_near_duplicates(spark, docs, empty, texts):
     n, comp = near_brute(texts, 4, 80)
     got = near_dedup.near_duplicates(docs, 4, 80).collect()
     assert len(got) == len(texts)
@@ -111,11 +111,18 @@ def test_near_duplicates(docs, empty, texts):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.select("doc_id").where("doc_id is not null").collect())
     assert ids == sorted({c for c in comp.values()})
+    two = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (1, "f g h i j k", "x"), (2, "a b c d e", "x"), (3, None, "x"), (3, None, "x")], "doc_id int, text string, _id string")
+    kept = sorted((r.doc_id, r.text or "") for r in near_dedup.keep_one(two).collect())
+    assert kept == [(1, "a b c d e"), (1, "f g h i j k"), (3, "")] and near_dedup.keep_one(empty).count() == 0
     assert near_dedup.near_duplicates(empty, 4, 80).count() == 0
 
 
-def test_many_chained_near_copies(spark):
-    """A group whose ends are far apart: only links between neighbours, found across buckets."""
+@pytest.mark.parametrize("small", [False, True])
+def test_many_chained_near_copies(spark, monkeypatch, small):
+    """A group whose ends are far apart: only links between neighbours, found across buckets, in blocks of any size."""
+    if small:
+        for name, value in {"BLOCK": 6, "TEXTS": 3, "SHINGLES": 300, "SPLIT": 5}.items():
+            monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(3)
     w = prose(rng, 150).split()
     rows = []
