@@ -5,17 +5,19 @@ the longest run ending there that some item contains. Runs of at least a window
 window marks a run that ends with the whole item. Only stretches of word pairs that the items have at all are
 streamed (found with numpy): no match of two words or more can leave such a stretch.
 
-The automaton's size is bounded by max_words item words at a time; items beyond it are matched in further passes and
-their marks merged, document by document.
+The automaton's size is bounded by max_words item words at a time; items beyond it are matched in further passes, one after
+the other, and their marks merged document by document. Once built, an automaton is a few numpy arrays.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ from .scratch import Scratch
 from .textblock import ALNUM, Chunk, chunks, mix, prefix_sums, span_hashes, words
 
 TABLE = 1 << 20
+#: Steps of the automaton that a task keeps in a dict.
+KEPT_STEPS = 1 << 18
 
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word hashes."""
+    """Generalised suffix automaton over word hashes, while it is built."""
 
     window: int
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
@@ -66,58 +70,111 @@ class Automaton:
             p = self.link[p]
         return twin
 
-    def build(self, items: list[tuple[str, list[int]]]) -> Automaton:
+    def build(self, items: list[tuple[str, list[int]]]) -> States:
         """items: id and word hashes. Items without words are left out; those of one word need no automaton."""
-        self.single: dict[int, set[str]] = {}
-        pairs = []
         many = [(i, seq) for i, seq in items if len(seq) > 1]
-        for i, seq in items:
-            if len(seq) == 1:
-                self.single.setdefault(seq[0], set()).add(i)
         for _, seq in many:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-            pairs.append(pair_hashes(np.array(seq, np.uint64)))
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        self.singles = np.array(sorted(self.single), np.uint64)
         n = len(self.step)
         # The state of a run's last `window` words, for states of longer runs.
         order = sorted(range(n), key=self.length.__getitem__)
-        self.top = list(range(n))
+        top = np.arange(n)
         for s in order:
             if s and self.length[self.link[s]] >= self.window:
-                self.top[s] = self.top[self.link[s]]
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * n
-        own: dict[int, list[tuple[int, str]]] = {}
-        self.items: dict[int, set[str]] = {}
+                top[s] = top[self.link[s]]
+        size = np.array([len(x) for x in self.step])
+        at = np.repeat(np.arange(n), size)
+        word = np.fromiter((w for x in self.step for w in x), np.uint64, int(size.sum()))
+        to = np.fromiter((t for x in self.step for t in x.values()), np.int64, int(size.sum()))
+        self.step = []
+        vocabulary = np.unique(word)
+        edge = at * max(1, len(vocabulary)) + np.searchsorted(vocabulary, word)
+        sort = np.argsort(edge)
+        pairs = [pair_hashes(np.array(seq, np.uint64)) for _, seq in many]
+        single: dict[int, set[str]] = {}
+        for i, seq in items:
+            if len(seq) == 1:
+                single.setdefault(seq[0], set()).add(i)
+        made = States(
+            self.window, min([self.window, *(len(seq) for _, seq in many)]), vocabulary, edge[sort], to[sort].astype(np.int32), np.array(self.link, np.int32),
+            np.array(self.length, np.int32), top.astype(np.int32), np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64), single, {}, {},
+        )
         for i, seq in many:
+            state, run = made.walk(np.array(seq, np.uint64))
             if len(seq) < self.window:
-                own.setdefault(self.walk(seq)[-1][0], []).append((len(seq), i))
-        for s in order:
-            self.short[s] = tuple(own.get(s, ())) + (self.short[self.link[s]] if s else ())
-        for i, seq in many:
-            if len(seq) >= self.window:
-                for s, n_words in self.walk(seq):
-                    if n_words >= self.window:
-                        self.items.setdefault(self.top[s], set()).add(i)
-        self.least = min([self.window, *(len(seq) for _, seq in many)])
-        return self
-
-    def walk(self, seq: list[int]) -> list[tuple[int, int]]:
+                made.ends.setdefault(int(state[-1]), []).append((len(seq), i))
+            else:
+                for s in np.unique(made.top[state[run >= self.window]]).tolist():
+                    made.items.setdefault(s, set()).add(i)
+        return made
+
+
+@dataclass
+class States:
+    """A finished automaton. edges: state x vocabulary + word, sorted, with the states they lead to; top: the state of a
+    run's last window words; ends: items shorter than a window by the state of their end; items: the others by top state."""
+
+    window: int
+    least: int
+    vocabulary: np.ndarray
+    edges: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    top: np.ndarray
+    pairs: np.ndarray
+    single: dict[int, set[str]]
+    ends: dict[int, list[tuple[int, str]]]
+    items: dict[int, set[str]]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "walker"}
+
+    @functools.cached_property
+    def walker(self) -> dict[int, int]:
+        """Steps taken so far, kept by state: texts meet few of the automaton's edges, and those often."""
+        return {}
+
+    def _next(self, state: int, word: int) -> int:
+        """The state after word (its number in the vocabulary), or -1."""
+        key = state * len(self.vocabulary) + word
+        if (to := self.walker.get(key)) is None:
+            at = int(np.searchsorted(self.edges, key))
+            to = int(self.targets[at]) if at < len(self.edges) and self.edges[at] == key else -1
+            if len(self.walker) >= KEPT_STEPS:
+                self.walker.clear()
+            self.walker[key] = to
+        return to
+
+    def walk(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """After each word: the state, and the length of the longest run ending there that an item contains."""
-        out = []
-        step, link, length = self.step, self.link, self.length
+        states, runs = np.zeros(len(seq), np.int64), np.zeros(len(seq), np.int64)
+        if not len(self.vocabulary):
+            return states, runs
+        place = np.minimum(np.searchsorted(self.vocabulary, seq), len(self.vocabulary) - 1)
+        known = self.vocabulary[place] == seq
         state = n = 0
-        for w in seq:
-            while state and w not in step[state]:
-                state = link[state]
-                n = length[state]
-            if w in step[state]:
-                state = step[state][w]
-                n += 1
-            out.append((state, n))
-        return out
+        for k, (w, good) in enumerate(zip(place.tolist(), known.tolist())):
+            if not good:
+                state = n = 0
+                continue
+            to = self._next(state, w)
+            while to < 0 and state:
+                state = int(self.link[state])
+                n = int(self.length[state])
+                to = self._next(state, w)
+            if to >= 0:
+                state, n = to, n + 1
+            states[k], runs[k] = state, n
+        return states, runs
+
+    def short(self, state: int) -> Iterator[tuple[int, str]]:
+        """Items shorter than a window that end where a run of this state does."""
+        while state > 0:
+            yield from self.ends.get(state, ())
+            state = int(self.link[state])
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
@@ -127,10 +184,11 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 class Matcher:
     """An automaton with the tables that find its stretches in a chunk."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, automaton: States):
         self.a = automaton
+        self.singles = np.array(sorted(automaton.single), np.uint64)
         self.pair_table = self._table(automaton.pairs)
-        self.single_table = self._table(automaton.singles)
+        self.single_table = self._table(self.singles)
 
     @staticmethod
     def _table(keys: np.ndarray) -> np.ndarray:
@@ -155,8 +213,8 @@ class Matcher:
             out[row][0][a - first[row] : b - first[row]] = True
             out[row][1].update(items)
 
-        if len(self.a.singles):
-            for at in np.flatnonzero(self._among(h, self.single_table, self.a.singles)):
+        if len(self.singles):
+            for at in np.flatnonzero(self._among(h, self.single_table, self.singles)):
                 mark(int(np.searchsorted(first, at, "right")) - 1, at, at + 1, self.a.single[int(h[at])])
         if len(h) > 1 and len(self.a.pairs):
             good = np.zeros(len(h) + 1, bool)  # good[k]: words k - 1 and k are a pair of some item
@@ -166,12 +224,13 @@ class Matcher:
             for a, b in zip(edge[0::2].tolist(), (edge[1::2] + 1).tolist()):  # words a to b - 1 are a stretch
                 if b - a >= self.a.least:
                     row = int(np.searchsorted(first, a, "right")) - 1
-                    for k, (state, n) in enumerate(self.a.walk(h[a:b].tolist()), a + 1):
+                    for k, (state, n) in enumerate(zip(*(x.tolist() for x in self.a.walk(h[a:b]))), a + 1):
                         if n >= self.a.window:
-                            mark(row, k - n, k, self.a.items[self.a.top[state]])
-                        for m, item in self.a.short[state]:
-                            if m <= n:
-                                mark(row, k - m, k, (item,))
+                            mark(row, k - n, k, self.a.items[int(self.a.top[state])])
+                        if self.a.ends:
+                            for m, item in self.a.short(state):
+                                if m <= n:
+                                    mark(row, k - m, k, (item,))
         return out
 
 
@@ -184,14 +243,15 @@ def item_words(texts: list[str | None]) -> list[list[int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[Automaton]:
-    """One automaton for each part of benchmark(item_id, text) of about max_words words."""
+def automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[tuple[int, States]]:
+    """(number of parts, automaton) for each part of benchmark(item_id, text) of about max_words words, made when it is asked
+    for. Only one part's items are at the driver at a time."""
     plain = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // (8 * max_words)))
     for k in range(parts):
         rows = plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        yield Automaton(window).build(list(zip([r["item_id"] for r in rows], item_words([r["text"] for r in rows]))))
+        yield parts, Automaton(window).build(list(zip([r["item_id"] for r in rows], item_words([r["text"] for r in rows]))))
 
 
 MATCHES = "doc_id long, key long, n_words long, items array<string>, spans array<struct<first: int, last: int, start: int, stop: int>>"
@@ -202,10 +262,9 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def matches(docs: DataFrame, automaton: Automaton) -> DataFrame:
+def matches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """Per row of docs(doc_id, text): its words, the items found and the marked spans: first and last word, and code
-    points (end exclusive). key is a hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    points (end exclusive). key is a hash of the text. shared: an automaton's States."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "stop")])))])
 
     def rows(chunk: Chunk, matcher: Matcher) -> tuple[np.ndarray, list, list]:
@@ -234,41 +293,60 @@ def matches(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return plain.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, MATCHES)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """matches() against all items, with n_hit, the number of marked words. With more items than one automaton holds, each
-    document's marks from several passes are merged.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 500_000) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, key (a hash of the text), n_words, n_hit (the number of marked words), items and
+    spans, against all items of benchmark(item_id, text).
 
     Null and empty texts, and texts without words, have no words and no hits; the same holds for items, and an empty
     benchmark marks nothing. Items of one id count as one item; a null item_id is left out. Repeated rows each give a
-    result (merged passes give one for equal rows). Other columns are not looked at.
+    result, however many automata the items need. Very long texts are matched whole. An empty table gives an empty
+    result. Other columns are not looked at.
     """
-    parts = [matches(docs, a) for a in automata(benchmark, window, max_words)]
-    if len(parts) == 1:
-        all_spans = parts[0]
-    else:
-        scratch = Scratch(docs.sparkSession, "decontaminate")
-        whole = scratch.save(parts[0], "0")
-        for i, part in enumerate(parts[1:], 1):
-            whole = whole.union(scratch.save(part.where("size(spans) > 0"), str(i)))
+    context, scratch = docs.sparkSession.sparkContext, None
+    for i, (parts, automaton) in enumerate(automata(benchmark, window, max_words)):
+        shared = context.broadcast(automaton)
+        found = matches(docs, shared)
+        if parts == 1:
+            all_spans = found
+            break
+        scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+        rows = F.lit(1 if i == 0 else 0).cast("long").alias("rows")
+        part = scratch.save((found if i == 0 else found.where("size(spans) > 0")).select("*", rows), str(i))
+        whole = part if i == 0 else whole.unionByName(part)
+        shared.destroy()
+    if scratch:
+        done = F.array().cast("array<struct<first:int,last:int,start:int,stop:int>>")
+        last = lambda a: F.element_at(a, -1)
+        longer = lambda a, s: F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["last"], s["last"]).alias("last"), last(a)["start"].alias("start"), F.greatest(last(a)["stop"], s["stop"]).alias("stop"))
+        touches = lambda a, s: (F.size(a) > 0) & (last(a)["last"] >= s["first"] - 1)
         merged = F.aggregate(
-            F.array_sort(F.flatten(F.collect_list("spans"))),
-            F.array().cast("array<struct<first:int,last:int,start:int,stop:int>>"),
-            lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"] - 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"), F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(s))),
-        )
-        all_spans = whole.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
+            F.array_sort(F.flatten(F.collect_list("spans"))), done,
+            lambda a, s: F.when(touches(a, s), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer(a, s)))).otherwise(F.concat(a, F.array(s))),
+        )
+        items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+        # Equal rows have equal marks: they are one group, given out as often as the first pass saw them.
+        grouped = whole.withColumn("spans", F.when((F.col("rows") == 1) & (F.size("spans") == 0), None).otherwise(F.col("spans"))).groupBy("doc_id", "key", "spans", "items")
+        once = grouped.agg(F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"))
+        told = once.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), items.alias("items"), merged.alias("spans"), F.sum("rows").alias("rows"))
+        all_spans = told.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return all_spans.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs without benchmark passages: marked spans leave the text, and a document whose marked share of words
-    exceeds max_coverage goes altogether. Clean rows are unchanged; n_chars, where there is one, follows the text."""
+    exceeds max_coverage goes altogether. Clean rows are unchanged; n_chars, where there is one, follows the text.
+
+    Null, empty and wordless texts are clean, and so is every text beside an empty benchmark. Repeated rows each get the same
+    treatment; rows of one doc_id (or none) with different texts are judged by their own texts. Very long texts are
+    looked at whole. An empty table gives an empty one. All columns stay, whatever their names.
+    """
     found = contamination(docs, benchmark, window).where("n_hit > 0").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n_words", "n_hit", F.col("spans").alias("_spans"))
     found = Scratch(docs.sparkSession, "decontaminate").save(found, "found")
     # The row is one column here, so none of its names can clash with those of the marks.
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     text = F.col("_row.text").cast("string")
-    marked = rows.join(found.hint("shuffle_hash"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    marked = rows.join(found.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     gaps = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_spans"), i - 1)["stop"]).alias("a"), F.when(i == F.size("_spans"), F.length(text)).otherwise(F.get(F.col("_spans"), i)["start"]).alias("b")))
     clean = F.array_join(F.transform(gaps, lambda g: F.substr(text, g["a"] + 1, g["b"] - g["a"])), "")
     kept = marked.where(F.col("_key").isNull() | (F.col("n_hit") <= max_coverage * F.col("n_words")))
@@ -278,6 +356,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of documents by benchmark, windows of ten words."""
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
