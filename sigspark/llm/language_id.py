@@ -4,14 +4,15 @@ Each letter has a random vector of +1 and -1. A letter n-gram's vector binds (mu
 permuted (rotated) by its place; a text's vector bundles (adds) the vectors of all its n-grams, and a language's
 prototype those of all its training texts. A text takes the language whose prototype has the largest cosine with it.
 
-Letters a-z have vectors of their own; others share OTHERS vectors by a hash of the code point; every run of other
-signs is one boundary. Training counts n-grams per language over all training rows in Spark; only those counts,
-bounded by the alphabet, come to the driver.
+Every letter has a vector of its own, made from its code point; every run of other signs is one boundary. Training
+bundles the n-grams of all training rows inside the tasks; only a language's sums, one number a dimension, are added up in
+Spark and come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,43 +21,96 @@ from pyspark.sql import functions as F
 
 from .textblock import mix
 
-OTHERS = 37
-ALPHABET = 27 + OTHERS  # 0 is the boundary
 DIMENSIONS = 512
+SEED = 52
 UNKNOWN = "und"
 PART_CHARS = 1 << 20
+#: n-gram vectors kept by a task before it starts afresh, and the most languages that prototypes are made for.
+KEPT_GRAMS, MOST_LANGUAGES = 1 << 15, 10_000
+#: Bits of a code point in an n-gram's number.
+BITS = 21
 
 _tables: list[np.ndarray] = []
 
 
-def _classes() -> np.ndarray:
-    """Letter class of each code point; 0 for what is no letter."""
+def _letters() -> np.ndarray:
+    """True for each code point that is a letter."""
     if not _tables:
-        out = np.zeros(0x110000, np.uint8)
-        letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.uint64)
-        out[letters.astype(np.int64)] = 27 + (mix(letters, 51) % np.uint64(OTHERS)).astype(np.uint8)
-        out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-        _tables.append(out)
+        _tables.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _tables[0]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter trigrams (the middle is a letter, the others may be boundaries) of lower-cased texts end to end, and
-    the bounds of each text's."""
+    """Letter trigrams (the middle is a letter, the others may be boundaries, 0) of lower-cased texts end to end, as three
+    code points in one number, and the bounds of each text's."""
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    c = _classes()[points].astype(np.int32)
+    c = np.where(_letters()[points], points, 0).astype(np.int64)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
     ends = np.cumsum([1 + len(t) for t in low])  # the \n after each text
     place = np.cumsum(keep)
     c = c[keep]
     middle = np.flatnonzero(c[1:-1]) + 1
-    grams = (c[middle - 1] * ALPHABET + c[middle]) * ALPHABET + c[middle + 1]
+    grams = (c[middle - 1] << (2 * BITS)) | (c[middle] << BITS) | c[middle + 1]
     bound = np.concatenate(([0], np.searchsorted(middle, place[ends] - 1)))
     return grams, bound
 
 
+class Space:
+    """Vectors of n-grams, made when first asked for; the latest ones are kept."""
+
+    def __init__(self, seed: int = SEED, dimensions: int = DIMENSIONS):
+        self.seed, self.dimensions = seed, dimensions
+        self.reset()
+
+    def reset(self) -> None:
+        self.grams = np.zeros(0, np.int64)
+        self.vectors = np.zeros((0, self.dimensions), np.float32)
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """One row of +1 and -1 for each code point."""
+        which = points[:, None].astype(np.uint64) * np.uint64(self.dimensions) + np.arange(self.dimensions, dtype=np.uint64)
+        return 1 - 2 * (mix(which, self.seed) >> np.uint64(63)).astype(np.int8)
+
+    def make(self, grams: np.ndarray) -> np.ndarray:
+        mask = (1 << BITS) - 1
+        a, b, c = (self.letters(grams >> k & mask) for k in (2 * BITS, BITS, 0))
+        return (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).astype(np.float32)
+
+    def _places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.grams, grams), max(0, len(self.grams) - 1))
+        return at, self.grams[at] == grams if len(self.grams) else np.zeros(len(grams), bool)
+
+    def bundle(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sum of n times each distinct gram's vector, whole numbers in double precision."""
+        out = np.zeros(self.dimensions)
+        for k in range(0, len(grams), 4096):
+            some, times = grams[k : k + 4096], n[k : k + 4096]
+            at, known = self._places(some)
+            if not known.all():
+                new = some[~known]
+                if len(self.grams) + len(new) > KEPT_GRAMS:
+                    self.reset()
+                    new = some
+                both = np.concatenate((self.grams, new))
+                order = np.argsort(both, kind="stable")
+                self.grams, self.vectors = both[order], np.concatenate((self.vectors, self.make(new)))[order]
+                at, _ = self._places(some)
+            out += times.astype(np.float64) @ self.vectors[at]
+        return out
+
+
+_kept: list[Space] = []
+
+
+def _space() -> Space:
+    """A worker process's vectors, kept from task to task."""
+    if not _kept:
+        _kept.append(Space())
+    return _kept[0]
+
+
 def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Texts in lists of about PART_CHARS, with the row of each list's first."""
     first, held, size = 0, [], 0
@@ -71,86 +125,56 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows of train(lang, text)."""
+def bundles(train: DataFrame) -> DataFrame:
+    """(lang, dimension, v): the bundle of each language, over all rows of train(lang, text). A task's rows of a language are
+    one bundle before they leave it, so a language of a third of all rows is no hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        space, total = _space(), {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, texts in _parts(batch.column(1)):
                 grams, bound = trigrams(texts)
-                names = langs[first : first + len(texts)]
-                for lang in set(names):
-                    mine = [grams[a:b] for a, b, x in zip(bound[:-1], bound[1:], names) if x == lang]
-                    n = np.bincount(np.concatenate(mine), minlength=ALPHABET**3)
-                    total[lang] = total[lang] + n if lang in total else n
-        for lang, n in total.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], ["lang", "gram", "n"])
+                by: dict[str, list[np.ndarray]] = {}
+                for lang, a, b in zip(langs[first:], bound[:-1].tolist(), bound[1:].tolist()):
+                    by.setdefault(lang, []).append(grams[a:b])
+                for lang, mine in by.items():
+                    v = space.bundle(*np.unique(np.concatenate(mine), return_counts=True)).astype(np.int64)
+                    total[lang] = total[lang] + v if lang in total else v
+                if len(total) > MOST_LANGUAGES:
+                    raise ValueError(f"over {MOST_LANGUAGES} languages")
+        for lang, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(range(len(v)), pa.int32()), pa.array(v)], ["lang", "dimension", "v"])
 
-    return train.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-class Space:
-    """Vectors of n-grams, made when first asked for."""
-
-    def __init__(self, seed: int, dimensions: int):
-        letters = np.arange(ALPHABET * dimensions, dtype=np.uint64)
-        self.letters = (1 - 2 * (mix(letters, seed) >> np.uint64(63)).astype(np.int8)).reshape(ALPHABET, dimensions)
-        self.row = np.full(ALPHABET**3, -1, np.int32)
-        self.vectors = np.zeros((1024, dimensions), np.float32)
-        self.used = 0
-
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.row[grams] < 0]
-        if len(new):
-            a, b, c = new // ALPHABET**2, new // ALPHABET % ALPHABET, new % ALPHABET
-            made = np.roll(self.letters[a], 2, 1) * np.roll(self.letters[b], 1, 1) * self.letters[c]
-            while self.used + len(new) > len(self.vectors):
-                self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.vectors[self.used : self.used + len(new)] = made
-            self.used += len(new)
-        return self.vectors[self.row[grams]]
+    return train.select("lang", "text").mapInArrow(run, "lang string, dimension int, v long").groupBy("lang", "dimension").agg(F.sum("v").alias("v"))
 
 
+@dataclass
 class Prototypes:
-    """Unit vectors of languages. counts: (lang, gram, n) rows."""
+    """Unit vectors of languages, in order of their names."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], seed: int = 52, dimensions: int = DIMENSIONS):
-        self.seed, self.dimensions = seed, dimensions
-        space = Space(seed, dimensions)
-        by: dict[str, list[tuple[int, int]]] = {}
-        for lang, gram, n in counts:
-            by.setdefault(lang, []).append((gram, n))
-        self.langs = sorted(by)
-        rows = []
-        for lang in self.langs:
-            pairs = np.array(sorted(by[lang]), np.int64)
-            v = pairs[:, 1].astype(np.float64) @ space.of(pairs[:, 0])
-            rows.append(v / max(np.linalg.norm(v), 1e-12))
-        self.matrix = np.array(rows, np.float32).reshape(len(rows), dimensions)
+    langs: list[str]
+    matrix: np.ndarray
 
 
 def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
-    """(doc_id, lang_pred, score) per row of docs(doc_id, text). score: the best cosine, at least 0. A null text, one
-    without a letter, and any text where no language was learned, are und with score 0; ties go to the first name."""
+    """(doc_id, lang_pred, score) per row of docs(doc_id, text). score: the best cosine, at least 0.
+
+    A null text, one without a letter, and any text where no language was learned, are und with score 0; ties go to the first
+    name. Repeated rows each give a result. A very long text is bundled whole, its distinct n-grams by the thousand. An
+    empty table gives an empty result. Other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
-    kept: list[Space] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        space = kept[0] if kept else Space(p.seed, p.dimensions)
-        kept[:] = [space]
+        p, space = shared.value, _space()
         for batch in batches:
             for first, texts in _parts(batch.column(1)):
                 grams, bound = trigrams(texts)
                 names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
                     if b > a and p.langs:
-                        which, n = np.unique(grams[a:b], return_counts=True)
-                        v = n.astype(np.float32) @ space.of(which)
+                        v = space.bundle(*np.unique(grams[a:b], return_counts=True))
                         cosine = p.matrix @ v / max(float(np.linalg.norm(v)), 1e-12)
                         best = int(np.argmax(cosine))
                         names[i], scores[i] = p.langs[best], min(1.0, max(0.0, float(cosine[best])))
@@ -161,9 +185,15 @@ def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
 
 
 def learn(train: DataFrame) -> Prototypes:
-    """Prototypes of the languages of train(lang, text); rows with a null in either are left out."""
+    """Prototypes of the languages of train(lang, text), MOST_LANGUAGES at most (more are an error); rows with a null in either
+    are left out. Repeated rows count as often as they occur."""
     good = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    return Prototypes([tuple(r) for r in gram_counts(good).collect()])  # at most languages x alphabet^3 rows
+    packed = bundles(good).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dimension", "v"))).alias("a")).select("lang", F.transform("a", lambda s: s["v"]).alias("v"))
+    rows = packed.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    v = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), DIMENSIONS)
+    return Prototypes([r["lang"] for r in rows], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
 
 
 def remainder(doc_id, m: int):
@@ -172,6 +202,7 @@ def remainder(doc_id, m: int):
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of documents by what four fifths of them teach; held_out marks the fifth that doesn't."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prototypes = learn(docs.where(remainder("doc_id", 5) != 0))
     out = identify(docs, prototypes)

@@ -325,6 +325,13 @@ def test_decontamination(spark, docs, empty, texts):
     assert decontaminate.contamination(docs, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def plain_bundle(text):
+    """The sum of a text's letter trigram vectors, one after the other."""
+    signs = re.sub(r"[^a-zßà-öø-ÿ\u4e00-\u9fff]+", "\0", f"\0{text.lower()}\0")
+    letter = lambda x: language_id.Space().letters(np.array([ord(x)]))[0].astype(float)
+    return sum((np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(signs, signs[1:], signs[2:]) if b != "\0"), np.zeros(language_id.DIMENSIONS))
+
+
 def test_language_id(spark, docs, empty):
     rng = np.random.default_rng(6)
     parts = {"xx": ["sch", "ung", "ein"], "yy": ["qu", "oi", "eau"], "zz": ["ção", "lh", "os"]}
@@ -335,6 +342,19 @@ def test_language_id(spark, docs, empty):
     test = [(i, make(x)) for i, x in enumerate(list(parts) * 10)]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(test, "doc_id long, text string"), p).collect()}
     assert all(got[i].lang_pred == list(parts)[i % 3] and 0 < got[i].score <= 1 for i, _ in test)
+    # Brute force: every n-gram bound and bundled on its own.
+    rows = [(r.lang, r.text) for r in train.where("lang is not null and text is not null").collect()]
+    vectors = {x: sum(plain_bundle(t) for y, t in rows if y == x) for x in parts}
+    for i, t in [*test[:6], (100, "Ünïcode 中文字 ß, ça"), (101, "a")]:
+        v = plain_bundle(t)
+        cosine = {x: float(v @ vectors[x] / np.linalg.norm(v) / np.linalg.norm(vectors[x])) for x in parts}
+        r = got[i] if i < 100 else language_id.identify(spark.createDataFrame([(i, t)], "doc_id long, text string"), p).first()
+        assert r.lang_pred == max(cosine, key=cosine.get) and abs(r.score - max(0.0, *cosine.values())) < 1e-9
+    small = language_id.Space()
+    grams, n = np.unique(language_id.trigrams([" ".join(t for _, t in test)])[0], return_counts=True)
+    want = small.bundle(grams, n)
+    small.reset()
+    assert (sum(small.bundle(grams[k : k + 7], n[k : k + 7]) for k in range(0, len(grams), 7)) == want).all()
     hard = language_id.identify(docs, p).collect()
     assert len(hard) == docs.count() and {r.lang_pred for r in hard if r.doc_id in (1, 2, 3)} == {"und"}
     assert language_id.identify(empty, p).count() == 0
