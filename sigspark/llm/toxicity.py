@@ -3,7 +3,8 @@
 Labels mark documents; the field is trained on labelled tokens. A bounded sample of labelled documents gives word and
 word-prefix features that stand out in toxic ones (a test against chance over both classes); a toxic document's tokens that carry
 one are labelled toxic, all others clean. The field has two states, weights for the selected features, a bias, and transitions,
-and is fitted by gradient ascent on the exact log-likelihood (forward-backward over segments).
+and is fitted by gradient ascent on the exact log-likelihood (forward-backward over segments of all tokens of the sample's texts;
+equal segments, such as those without a feature, are one with a weight).
 
 Scoring streams every token of every text. Tokens without a selected feature all have the same potentials, so a
 stretch of n of them is the n-th power of one 2 x 2 matrix: forward and backward run over the other tokens alone, and
@@ -14,7 +15,7 @@ that chose no feature, of the expected number of toxic tokens among those with f
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textblock import ALNUM, Chunk, Words, chunks, mix, prefix_sums, span_hashes, words
 
-#: Sample sizes by class, and the longest text taken into it (in characters).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 5000, 20_000
+#: Most labelled documents of each class in the sample; their texts are taken whole, whatever their length.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 5000
 PREFIXES = (4, 5, 6)
 SEGMENT = 24
 TABLE = 1 << 20
@@ -120,18 +121,20 @@ def evidence(p: np.ndarray) -> float:
     return float(np.log(0.01 + p.sum()))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, n_features: int, rounds: int = 60, rate: float = 0.3, decay: float = 3e-6):
+def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, times: np.ndarray, n_features: int, rounds: int = 60, rate: float = 0.3, ridge: float = 0.3):
     """Weights, bias and transitions of the largest penalised likelihood. x: feature ids (segments, tokens, features,
-    -1 for none); y: labels; valid: tokens that exist."""
+    -1 for none); y: labels; valid: tokens that exist; times: how often each segment occurs; ridge: the penalty, half of it times
+    the squares of weights and transitions, beside the log-likelihood of all tokens."""
     w, bias, trans = np.zeros(n_features + 1), -1.0, np.zeros((2, 2))
-    total = max(1, int(valid.sum()))
+    total = max(1.0, float(times @ valid.sum(1)))
     slots = np.where(x >= 0, x, n_features)
     n, length = y.shape
     m1 = [np.zeros_like(w), 0.0, np.zeros((2, 2))]
     m2 = [np.zeros_like(w), 0.0, np.zeros((2, 2))]
     pair = valid[:, 1:]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+    often = np.broadcast_to(times[:, None], pair.shape)[pair]
+    np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), often)
     for t in range(1, rounds + 1):
         w[-1] = 0
         emit = np.stack([np.ones((n, length)), np.exp(np.clip(bias + w[slots].sum(2), -30, 30))], 2)
@@ -150,9 +153,9 @@ def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, n_features: int,
         p = p[..., 1] / p.sum(2)
         joint = fore[:, :-1, :, None] * step * (emit[:, 1:] * back[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
-        gap = np.where(valid, y - p, 0)
-        g_w = np.bincount(slots.reshape(-1), np.repeat(gap.reshape(-1), x.shape[2]), n_features + 1) / total - decay * w
-        grads = [g_w, gap.sum() / total, (seen - joint[pair].sum(0)) / total - decay * trans]
+        gap = np.where(valid, y - p, 0) * times[:, None]
+        g_w = np.bincount(slots.reshape(-1), np.repeat(gap.reshape(-1), x.shape[2]), n_features + 1) / total - ridge / total * w
+        grads = [g_w, gap.sum() / total, (seen - np.tensordot(often, joint[pair], 1)) / total - ridge / total * trans]
         values = [w, bias, trans]
         for i, g in enumerate(grads):  # Adam: rare features move as fast as common ones
             m1[i] = 0.9 * m1[i] + 0.1 * g
@@ -182,13 +185,38 @@ def copy_keys(words_of: np.ndarray, bands: int = 6, rows: int = 4) -> set[tuple]
     return {(b, *low[b * rows : (b + 1) * rows]) for b in range(bands)}
 
 
-def _texts(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, features of its tokens) of each text, chunk by chunk."""
-    for chunk in chunks(pa.array(texts, pa.string())):
-        w = words(chunk, ALNUM)
-        h = token_features(chunk, w)
-        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist()), chunk.first):
-            yield i, h[a:b]
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number, label, features of its tokens) of each row (text, toxic), chunk by chunk."""
+    first = 0
+    for batch in batches:
+        toxic = batch.column(1).to_pylist()
+        for chunk in chunks(batch.column(0)):
+            w = words(chunk, ALNUM)
+            h = token_features(chunk, w)
+            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist()), chunk.first):
+                yield first + i, toxic[i], h[a:b]
+        first += batch.num_rows
+
+
+class Tally:
+    """Counts of features, kept as sorted arrays and merged by the million."""
+
+    def __init__(self):
+        self.names, self.counts, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, names: np.ndarray) -> None:
+        self.held.append(names)
+        self.size += len(names)
+        if self.size > 1 << 20:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate((self.names, *self.held))
+        weight = np.concatenate((self.counts, np.ones(self.size, np.int64)))
+        self.names, at = np.unique(every, return_inverse=True)
+        self.counts = np.bincount(at, weight, len(self.names)).astype(np.int64)
+        self.held, self.size = [], 0
+        return self.names, self.counts
 
 
 def select_features(by_class: list[tuple[np.ndarray, np.ndarray]], n1: int, n0: int) -> np.ndarray:
@@ -206,57 +234,63 @@ def select_features(by_class: list[tuple[np.ndarray, np.ndarray]], n1: int, n0:
     return names[(chance >= np.log(len(names) + len(by_class[1][0])) - 2) & (rate >= 0.8) & (names != 0)]
 
 
-def fit(texts: list[str], toxic: list[int]) -> Field:
-    """A field from a sample of labelled texts without their copies; a fifth is kept for the logistic function. The sample
-    is read twice, chunk by chunk: once for the features, once for the segments that train the chain."""
-    use: dict[int, bool] = {}  # index of a text taken: whether it is kept for the logistic function
+def no_field() -> Field:
+    return Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), 1.0, 0.0)
+
+
+def choose(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, dict[int, bool]]:
+    """The features that mark toxic texts of the sample (text, toxic), and the texts used: those without copies before them; true
+    for the fifth that is kept for the logistic function."""
+    use: dict[int, bool] = {}
     seen: set[tuple] = set()
-    parts: list[list[np.ndarray]] = [[], []]
-    for i, x in _texts(texts):
+    tallies, n = (Tally(), Tally()), [0, 0]
+    for i, toxic, x in _texts(batches):
         keys = copy_keys(np.unique(x[:, 0]))
         if not seen.intersection(keys):
             use[i] = len(use) % 5 == 4
             if not use[i]:
-                parts[0 if toxic[i] else 1].append(np.unique(x))
+                tallies[1 - toxic].add(np.unique(x))
+                n[1 - toxic] += 1
         seen.update(keys)
-    n1, n0 = len(parts[0]), len(parts[1])
-    field = Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), 1.0, 0.0)
-    if not n1 or not n0:
-        return field
-    by_class = []
-    for part in parts:
-        both = np.concatenate(part)
-        part.clear()
-        by_class.append(np.unique(both, return_counts=True))
-    field.features = select_features(by_class, n1, n0)
-    del by_class, both, seen
-    field.weights = np.zeros(len(field.features))
-    if not len(field.features):
+    return (select_features([t.merge() for t in tallies], *n) if all(n) else np.zeros(0, np.uint64)), use
+
+
+def fit(batches: Iterable[pa.RecordBatch], features: np.ndarray, use: dict[int, bool]) -> Field:
+    """A field over choose()'s features, from the same sample."""
+    field = no_field()
+    field.features, field.weights = features, np.zeros(len(features))
+    if not len(features):
         return field
-    table = field.table()
-    xs, ys, lens, proof = [], [], [], []
-    width = 1 + len(PREFIXES)
-    rng = np.random.default_rng(3)
-    for i, x in _texts(texts):
+    table, width = field.table(), 1 + len(PREFIXES)
+    plain, proof = np.zeros(SEGMENT + 1), []  # numbers of segments without a feature, by length
+    rows: dict[bytes, int] = {}
+    for i, toxic, x in _texts(batches):
         if i not in use or not len(x):
             continue
         got = field.ids(x, table)
         hot = np.flatnonzero((got >= 0).any(1))
         if use[i]:
-            proof.append((hot, got[hot], len(x), int(toxic[i])))
+            proof.append((hot, got[hot], len(x), toxic))
             continue
-        starts = {max(0, int(k) - int(rng.integers(SEGMENT))) for k in hot[:: max(1, len(hot) // 4)][:6]} | {int(rng.integers(len(got)))}
-        for s in starts:
-            part = got[s : s + SEGMENT]
-            ids = np.full((SEGMENT, width), -1, np.int32)
-            ids[: len(part)] = part
-            label = np.zeros(SEGMENT, np.int64)
-            label[: len(part)] = (part >= 0).any(1) & bool(toxic[i])
-            xs.append(ids)
-            ys.append(label)
-            lens.append(len(part))
-    valid = np.arange(SEGMENT) < np.array(lens)[:, None]
-    field.weights, field.bias, field.transitions = fit_chain(np.stack(xs), np.stack(ys), valid, len(field.features))
+        whole, rest = divmod(len(got), SEGMENT)
+        mine = np.unique(hot // SEGMENT)
+        plain[SEGMENT] += whole
+        plain[rest] += rest > 0
+        for s in mine.tolist():
+            part = np.full((SEGMENT, width), -1, np.int32)
+            length = min(SEGMENT, len(got) - s * SEGMENT)
+            part[:length] = got[s * SEGMENT : s * SEGMENT + length]
+            plain[length] -= 1
+            key = bytes([length, toxic]) + part.tobytes()
+            rows[key] = rows.get(key, 0) + 1
+    for length in np.flatnonzero(plain).tolist():
+        rows[bytes([length, 0]) + np.full((SEGMENT, width), -1, np.int32).tobytes()] = int(plain[length])
+    if rows:
+        xs = np.stack([np.frombuffer(k[2:], np.int32).reshape(SEGMENT, width) for k in rows])
+        lens, toxic = (np.array([k[j] for k in rows]) for j in (0, 1))
+        ys = ((xs >= 0).any(2) & (toxic == 1)[:, None]).astype(np.int64)
+        valid = np.arange(SEGMENT) < lens[:, None]
+        field.weights, field.bias, field.transitions = fit_chain(xs, ys, valid, np.array(list(rows.values()), float), len(features))
     power = field.plain_power()
     found = [evidence(field.marginals(hot, field.scores_of(ids), n, power) if len(hot) else np.zeros(0)) for hot, ids, n, _ in proof]
     field.slope, field.offset = fit_logistic(np.array(found), np.array([y for *_, y in proof]))
@@ -264,60 +298,84 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field:
-    """A field fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN texts of labels(doc_id, toxic), the first by a hash of
-    doc_id; a doc_id labelled twice takes the larger label. The bounded sample is fitted in one task; only the field comes
-    to the driver."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = Scratch(docs.sparkSession, "toxicity").save(known, "labels")
+    """A field fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN documents of labels(doc_id, toxic), the first by a hash of
+    doc_id, with their whole texts. The bounded sample is read in one task, twice; only the field comes to the driver.
+
+    A doc_id labelled twice takes the larger label; nulls in either column are left out, and so are other labels than 0
+    and 1. Of several texts of one doc_id the first by hash is taken, null texts are passed over, and copies within the sample
+    count once. An empty table, or labels of one class only, gives a field without features.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = scratch.save(known, "labels")
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     ids = F.broadcast(known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN)))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(ids, "doc_id").orderBy(order, "doc_id", "text").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).select("text", "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "doc_id")
+    one = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = scratch.save(one, "sample").repartition(1).sortWithinPartitions(order, "doc_id").select("text", "toxic")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, toxic = [], []
-        for batch in batches:
-            held += batch.column(0).to_pylist()
-            toxic += batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, toxic))], pa.binary())], ["field"])
+    def told(f) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(batches))], pa.binary())], ["made"])
+
+        made = rows.mapInArrow(run, "made binary").collect()
+        return pickle.loads(bytes(made[0]["made"])) if made else None
+
+    chosen = told(choose)
+    field = told(lambda batches: fit(batches, *chosen)) if chosen else None
+    scratch.drop("labels", "sample")
+    return field or no_field()
+
+
+class Scorer:
+    """A field at work in one task."""
+
+    def __init__(self, field: Field):
+        self.f, self.table, self.power = field, field.table(), field.plain_power()
+        self.none = evidence(np.zeros(0))
 
-    made = rows.mapInArrow(run, "field binary").collect()
-    return pickle.loads(bytes(made[0]["field"])) if made else fit([], [])
+    def logistic(self, x):
+        return 1 / (1 + np.exp(-np.clip(self.f.slope * x + self.f.offset, -40, 40)))
+
+    def rows(self, chunk: Chunk, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, places of its tokens with features among the chunk's, their marginals) of each row that has one."""
+        ids = self.f.ids(token_features(chunk, w), self.table)
+        hot = np.flatnonzero((ids >= 0).any(1))
+        emit = self.f.scores_of(ids[hot])
+        row = np.searchsorted(w.first, hot, "right") - 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], row, [-2]))))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            r = int(row[a])
+            first = int(w.first[r])
+            yield r, hot[a:b], self.f.marginals(hot[a:b] - first, emit[a:b], int(w.first[r + 1]) - first, self.power)
 
 
 def toxicity(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, score, predicted, and spans: code points (end exclusive) of tokens whose
-    marginal is at least 0.5. Null and empty texts, and those without a feature, have the score of no evidence."""
+    marginal is at least 0.5.
+
+    Null and empty texts, and those without a feature, have the score of no evidence. Repeated rows each give a result. A score
+    equal to the threshold is toxic. A very long text is scored whole; its stretches without features cost nothing each.
+    An empty table gives an empty result. Other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
-    def logistic(x: float, f: Field) -> float:
-        return float(1 / (1 + np.exp(-np.clip(f.slope * x + f.offset, -40, 40))))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        table, power, none = f.table(), f.plain_power(), logistic(evidence(np.zeros(0)), f)
+        scorer = Scorer(shared.value)
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 w = words(chunk, ALNUM)
-                ids = f.ids(token_features(chunk, w), table)
-                hot = np.flatnonzero((ids >= 0).any(1))
-                emit = f.scores_of(ids[hot])
-                row = np.searchsorted(w.first, hot, "right") - 1
-                score = np.full(len(chunk), none)
+                found = np.full(len(chunk), scorer.none)
                 spans: list[list[dict]] = [[] for _ in range(len(chunk))]
-                edges = np.flatnonzero(np.diff(np.concatenate(([-1], row, [-2]))))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    r = int(row[a])
-                    first = int(w.first[r])
-                    p = f.marginals(hot[a:b] - first, emit[a:b], int(w.first[r + 1]) - first, power)
-                    score[r] = logistic(evidence(p), f)
+                for r, at, p in scorer.rows(chunk, w):
+                    found[r] = evidence(p)
                     bad = np.flatnonzero(p >= 0.5)
                     if len(bad):
                         o = chunk.offsets[r]
                         points = np.concatenate(([0], np.cumsum((chunk.data[o : chunk.offsets[r + 1]] & 0xC0) != 0x80)))
-                        spans[r] = [{"start": int(points[w.start[hot[a + k]] - o]), "end": int(points[w.end[hot[a + k]] - o]), "p": float(p[k])} for k in bad]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(score), pa.array(spans, pa.list_(span))], ["doc_id", "score", "spans"])
+                        spans[r] = [{"start": int(points[w.start[at[k]] - o]), "end": int(points[w.end[at[k]] - o]), "p": float(p[k])} for k in bad]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(scorer.logistic(found)), pa.array(spans, pa.list_(span))], ["doc_id", "score", "spans"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = plain.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
@@ -325,30 +383,22 @@ def toxicity(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame
 
 
 def reject_toxic(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows predicted toxic; all columns stay, in one pass over the texts."""
+    """docs without the rows that toxicity() predicts toxic, by each row's own text; all columns stay, whatever their names, in
+    one pass over the texts. Null and empty texts are no evidence, repeated rows go or stay together, rows without doc_id are
+    judged as well, and an empty table gives an empty one."""
     carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        table, power = f.table(), f.plain_power()
+        scorer = Scorer(shared.value)
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                w = words(chunk, ALNUM)
-                ids = f.ids(token_features(chunk, w), table)
-                hot = np.flatnonzero((ids >= 0).any(1))
-                emit = f.scores_of(ids[hot])
-                row = np.searchsorted(w.first, hot, "right") - 1
-                found = np.full(len(chunk), evidence(np.zeros(0)))
-                edges = np.flatnonzero(np.diff(np.concatenate(([-1], row, [-2]))))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    r = int(row[a])
-                    first = int(w.first[r])
-                    found[r] = evidence(f.marginals(hot[a:b] - first, emit[a:b], int(w.first[r + 1]) - first, power))
-                keep = 1 / (1 + np.exp(-np.clip(f.slope * found + f.offset, -40, 40))) < threshold
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)).filter(pa.array(keep))], ["_row"])
-
-    kind = carried.schema["_row"].dataType.simpleString()
+                found = np.full(len(chunk), scorer.none)
+                for r, _, p in scorer.rows(chunk, words(chunk, ALNUM)):
+                    found[r] = evidence(p)
+                keep = pa.array(scorer.logistic(found) < threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)).filter(keep)], ["_row"])
+
     return carried.mapInArrow(run, carried.select("_row").schema).select("_row.*")
 
 
@@ -358,6 +408,7 @@ def held_out(doc_id: str):
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity() of documents by a field that learns from labels of rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id"))
     field = learn(docs, labels)

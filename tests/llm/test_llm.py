@@ -375,6 +375,30 @@ def chain_brute(field, ids):
     return one / total
 
 
+def test_chain_fit_is_the_optimum():
+    """The fitted chain against the penalised likelihood by enumeration of all states: no direction climbs."""
+    import itertools
+
+    rng = np.random.default_rng(14)
+    lens, times, n = np.array([4, 4, 3, 2, 4, 1]), np.array([3.0, 1, 2, 1, 5, 2]), 3
+    x = rng.integers(-1, n, (6, 4, 2)).astype(np.int32)
+    y, valid = rng.integers(0, 2, (6, 4)), np.arange(4) < lens[:, None]
+    w, bias, trans = toxicity.fit_chain(x, y, valid, times, n, rounds=4000, rate=0.02, ridge=0.5)
+
+    def value(v):
+        w, bias, trans = v[:n], v[n], v[n + 1 :].reshape(2, 2)
+        total = 0.0
+        for k, m in enumerate(lens):
+            emit = [bias + sum(w[i] for i in x[k, t] if i >= 0) for t in range(m)]
+            score = lambda s: sum(e for e, z in zip(emit, s) if z) + sum(trans[a, b] for a, b in zip(s, s[1:]))
+            total += times[k] * (score(y[k, :m]) - np.log(sum(np.exp(score(s)) for s in itertools.product((0, 1), repeat=int(m)))))
+        return total - 0.25 * ((w**2).sum() + (trans**2).sum())
+
+    at = np.concatenate((w, [bias], trans.ravel()))
+    slopes = [(value(at + d) - value(at - d)) / 2e-4 for d in 1e-4 * np.eye(len(at))]
+    assert np.abs(slopes).max() < 1e-2
+
+
 def test_toxicity(spark, docs, empty):
     f = toxicity.Field(np.array([5, 9], np.uint64), np.array([2.0, 1.0]), -1.5, np.array([[0.4, -0.2], [-0.3, 0.8]]), 1.0, 0.0)
     ids = np.full((9, 4), -1, np.int32)
