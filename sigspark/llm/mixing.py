@@ -2,14 +2,20 @@
 
 A classifier fitted on a bounded sample of the labelled table gives every document a posterior over domains. Document rates are
 the least-squares solution, over rates in [low, high], of: expected tokens of each domain (rate x tokens x posterior,
-summed over all documents) equal its target share of the token budget; of several, the one nearest to rates of 1. Such a rate
-is 1 plus its posterior times one multiplier a domain, cut to [low, high]. The multipliers are found by Newton steps on
-the convex dual; each round is one aggregate over all documents in Spark, and no state of the table's size is kept or sent.
+summed over all documents) equal its target share of the token budget; of several, the one nearest to rates of 1.
+
+Projected gradient steps move all rates against the gradient, a document's posteriors times the domains' gaps, and project
+them to [low, high]. The steps are added up before they are projected, so all of them are one number a domain (its
+multiplier), and a document's rate follows from those and its posteriors: no state of the table's size is kept or sent. Each
+round is one aggregate over all documents in Spark. Steps are scaled by the curvature of the documents strictly between
+the bounds, with a line search, until the gradient settles: plain steps of one size leave rare domains short of targets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import warnings
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +27,8 @@ from .scratch import Scratch
 from .textblock import NOT_SPACE, chunks, prefix_sums, span_hashes, words
 
 BUCKETS = 1 << 16
-#: Labelled rows of each domain in the sample, and the longest text taken into it (in characters).
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
+#: Most labelled documents of each domain in the sample; their texts are taken whole, whatever their length.
+SAMPLE_ROWS = 2000
 
 
 @dataclass
@@ -51,42 +57,65 @@ def _buckets(chunk) -> tuple[np.ndarray, np.ndarray]:
     return (span_hashes(prefix_sums(chunk), w.start, w.end) % np.uint64(BUCKETS)).astype(np.int32), w.first
 
 
-def fit(texts: list[str], names: list[str], domains: list[str], rounds: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """Domains without a row have a prior of next to nothing."""
-    y = np.array([domains.index(n) for n in names], np.int64)
-    k = len(domains)
-    prior = np.log((np.bincount(y, minlength=k) + 1e-6) / (len(y) + k * 1e-6))
-    model = Classifier(domains, np.zeros((BUCKETS, k)), prior)
-    parts = [_buckets(c) for c in chunks(pa.array(texts, pa.string()))]
-    if not parts:
+def fit(rows: Iterable[pa.RecordBatch], domains: list[str], rounds: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
+    """A classifier of rows (text, domain), all read once; a text stays as its buckets and how often each occurs. Domains
+    without a row have a prior of next to nothing."""
+    names, buckets, times = [], [], []
+    for batch in rows:
+        names += batch.column(1).to_pylist()
+        for chunk in chunks(batch.column(0)):
+            bucket, first = _buckets(chunk)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                which, n = np.unique(bucket[a:b], return_counts=True)
+                buckets.append(which)
+                times.append(n)
+    y, k = np.array([domains.index(n) for n in names], np.int64), len(domains)
+    model = Classifier(domains, np.zeros((BUCKETS, k)), np.log((np.bincount(y, minlength=k) + 1e-6) / (len(y) + k * 1e-6)))
+    if not names:
         return model
-    bucket = np.concatenate([b for b, _ in parts])
-    counts = np.concatenate([np.diff(f) for _, f in parts])
-    first = np.concatenate(([0], np.cumsum(counts)))
-    scale = np.repeat(1 / np.sqrt(np.maximum(counts, 1)), counts)
+    counts = np.array([len(b) for b in buckets])
+    words_of = np.array([n.sum() for n in times])
+    bucket = np.concatenate(buckets)
+    scale = np.concatenate(times) / np.repeat(np.sqrt(np.maximum(words_of, 1)), counts)
+    row = np.repeat(np.arange(len(y)), counts)
     hot = np.eye(k)[y]
     m1, m2 = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for t in range(1, rounds + 1):
-        gap = (hot - model.posteriors(bucket, first)) / len(y)
+        z = model.bias + np.stack([np.bincount(row, scale * model.weights[:, c][bucket], len(y)) for c in range(k)], 1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        gap = (hot - p / p.sum(1, keepdims=True)) / len(y)
         for c in range(k):
-            g = np.bincount(bucket, np.repeat(gap[:, c], counts) * scale, BUCKETS) - decay * model.weights[:, c]
+            g = np.bincount(bucket, gap[row, c] * scale, BUCKETS) - decay * model.weights[:, c]
             m1[:, c] = 0.9 * m1[:, c] + 0.1 * g
             m2[:, c] = 0.99 * m2[:, c] + 0.01 * g**2
             model.weights[:, c] += rate * (m1[:, c] / (1 - 0.9**t)) / (np.sqrt(m2[:, c] / (1 - 0.99**t)) + 1e-8)
     return model
 
 
-def sample(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[str], list[str]]:
-    """Texts and domains of at most SAMPLE_ROWS rows of each domain of labelled(doc_id, domain), the first by a hash."""
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
+    """A classifier fitted on at most SAMPLE_ROWS documents of each domain of labelled(doc_id, domain), the first by a hash of
+    doc_id, with their whole texts. The bounded sample is fitted in one task; only the weights come to the driver.
+
+    A document labelled twice takes the first domain by name; other domains and null ids are left out. Of several texts of
+    one doc_id the first by hash is taken; null texts are passed over.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
     order = F.xxhash64(F.lit("mixing"), "doc_id")
-    known = Scratch(docs.sparkSession, "mixing").save(labelled.where("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")).where(F.col("domain").isin(domains)), "labels")
+    known = scratch.save(labelled.where("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")).where(F.col("domain").isin(domains)), "labels")
     ids = None
     for d in domains:
         part = known.where(F.col("domain") == d).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
         ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").select("text", "domain").limit(2 * SAMPLE_ROWS * len(domains)).toArrow()
-    return rows.column("text").to_pylist(), rows.column("domain").to_pylist()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.max("domain").alias("domain"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = scratch.save(one, "sample").repartition(1).sortWithinPartitions(order, "doc_id").select("text", "domain")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches, domains))], pa.binary())], ["made"])
+
+    made = rows.mapInArrow(run, "made binary").collect()
+    scratch.drop("labels", "sample")
+    return pickle.loads(bytes(made[0]["made"])) if made else fit([], domains)
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -107,6 +136,8 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
 #: Weight of the squared distance from rates of 1 beside the squared gaps: a target's miss by it is this times its multiplier.
 NEARNESS = 1e-6
+#: A domain's share of tokens that misses its target by more than this, since the bounds leave no more, is warned of.
+MISSED = 0.01
 
 
 def _rate(multipliers: np.ndarray, domains: list[str], low: float, high: float) -> tuple[Column, Column]:
@@ -118,7 +149,8 @@ def _rate(multipliers: np.ndarray, domains: list[str], low: float, high: float)
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = 4.0, rounds: int = 200, close: float = 1e-5) -> DataFrame:
     """members with rate. targets: shares by domain (scaled to add up to 1); budget: total tokens wanted, as a multiple
     of what there is. Ends when the dual's gradient, a share of all tokens for each domain, is below close; raises an
-    error if it isn't after that many rounds. Targets out of reach are met as nearly as low and high let them."""
+    error if it isn't after that many rounds. Targets out of reach are met as nearly as low and high let them, and a warning
+    gives the shares reached."""
     domains = list(targets)
     want = np.array([targets[d] for d in domains]) / max(sum(targets.values()), 1e-12) * budget
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
@@ -127,7 +159,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float = 1.0
     left = rounds
 
     def slope(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and Hessian of the dual."""
+        """Gradient at the multipliers, and its own slope (the curvature)."""
         nonlocal left
         if left == 0:
             raise RuntimeError(f"rates did not settle in {rounds} rounds")
@@ -154,6 +186,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float = 1.0
             short, long = (short, size) if along > 0 else (size, long)
             size = 2 * size if long == np.inf else float(np.sqrt(short * long)) if short else long / 8
         at = at + size * step
+    short = gap - NEARNESS * at
+    if total and np.abs(short).max() > MISSED:
+        warnings.warn(f"rates in [{low}, {high}] reach {dict(zip(domains, np.round(want + short, 4).tolist()))} of the tokens, not {dict(zip(domains, np.round(want, 4).tolist()))}", stacklevel=2)
     return members.withColumn("rate", _rate(at, domains, low, high)[0])
 
 
@@ -166,10 +201,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how
     hash of the doc_id so that its mean is the rate.
 
     Null and empty texts have no tokens, the prior's posterior and a rate by it. Repeated rows are documents of their own. A
-    document labelled twice takes the first domain by name. Without labels, or with an empty table, the posteriors are
-    the prior's and the fit does what it can with them. Other columns are not looked at.
+    document labelled twice takes the first domain by name. Very long texts count whole. Without labels, or with an empty
+    table, the posteriors are the prior's and the fit does what it can with them. Other columns are not looked at.
     """
-    model = fit(*sample(docs, labelled, list(targets)), list(targets))
+    model = learn(docs, labelled, list(targets))
     members = Scratch(docs.sparkSession, "mixing").save(memberships(docs, model), "members")
     out = fit_rates(members, targets, **how)
     return out.withColumn("copies", F.floor(F.col("rate") + uniform(F.coalesce("doc_id", F.lit(0)), 6)).cast("int"))
@@ -185,12 +220,18 @@ TARGETS = {"good": 0.85, "plain": 0.10, "toxic": 0.05}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed() of documents by the domains of labels, to TARGETS."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
 
 
 def repeat_by_rate(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how) -> DataFrame:
-    """docs with each row as often as its copies say; all columns stay."""
+    """docs with each row as often as its copies say; all columns stay, whatever their names.
+
+    Rows of one doc_id, and those without one, are repeated alike, as often as the largest of their copies says. Null and empty
+    texts are repeated as their prior's rate says (with low of 1 at least once). Ties need no rule. Very long texts are weighed
+    whole. Without labels or targets all rows follow the prior; an empty table gives an empty one.
+    """
     copies = mixed(docs, labelled, targets, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
     copies = Scratch(docs.sparkSession, "mixing").save(copies, "copies")
-    told = docs.select(F.struct(*docs.columns).alias("_row")).join(copies.hint("shuffle_hash"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    told = docs.select(F.struct(*docs.columns).alias("_row")).join(copies.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")))
     return told.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -1,6 +1,7 @@
 """The training-data operators: hard rows (nulls, empty and long texts, repeats, extra columns, empty tables), and
 brute force, round trips or held-out accuracy."""
 
+import contextlib
 import re
 import zlib
 
@@ -438,22 +439,37 @@ def test_mixing(spark, docs, empty):
     assert len(out) == 400 and (out.n_tokens == [len(dict(rows)[i].split()) for i in out.doc_id]).all() and (out.rate >= 0).all()
     share = (out.rate * out.n_tokens * out.p_plain).sum() / out.n_tokens.sum()
     assert abs(share - 0.5) < 0.02 and ((out.p_plain > 0.5) == (out.doc_id % 5 == 0)).mean() > 0.9
-    # The fit against the same problem solved whole: rates are in [0, 4] and no feasible change of direction is left.
-    p, w = out[["p_good", "p_plain"]].to_numpy(), out.n_tokens.to_numpy() / out.n_tokens.sum()
-    gap = (w * out.rate.to_numpy()) @ p - 0.5
-    assert np.abs(gap).max() < 0.02
     again = mixing.repeat_by_rate(d, lab, {"good": 0.5, "plain": 0.5}, low=1.0, high=2.0)
     assert again.columns == d.columns and again.select("doc_id").distinct().count() == 400
+    odd = docs.withColumns({c: F.lit("clash") for c in ("_id", "_copies", "rate", "n_tokens", "p_good")})
+    twice = mixing.repeat_by_rate(odd, lab, {"good": 0.5, "plain": 0.5}, low=2.0, high=2.0)
+    assert twice.columns == odd.columns and twice.count() == 2 * odd.count()
+    assert mixing.repeat_by_rate(empty, lab, {"good": 1.0}).count() == 0 and mixing.repeat_by_rate(docs, lab.limit(0), {"good": 1.0}, low=1.0).count() >= docs.count()
     hard = mixing.mixed(docs, lab, {"good": 0.5, "plain": 0.5})
     assert hard.count() == docs.count() and mixing.mixed(empty, lab, {"good": 1.0}).count() == 0
 
 
+def test_mixing_against_the_whole_problem(spark, monkeypatch):
+    """Rates against plain projected gradient steps with one rate a document held in memory."""
+    monkeypatch.setattr(mixing, "NEARNESS", 0.05)
+    rng = np.random.default_rng(15)
+    p, n = rng.dirichlet([0.3, 0.3, 0.3], 60), rng.integers(1, 300, 60)
+    members = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(60)], "doc_id long, n_tokens long, p_a double, p_b double, p_c double")
+    for want, low, high in ((np.array([0.7, 0.2, 0.3]), 0.6, 2.0), (np.array([1.0, 0.1, 0.4]), 0.5, 1.5)):
+        got = mixing.fit_rates(members, dict(zip("abc", want)), float(want.sum()), low, high, close=1e-9).orderBy("doc_id").toPandas().rate.to_numpy()
+        w, r = n / n.sum(), np.ones(60)
+        for _ in range(40_000):
+            r = np.clip(r - 0.5 * (p @ ((w * r) @ p - want) + 0.05 * (r - 1)), low, high)  # the gradient over each document's own weight
+        assert np.abs(got - r).max() < 1e-5 and ((got == low) | (got == high)).any()
+
+
 def test_mixing_rare_domain(spark):
     """The defaults reach a rare domain's attainable target, and settle beside one out of reach."""
     rows = [(i, 100, float(i % 100 != 0), float(i % 100 == 0)) for i in range(1000)]
     members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_plain double, p_rare double")
     for target, want in ((0.03, 0.03), (0.5, 0.04)):
-        out = mixing.fit_rates(members, {"plain": 1 - target, "rare": target}).toPandas()
+        with pytest.warns() if target > 0.04 else contextlib.nullcontext():
+            out = mixing.fit_rates(members, {"plain": 1 - target, "rare": target}).toPandas()
         share = (out.rate * out.n_tokens * out.p_rare).sum() / out.n_tokens.sum()
         assert abs(share - want) < 1e-4 and out.rate.between(0, 4).all()
     with pytest.raises(RuntimeError):
