@@ -7,6 +7,7 @@
    third of all vectors is many small tasks. Every class goes to the pair of its own block with each block of a list
    that can hold a link of it: one whose centroid is no farther than the list's radius and the largest distance of a
    link, and whose side of the plane between both centroids is no farther than that distance. Neither loses a link.
+   A smaller share of that distance at the plane probes fewer lists, at some loss (see embedding_links).
 4. In a pair of blocks entries are ranked by asymmetric distance (table look-ups of the exact query against the codes);
    an entry is dropped only if that distance less its coding error exceeds the largest distance of a link, which loses
    no link. What stays is judged by the exact cosine in double precision. A pair of blocks returns one row a vector: its
@@ -119,14 +120,14 @@ class Layout:
             at = int(np.where(left, norms - 2 * (coarse @ coarse[at]), np.inf).argmin())
         return cls(coarse, radius, first, parts)
 
-    def targets(self, unit: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    def targets(self, unit: np.ndarray, own: np.ndarray, reach: float, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """(row, block): every block that may hold a vector within reach of the row's, by its lists' radii and by the
-        planes between their centroids and the row's own (the nearest)."""
+        planes between their centroids and the row's own (the nearest), no farther than that share of reach."""
         norms = (self.coarse**2).sum(1)
         squares = np.maximum((unit**2).sum(1)[:, None] + norms - 2 * (unit @ self.coarse.T), 0)
         gaps = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * (self.coarse[own] @ self.coarse.T), 0))
         may = np.sqrt(squares) - self.radius <= reach
-        may &= squares - squares[np.arange(len(own)), own][:, None] <= 2 * reach * gaps + 1e-6
+        may &= squares - squares[np.arange(len(own)), own][:, None] <= 2 * share * reach * gaps + 1e-6
         hit = np.zeros((len(unit), int((self.first + self.parts).max())), bool)
         row, near = np.nonzero(may)
         for k in range(int(self.parts.max())):
@@ -209,13 +210,17 @@ def block_links(blocks: DataFrame, q: Quantiser, least: float) -> DataFrame:
     return blocks.groupBy("lo", "hi").applyInArrow(run, "node long, label long, links long")
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
+def embedding_links(vectors: DataFrame, least: float = 0.95, share: float = 1.0) -> DataFrame:
     """Per row of vectors(vec_id, embedding): vec_id, n_links, component_id, kept.
 
+    share: how far from the plane between two lists, as a share of a link's largest distance, vectors still meet the other
+    list. 1 is exact. Less is for tables too large for that: a link is lost if its step across the plane is a larger share
+    of it; where links point anywhere in d dimensions, shares have a standard deviation of 1 / sqrt(d).
+
     Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors of another
     length than the most common one (ties: the longer). Rows of one vec_id and equal embedding count once as partners
     and each give a result. A row without vec_id links with nothing: its component_id is null and kept true.
-    An empty table gives an empty result. Other columns are not looked at.
+    Ties need no rule: a component's smallest vec_id stays. An empty table gives an empty result. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -258,7 +263,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                     batch, told = whole.slice(k, 1024), layout.value
                     own = batch.column(3).to_numpy()
                     block = told.first[own] + batch.column(6).to_numpy() % told.parts[own]
-                    row, other = told.targets(_units(batch.column(2), width), own, reach)
+                    row, other = told.targets(_units(batch.column(2), width), own, reach, share)
                     first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
                     yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(block, pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(other, pa.int32()))], ["rep", "m", "embedding", "list", "code", "error", "block", "others"])
 
@@ -281,4 +286,5 @@ def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embedding_links() of embeddings at cosine 0.95, exact."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)

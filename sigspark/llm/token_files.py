@@ -33,6 +33,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Pre-tokens kept by a task's cache before it starts afresh.
 CACHE_ENTRIES = 1 << 21
+#: Most bytes of a pre-token that its hash stands for.
+LONGEST = 256
 
 _U = np.uint64
 # Classes of the byte-level pattern: letter, number, white space, other.
@@ -56,8 +58,9 @@ class Tokeniser:
     """Token ids of whole chunks with a byte-level tokenizer file of the tokenizers library.
 
     The library's pre-tokens (contractions, optional space with letters, numbers or other signs, white space) are found with numpy
-    for texts of code points below U+0530; each distinct pre-token is encoded by the library once and kept. Texts with
-    any other code point, or with an added token's string, go to the library whole. Both ways give the library's ids.
+    for texts of code points below U+0500; each distinct pre-token is encoded by the library once and kept. Texts with
+    any other code point, with an added token's string, or with a pre-token of over LONGEST bytes go to the library whole, and
+    so do all texts where the file's configuration is another one. Both ways give the library's ids.
     """
 
     def __init__(self, path: str):
@@ -67,7 +70,10 @@ class Tokeniser:
 
         self.library = Library.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.added = [t["content"].encode() for t in json.load(f).get("added_tokens", [])]
+            config = json.load(f)
+        self.added = [t["content"].encode() for t in config.get("added_tokens", [])]
+        split = config.get("pre_tokenizer") or {}
+        self.plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not config.get("normalizer") and not config.get("truncation")
         self.table = _class_table()
         self.reset()
 
@@ -153,8 +159,8 @@ class Tokeniser:
         """Ids of each row of the chunk."""
         out: list[np.ndarray | None] = [None] * len(chunk)
         raw = chunk.data
-        hard = set()
-        for at in np.flatnonzero(raw >= 0xD4):  # a lead byte of U+0500 and beyond
+        hard = set() if self.plain else set(range(len(chunk)))
+        for at in np.flatnonzero(raw >= 0xD4) if self.plain else ():  # a lead byte of U+0500 and beyond
             hard.add(int(np.searchsorted(chunk.offsets, at, "right")) - 1)
         whole = raw.tobytes()
         for token in self.added:
@@ -162,11 +168,14 @@ class Tokeniser:
             while at >= 0:
                 hard.add(int(np.searchsorted(chunk.offsets, at, "right")) - 1)
                 at = whole.find(token, at + 1)
-        if hard:
-            rows = sorted(hard)
+
+        def send(rows: list[int]) -> None:
             texts = [raw[chunk.offsets[r] : chunk.offsets[r + 1]].tobytes().decode() for r in rows]
             for r, e in zip(rows, self.library.encode_batch_fast(texts, add_special_tokens=False)):
                 out[r] = np.array(e.ids, np.uint32)
+
+        if hard:
+            send(sorted(hard))
         easy = [r for r in range(len(chunk)) if r not in hard]
         if hard:
             keep = np.ones(len(raw), bool)
@@ -205,6 +214,9 @@ class Tokeniser:
         cut = np.concatenate(([0], stops))[np.searchsorted(start, offsets)]
         for i, r in enumerate(easy):
             out[r] = ids[cut[i] : cut[i + 1]]
+        long = np.flatnonzero(end - start > LONGEST)
+        if len(long):
+            send([easy[i] for i in np.unique(np.searchsorted(offsets, start[long], "right") - 1).tolist()])
         return out
 
 
@@ -374,12 +386,14 @@ def block_starts(blocks: DataFrame) -> DataFrame:
     return inner.join(before.hint("merge"), "shard").select("shard", "block", (F.col("before") + F.col("inner")).alias("start"))
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> dict:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> dict:
     """Writes docs(doc_id, text) as token files; returns {"blocks": table, "codebook": ids by rank, "documents": what
     read_blocks() finds in the files, "path": their folder}.
 
     Null and empty texts have the end id only; repeated rows are written as often as they occur, ties of doc_id by a
-    hash of their texts; a null doc_id comes first. An empty table gives no blocks. Other columns are not looked at.
+    hash of their texts; a null doc_id comes first. A very long text is tokenised whole and is a block of its own where it
+    exceeds one. An empty table gives no blocks. Other columns are not looked at. The files are the written result: they stay
+    where path says, or in a folder of the session's that goes with it.
     Texts are dealt out in order once and tokenised once, into a written table that the count and the files read.
     """
     spark = docs.sparkSession
@@ -388,13 +402,16 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> dict:
     tokens = scratch.save(tokenise(docs, tokenizer, end_id, shards), "ids")
     counted = frequencies(tokens).orderBy(F.desc("n"), "id").collect()  # at most one row per vocabulary entry
     codebook = [int(r["id"]) for r in counted]
-    blocks = scratch.save(write_blocks(tokens, codebook), "files")
-    scratch.save(spark.createDataFrame([(i, t) for i, t in enumerate(codebook)], "rank int, id int"), "codebook")
+    out, made = path or scratch.base, write_blocks(tokens, codebook)
+    made.write.option("compression", "zstd").parquet(f"{out}/files")
+    blocks = spark.read.schema(made.schema).parquet(f"{out}/files")
+    spark.createDataFrame([(i, t) for i, t in enumerate(codebook)], "rank int, id int").write.parquet(f"{out}/codebook")
     scratch.drop("ids")
-    return {"blocks": blocks, "codebook": codebook, "documents": read_blocks(blocks, codebook, block_starts(blocks)), "path": scratch.base}
+    return {"blocks": blocks, "codebook": codebook, "documents": read_blocks(blocks, codebook, block_starts(blocks)), "path": out}
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of documents hold, read back from them."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
