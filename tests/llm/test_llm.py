@@ -538,8 +538,9 @@ def test_pipeline(spark, tmp_path):
     rng = np.random.default_rng(10)
     item = prose(rng, 40)
     rows = [(i, prose(rng, 80) + (" rotten vile rotten" if i % 6 == 0 else "")) for i in range(300)]
+    rows += [(7, rows[7][1]), (None, prose(rng, 30)), (310, prose(rng, 20000))]
     rows += [(300, rows[1][1]), (301, rows[1][1].replace("alpha", "omega", 1)), (302, prose(rng, 60) + " " + item), (303, None), (304, ""), (305, item)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *(F.lit("clash").alias(c) for c in ("_row", "_id", "key", "rep", "rate", "score")))
     d.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -551,13 +552,16 @@ def test_pipeline(spark, tmp_path):
             docs_out.write.parquet(str(tmp_path / f"s{i}"))
             docs = spark.read.parquet(str(tmp_path / f"s{i}"))
             seen.append({r.doc_id: r.text for r in docs.collect()})
-    assert not any(i % 6 == 0 for i in seen[0] if i < 300) and len(seen[0]) == 306 - 50
+    assert not any(i % 6 == 0 for i in seen[0] if i < 300) and len(seen[0]) == 308 - 50
     assert 300 not in seen[1] and 301 not in seen[1] and 1 in seen[1]
     assert item not in seen[2][302] and 305 not in seen[2] and seen[2][5] == rows[5][1]
     assert set(seen[3]) == set(seen[2])
     out = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    want = sorted((r.doc_id, zlib.crc32(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for r in docs.collect())
-    assert sorted((r.doc_id, r.ids_crc32) for r in out) == want
+    want = sorted((str(r.doc_id), zlib.crc32(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for r in docs.collect())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in out) == want
     whole = corpus_pipeline.run(spark, str(tmp_path)).count()
     assert whole == len(out)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
