@@ -11,7 +11,8 @@ from sigspark.llm.scratch import Scratch
 #: No SQL expresses a trained field, MinHash or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-#: Target shares of tokens. Rates are at least 1 here, so that mixing repeats documents and loses none.
+#: Target shares of tokens. Rates are at least 1 here, so that mixing repeats documents and loses none: of a domain that has more
+#: than its target share of 1.25 times all tokens nothing can be taken away, and a warning gives the shares reached.
 TARGETS = {"good": 0.9, "plain": 0.1}
 
 
@@ -32,6 +33,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, one to three times each, until tokens of the domains of labels have the target shares."""
     labelled = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.repeat_by_rate(docs, labelled, TARGETS, budget=1.25, low=1.0, high=3.0)
 
@@ -47,6 +49,7 @@ STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("benchmark
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for documents, each stage's result written and read back."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
