@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _c(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
 
 
+def bound(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """f of a struct of values that are evaluated once for a row, however often f's lambdas look at them."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), f), F.lit(0))
+
+
 def total(x: Column | str) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -24,8 +31,7 @@ def norm(x: Column | str) -> Column:
 
 def l2_normalize(x: Column | str, eps: float = 1e-12) -> Column:
     """x / max(|x|, eps)."""
-    n = F.greatest(norm(x), F.lit(eps))
-    return F.transform(_c(x), lambda v: v / n)
+    return bound({"x": _c(x), "n": F.greatest(norm(x), F.lit(eps))}, lambda b: F.transform(b["x"], lambda v: v / b["n"]))
 
 
 def cosine(x: Column | str, y: Column | str, eps: float = 1e-12) -> Column:
@@ -38,40 +44,40 @@ def mean(x: Column | str) -> Column:
 
 def std(x: Column | str, sample: bool = False) -> Column:
     """Population standard deviation, or the sample's (n - 1)."""
-    m = mean(x)
-    squares = F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+    squares = bound({"x": _c(x), "m": mean(x)}, lambda b: F.aggregate(b["x"], F.lit(0.0), lambda a, v: a + (v - b["m"]) * (v - b["m"])))
     n = F.size(_c(x)) - (1 if sample else 0)
     return F.sqrt(squares / F.greatest(n, F.lit(1)))
 
 
+def _scaled(x: Column | str, centre: Column, spread: Column) -> Column:
+    return bound({"x": _c(x), "m": centre, "s": spread}, lambda b: F.transform(b["x"], lambda v: (v - b["m"]) / b["s"]))
+
+
 def zscore_pop(x: Column | str) -> Column:
     """(x - mean) / population std; a std of 0 counts as 1."""
-    m, s = mean(x), std(x)
-    return F.transform(_c(x), lambda v: (v - m) / F.when(s == 0, 1.0).otherwise(s))
+    return _scaled(x, mean(x), F.coalesce(F.nullif(std(x), F.lit(0.0)), F.lit(1.0)))
 
 
 def zscore_sample(x: Column | str, floor: float = 1e-8) -> Column:
     """(x - mean) / max(sample std, floor)."""
-    m, s = mean(x), F.greatest(std(x, True), F.lit(floor))
-    return F.transform(_c(x), lambda v: (v - m) / s)
+    return _scaled(x, mean(x), F.greatest(std(x, True), F.lit(floor)))
 
 
 def scale_std(x: Column | str, floor: float = 1e-8) -> Column:
     """x / max(sample std, floor), not centred."""
-    s = F.greatest(std(x, True), F.lit(floor))
-    return F.transform(_c(x), lambda v: v / s)
+    return _scaled(x, F.lit(0.0), F.greatest(std(x, True), F.lit(floor)))
 
 
 def instance_norm(x: Column | str, eps: float = 1e-5, last: bool = False) -> Column:
     """Struct of the normalised series and what undoes it: its mean (or last value) and sqrt(population variance + eps)."""
     centre = F.element_at(_c(x), -1) if last else mean(x)
     spread = F.sqrt(F.pow(std(x), F.lit(2.0)) + eps)
-    return F.struct(F.transform(_c(x), lambda v: (v - centre) / spread).alias("values"), centre.alias("centre"), spread.alias("spread"))
+    return F.struct(_scaled(x, centre, spread).alias("values"), centre.alias("centre"), spread.alias("spread"))
 
 
 def instance_denorm(x: Column | str) -> Column:
     c = F.col(x) if isinstance(x, str) else x
-    return F.transform(c["values"], lambda v: v * c["spread"] + c["centre"])
+    return bound({"c": c}, lambda b: F.transform(b["c"]["values"], lambda v: v * b["c"]["spread"] + b["c"]["centre"]))
 
 
 def normalize_named(x: Column | str, method: Column) -> Column:
@@ -87,23 +93,20 @@ def normalize_named(x: Column | str, method: Column) -> Column:
 
 def linear_resample(x: Column | str, m: int) -> Column:
     """n to m samples by linear interpolation at (i + 0.5) * n / m - 0.5, held at the ends."""
-    c = _c(x)
-    n = F.size(c)
 
-    def at(i: Column) -> Column:
+    def at(i: Column, c: Column) -> Column:
+        n = F.size(c)
         src = F.greatest((i + 0.5) * n / m - 0.5, F.lit(0.0))
         lo = F.least(F.floor(src).cast("int"), n - 1)
         hi = F.least(lo + 1, n - 1)
         return F.get(c, lo) + (F.get(c, hi) - F.get(c, lo)) * (src - lo)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), at)
+    return bound({"x": _c(x)}, lambda b: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: at(i, b["x"])))
 
 
 def softmax(x: Column | str) -> Column:
-    c = _c(x)
-    top = F.array_max(c)
-    z = F.aggregate(c, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.transform(c, lambda v: F.exp(v - top) / z)
+    powers = bound({"x": _c(x), "top": F.array_max(_c(x))}, lambda b: F.transform(b["x"], lambda v: F.exp(v - b["top"])))
+    return bound({"e": powers}, lambda o: bound({"e": o["e"], "z": F.aggregate(o["e"], F.lit(0.0), lambda a, v: a + v)}, lambda b: F.transform(b["e"], lambda v: v / b["z"])))
 
 
 def argmax(x: Column | str) -> Column:
@@ -119,7 +122,7 @@ def one_hot(label: Column | str, n: int) -> Column:
 
 def amplitude_jitter(x: Column | str, u: Column, low: float = 0.9, high: float = 1.1) -> Column:
     """x times a factor in [low, high) picked by u in [0, 1)."""
-    return F.transform(_c(x), lambda v: v * (low + (high - low) * u))
+    return bound({"x": _c(x), "f": low + (high - low) * u}, lambda b: F.transform(b["x"], lambda v: v * b["f"]))
 
 
 def is_finite(x: Column | str) -> Column:
@@ -129,24 +132,22 @@ def is_finite(x: Column | str) -> Column:
 
 def dft_amplitude(x: Column | str) -> Column:
     """|rfft(x)| by the definition, for short series."""
-    c = _c(x)
-    n = F.size(c)
-    at = F.transform(c, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
 
-    def bin_(k: Column) -> Column:
-        part = F.aggregate(
-            at,
-            F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im")),
-            lambda a, s: F.struct((a["re"] + s["v"] * F.cos(s["i"] * k * (2 * 3.141592653589793) / n)).alias("re"), (a["im"] - s["v"] * F.sin(s["i"] * k * (2 * 3.141592653589793) / n)).alias("im")),
-        )
-        return F.sqrt(part["re"] * part["re"] + part["im"] * part["im"])
+    def bin_(k: Column, c: Column) -> Column:
+        turn = lambda i: i * k * (2 * 3.141592653589793) / F.size(c)
+        start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+        add = lambda a, v: F.struct((a["i"] + 1).alias("i"), (a["re"] + v * F.cos(turn(a["i"]))).alias("re"), (a["im"] - v * F.sin(turn(a["i"]))).alias("im"))
+        return F.aggregate(c, start, add, lambda a: F.sqrt(a["re"] * a["re"] + a["im"] * a["im"]))
 
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), bin_)
+    return bound({"x": _c(x)}, lambda b: F.transform(F.sequence(F.lit(0), F.floor(F.size(b["x"]) / 2).cast("int")), lambda k: bin_(k, b["x"])))
 
 
 def circular_autocorrelation(x: Column | str, y: Column | str | None = None) -> Column:
     """For each lag k: sum over i of x[(i + k) mod n] * y[i] (y is x by default): the inverse transform of
     rfft(x) * conj(rfft(y))."""
-    a, b = _c(x), _c(x if y is None else y)
-    n = F.size(a)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.zip_with(F.concat(F.slice(a, k + 1, n), F.slice(a, F.lit(1), k)), b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v))
+
+    def lag(k: Column, a: Column, b: Column) -> Column:
+        turned = F.concat(F.slice(a, k + 1, F.size(a)), F.slice(a, F.lit(1), k))
+        return F.aggregate(F.zip_with(turned, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+    return bound({"x": _c(x), "y": _c(x if y is None else y)}, lambda b: F.transform(F.sequence(F.lit(0), F.size(b["x"]) - 1), lambda k: lag(k, b["x"], b["y"])))

@@ -17,19 +17,19 @@ def jitter(x: str, sigma: float, seed: int, key: str) -> Column:
 
 def scale(x: str, sigma: float, seed: int, key: str) -> Column:
     """x times a normal number around 1, one a row."""
-    return F.transform(F.col(x).cast("array<double>"), lambda v: v * (1 + sigma * gaussian(seed, F.col(key))))
+    return vec.bound({"x": F.col(x).cast("array<double>"), "g": gaussian(seed, F.col(key))}, lambda b: F.transform(b["x"], lambda v: v * (1 + sigma * b["g"])))
 
 
 def shift(x: str, sigma: float, seed: int, key: str) -> Column:
     """x plus a normal number, one a row."""
-    return F.transform(F.col(x).cast("array<double>"), lambda v: v + sigma * gaussian(seed, F.col(key)))
+    return vec.bound({"x": F.col(x).cast("array<double>"), "g": gaussian(seed, F.col(key))}, lambda b: F.transform(b["x"], lambda v: v + sigma * b["g"]))
 
 
 def masked(n: int, share: float, seed: int, key: str) -> Column:
     """n booleans of which floor(share * n) seeded ones are true."""
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(md5_key(seed, F.col(key), i).alias("o"), i.alias("i"))))
     chosen = F.transform(F.slice(order, 1, int(share * n)), lambda s: s["i"])
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(chosen, i))
+    return vec.bound({"c": chosen}, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(b["c"], i)))
 
 
 def mask_channels(signal: str, n: int, share: float, seed: int, key: str) -> Column:
@@ -37,11 +37,11 @@ def mask_channels(signal: str, n: int, share: float, seed: int, key: str) -> Col
 
     def noise(ch: Column, c: Column) -> Column:
         raw = F.transform(ch, lambda _, i: gaussian(seed, F.col(key), c, i))
-        factor = vec.norm(ch) / F.greatest(vec.norm(raw), F.lit(1e-12))
-        return F.transform(raw, lambda v: v * factor)
+        scaled = lambda r: vec.bound({"r": r, "f": vec.norm(ch) / F.greatest(vec.norm(r), F.lit(1e-12))}, lambda b: F.transform(b["r"], lambda v: v * b["f"]))
+        return vec.bound({"r": raw}, lambda o: scaled(o["r"]))
 
-    mask = masked(n, share, seed, key)
-    return F.transform(F.col(signal).cast("array<array<double>>"), lambda ch, c: F.when(F.get(mask, c), noise(ch, c)).otherwise(ch))
+    values = {"s": F.col(signal).cast("array<array<double>>"), "m": masked(n, share, seed, key)}
+    return vec.bound(values, lambda b: F.transform(b["s"], lambda ch, c: F.when(F.get(b["m"], c), noise(ch, c)).otherwise(ch)))
 
 
 def nearest(df: DataFrame, vector: str, centres: list[list[float]], cosine: bool = False) -> DataFrame:

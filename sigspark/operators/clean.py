@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.text import capitalise
+from .ordered import bucketed, small
 
 # The channels of the clinical montage, old names to new ones, and names that are no channels.
 RENAMED = {"FP1": "Fp1", "FP2": "Fp2", "T3": "T7", "T4": "T8", "T5": "P7", "T6": "P8", "FZ": "Fz", "CZ": "Cz", "PZ": "Pz"}
@@ -30,22 +31,24 @@ def vector_issues(df: DataFrame, vector: str, key: str, threshold: float = 1e-8)
 
 
 def next_valid(df: DataFrame, order: str, valid: Column) -> DataFrame:
-    """source: each row's own order value if valid, else the next valid one's, else (past the end) the first one's. One
-    global order, as in the definition; for partitioned data use next_valid_by."""
-    w = Window.orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return _next_valid(df, order, valid, w, None)
+    """source: each row's own order value (a number) if valid, else the next valid one's, else (past the end) the first one's,
+    in one order of all rows, bucket by bucket."""
+    told = bucketed(df.withColumn("_own", F.when(valid, F.col(order))), order)
+    firsts = {r["_b"]: r["v"] for r in told.groupBy("_b").agg(F.min("_own").alias("v")).collect()}  # as many rows as buckets
+    later, at = [], min((v for v in firsts.values() if v is not None), default=None)
+    for b in range(max(firsts, default=0), -1, -1):
+        later.append(at)
+        at = firsts.get(b) if firsts.get(b) is not None else at
+    after = F.get(F.array(*(F.lit(v) for v in reversed(later))), F.col("_b"))
+    w = Window.partitionBy("_b").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    return told.withColumn("source", F.coalesce(F.first("_own", ignorenulls=True).over(w), after)).drop("_own", "_b")
 
 
 def next_valid_by(df: DataFrame, group: str, order: str, valid: Column) -> DataFrame:
     """next_valid within each group."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return _next_valid(df, order, valid, w, group)
-
-
-def _next_valid(df: DataFrame, order: str, valid: Column, w, group: str | None) -> DataFrame:
     own = F.when(valid, F.col(order))
-    whole = Window.partitionBy(group) if group else Window.partitionBy()
-    return df.withColumn("source", F.coalesce(F.first(own, ignorenulls=True).over(w), F.min(own).over(whole)))
+    return df.withColumn("source", F.coalesce(F.first(own, ignorenulls=True).over(w), F.min(own).over(Window.partitionBy(group))))
 
 
 def drop_keyword(df: DataFrame, column: str, word: str) -> DataFrame:
@@ -110,14 +113,17 @@ def drop_channels(signal: Column | str, names: Column | str, gone: list[str]) ->
     return F.filter(s, lambda x, i: ~F.get(n, i).isin(gone))
 
 
-def nearest_channel(targets: DataFrame, present: DataFrame, positions: DataFrame) -> DataFrame:
-    """(rec_id, target, channel, exact): each target's own channel (case aside) where the recording has it, else the present
-    channel nearest to it. targets(target), present(rec_id, channel), positions(name, x, y, z): small dimensions; present
-    grows with the recordings and is never broadcast."""
-    at = positions.select(F.lower("name").alias("k"), "x", "y", "z")
-    t = targets.join(at, F.lower("target") == F.col("k"), "left").select("target", *(F.col(c).alias(f"t{c}") for c in "xyz"))
-    p = present.join(F.broadcast(at), F.lower("channel") == F.col("k"), "left").select("rec_id", "channel", "x", "y", "z")
-    pairs = p.crossJoin(F.broadcast(t))
+def nearest_channel(targets: DataFrame, present: DataFrame, positions: DataFrame, other: str = "Fpz") -> DataFrame:
+    """(rec_id, target, channel, exact): each target's own channel (case aside) where the recording has it, else the one of
+    the recording's channels among the targets that is nearest to it. A target without a position stands where other does; a
+    channel without one is farther than all others. targets(target), present(rec_id, channel), positions(name, x, y, z)."""
+    at = positions.select(F.lower("name").alias("k"), "x", "y", "z").dropDuplicates(["k"])
+    spare = at.where(F.col("k") == other.lower()).select(*(F.col(c).alias(f"o{c}") for c in "xyz"))
+    t = targets.join(small(at), F.lower("target") == F.col("k"), "left").join(F.broadcast(spare.limit(1)), how="left")
+    t = t.select("target", *(F.coalesce(c, f"o{c}").alias(f"t{c}") for c in "xyz"))
+    wanted = targets.select(F.lower("target").alias("w")).distinct()
+    p = present.join(small(at), F.lower("channel") == F.col("k"), "left").join(small(wanted), F.lower("channel") == F.col("w"), "left_semi")
+    pairs = p.select("rec_id", "channel", "x", "y", "z").crossJoin(small(t))
     exact = F.lower("channel") == F.lower("target")
     d = sum((F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
     best = F.struct((~exact).alias("o"), F.coalesce(d, F.lit(1e300)).alias("d"), F.col("channel"))
@@ -127,7 +133,7 @@ def nearest_channel(targets: DataFrame, present: DataFrame, positions: DataFrame
 def interpolate_channels(samples: DataFrame, weights: DataFrame) -> DataFrame:
     """(rec_id, t, target, value): the weighted sum of source channels. samples(rec_id, t, channel, value); weights(target,
     channel, w), a small dimension."""
-    return samples.join(F.broadcast(weights), "channel").groupBy("rec_id", "t", "target").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return samples.join(small(weights), "channel").groupBy("rec_id", "t", "target").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def inverse_distance_weights(targets: DataFrame, sources: DataFrame, power: float = 2.0) -> DataFrame:
@@ -135,18 +141,18 @@ def inverse_distance_weights(targets: DataFrame, sources: DataFrame, power: floa
     a source at the target's place has all the weight."""
     s = sources.select("channel", *(F.col(c).alias(f"s{c}") for c in "xyz"))
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"s{c}"), F.lit(2.0)) for c in "xyz"), F.lit(0.0)))
-    raw = targets.crossJoin(F.broadcast(s)).withColumn("d", d).withColumn("near", F.min("d").over(Window.partitionBy("target")))
+    raw = targets.crossJoin(small(s)).withColumn("d", d).withColumn("near", F.min("d").over(Window.partitionBy("target")))
     w = F.when(F.col("near") < 1e-9, (F.col("d") < 1e-9).cast("double")).otherwise(F.pow("d", F.lit(-power)))
     return raw.withColumn("w", w).select("target", "channel", (F.col("w") / F.sum("w").over(Window.partitionBy("target"))).alias("w")).where("w > 0")
 
 
+# The region each name part stands for.
+REGIONS = {"F": "frontal", "C": "central", "P": "parietal", "O": "occipital", "T": "temporal", "FP": "frontal_polar", "FC": "fronto_central", "CP": "centro_parietal", "PO": "parieto_occipital"}
+
+
 def brain_region(name: Column | str) -> Column:
-    """Region of a channel name by its prefix, the first rule that fits."""
-    c = F.col(name) if isinstance(name, str) else name
-    # Prefix, excluded name, region, in the order of the rules.
-    rules = [("Fp", "", "frontal_polar"), ("F", "Fz", "frontal"), ("Fc", "", "fronto_central"), ("C", "Cz", "central"), ("Cp", "", "centro_parietal"), ("P", "Pz", "parietal")]
-    out = None
-    for prefix, but, region in rules:
-        hit = c.startswith(prefix) & (c != but) if but else c.startswith(prefix)
-        out = F.when(hit, region) if out is None else out.when(hit, region)
-    return out.when(c.startswith("Po") | (c == "Oz"), "parieto_occipital").when(c.startswith("O"), "occipital").when(c.startswith("T"), "temporal").otherwise("other")
+    """Region of a channel name: what its letters before the number (or the z of the midline) stand for, the longest part
+    first, whatever their case; other for names of no region."""
+    letters = F.upper(F.regexp_extract(F.col(name) if isinstance(name, str) else name, r"^([A-Za-z]*?)(?:[zZ]|[hH]?[0-9]*)$", 1))
+    regions = F.create_map(*(F.lit(x) for pair in REGIONS.items() for x in pair))
+    return F.coalesce(F.try_element_at(regions, F.substring(letters, 1, 2)), F.try_element_at(regions, F.substring(letters, 1, 1)), F.lit("other"))

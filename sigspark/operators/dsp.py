@@ -16,23 +16,36 @@ SIGNAL = "array<array<double>>"
 
 
 def map_signal(df: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """column replaced by f(channels x time) of each row; null stays null. Ragged channels are handled one by one."""
+    """column replaced by f(channels x time) of each row; null stays null. Ragged channels are handled one by one. Values go
+    from Arrow's buffers to numpy and back; no value becomes a Python object."""
     plain = df.withColumn(column, F.col(column).cast(SIGNAL))
     at = plain.columns.index(column)
 
-    def one(rows: list[list[float]] | None) -> list[list[float]] | None:
-        if rows is None:
-            return None
-        if len({len(r) for r in rows}) > 1:
-            return [f(np.array([r], np.float64))[0].tolist() for r in rows]
-        return f(np.array(rows, np.float64).reshape(len(rows), -1)).tolist()
+    def made(signals: pa.ListArray) -> pa.Array:
+        outer = signals.offsets.to_numpy()
+        channels = signals.values
+        inner, values = channels.offsets.to_numpy(), channels.values.to_numpy(zero_copy_only=False)
+        rows, sizes, flat = [0], [], []
+        for a, b, good in zip(outer[:-1].tolist(), outer[1:].tolist(), signals.is_valid().to_pylist()):
+            lens = np.diff(inner[a : b + 1]) if good else ()
+            parts = ()
+            if len(lens) and (lens == lens[0]).all():
+                parts = f(values[inner[a] : inner[b]].reshape(b - a, -1))
+            elif len(lens):
+                parts = [f(values[i:j][None])[0] for i, j in zip(inner[a:b].tolist(), inner[a + 1 : b + 1].tolist())]
+            rows.append(rows[-1] + len(parts))
+            sizes += [len(p) for p in parts]
+            flat += list(parts)
+        out = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0), pa.float64()))
+        offsets = pa.array(rows, pa.int32(), mask=np.append(~signals.is_valid().to_numpy(zero_copy_only=False), False)) if signals.null_count else pa.array(rows, pa.int32())
+        return pa.ListArray.from_arrays(offsets, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                made = pa.array([one(x) for x in part.column(at).to_pylist()], pa.list_(pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+                new = made(part.column(at))
+                yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
 
     return plain.mapInArrow(run, plain.schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .ordered import running
 
 
 def accuracy(df: DataFrame, correct: Column) -> DataFrame:
@@ -38,11 +39,9 @@ def topk_balanced(hits: DataFrame, label: str, ks: tuple[int, ...]) -> DataFrame
 
 def auroc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Area under the ROC curve by rank sums, ties by mean rank. Scores are grouped first, so ranks come from running
-    sums over distinct scores."""
+    sums over distinct scores, bucket by bucket."""
     per = df.select(label.cast("int").alias("y"), score.alias("s")).groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    sums = ranked.agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = running(per, "s", ["n"]).agg(F.sum(F.col("p") * (F.col("before_n") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
 
 
@@ -60,14 +59,15 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
-    """Macro and support-weighted F1, macro recall, accuracy and Cohen's kappa of a multi-class prediction."""
+    """Macro and support-weighted F1, macro recall, accuracy and Cohen's kappa of a multi-class prediction. A class that is only
+    predicted counts in the macro averages, with F1 and recall 0."""
     c = confusion(df, label, predicted)
     support = c.groupBy(F.col(label).alias("k")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col(predicted), F.col("n")).otherwise(0)).alias("tp"))
     given = c.groupBy(F.col(predicted).alias("k")).agg(F.sum("n").alias("given"))
-    both = support.join(given, "k", "left").select("k", "support", "tp", F.coalesce("given", F.lit(0)).alias("given"))
+    both = support.join(given.hint("merge"), "k", "full").select("k", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "tp", "given")))
     f1 = F.col("tp") * 2 / (F.col("support") + F.col("given"))
     out = both.agg(
-        F.avg(f1).alias("f1_macro"), (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"), F.avg(F.col("tp") / F.col("support")).alias("recall_macro"),
+        F.avg(f1).alias("f1_macro"), (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"), F.avg(F.col("tp") / F.greatest("support", F.lit(1))).alias("recall_macro"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"), (F.sum(F.col("support") * F.col("given")) / F.sum("support") / F.sum("support")).alias("pe"),
     )
     return out.select("f1_macro", "f1_weighted", "recall_macro", "accuracy", ((F.col("accuracy") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
@@ -76,8 +76,8 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 def average_precision(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Area under the precision-recall curve: sum over distinct scores, high to low, of recall gained times precision."""
     per = df.select(label.cast("int").alias("y"), score.alias("s")).groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.select("p", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn"))
+    totals = per.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))  # one row
+    cum = running(per, "s", ["p", "n"]).crossJoin(F.broadcast(totals)).select("p", (F.col("tp") - F.col("before_p")).alias("cp"), (F.col("tn") - F.col("before_n")).alias("cn"))
     return cum.agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.sum("p")).alias("pr_auc"))
 
 
@@ -87,8 +87,7 @@ def latency_profile(df: DataFrame, value: str, order: str, warmup: int) -> DataF
     skip = df.select(order).orderBy(order).limit(warmup).agg(F.max(order).alias("_o"))
     kept = df.crossJoin(F.broadcast(skip)).where(F.col("_o").isNull() | (F.col(order) > F.col("_o")))
     per = kept.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("c", F.sum("n").over(w)).crossJoin(F.broadcast(per.agg(F.sum("n").alias("t"))))
+    cum = running(per, "v", ["n"]).withColumn("c", F.col("before_n") + F.col("n")).crossJoin(F.broadcast(per.agg(F.sum("n").alias("t"))))
     at = lambda q: F.min(F.when(F.col("c") > F.floor(F.col("t") * q), F.col("v")))
     return cum.agg(F.max("t").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.max("t")).alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.sum(F.col("v") * F.col("n")).alias("total"))
 

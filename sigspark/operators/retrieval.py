@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import md5_key
+from .ordered import small
 
 #: Galleries up to this many rows are broadcast whole; larger ones are scored in blocks.
 BROADCAST_ROWS = 20_000
@@ -29,11 +32,12 @@ def class_prototypes(df: DataFrame, label: str = "label", vector: str = "embeddi
 
 
 def similarity_join(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str] | None = None, method: str = "auto") -> DataFrame:
-    """All (query, gallery) pairs, within equal keys on, with their cosine in sim.
+    """All (query, gallery) pairs, within equal keys on, with their cosine in sim: null where a vector is null, holds a null, or
+    both differ in length. Null keys match nothing. Both methods give the same rows.
 
     broadcast: one copy of the gallery at every executor, for galleries of at most BROADCAST_ROWS (checked by auto).
     blocked: gallery rows are gathered into chunks of a few thousand and each query chunk meets each gallery chunk
-    as one matrix product; no side is broadcast.
+    as one matrix product; no side is broadcast. For the best k use nearest(), which never makes all pairs' rows.
     """
     if method == "auto":
         method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
@@ -45,29 +49,49 @@ def similarity_join(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str
     return _blocked(queries, gallery, qvec, gvec, on or [])
 
 
-def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], rows: int = 2048) -> DataFrame:
+def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], k: int | None = None, rows: int = 2048) -> DataFrame:
+    """Pairs by blocks; with k, each query's k best of every block, and those that tie with the last of them."""
     n = [max(1, -(-df.count() // rows)) for df in (queries, gallery)]
 
     def side(df: DataFrame, mine: str, its: int, other: str, others: int) -> DataFrame:
         row = F.struct(*df.columns)
-        chunked = df.select(*on, row.alias("row"), F.pmod(F.xxhash64(row), F.lit(its)).cast("int").alias(mine))
+        known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in on), F.lit(True))
+        chunked = df.where(known).select(*on, row.alias("row"), F.pmod(F.xxhash64(row), F.lit(its)).cast("int").alias(mine))
         return chunked.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     left = side(queries, "i", n[0], "j", n[1]).withColumnRenamed("row", "q")
-    right = side(gallery.drop(*on), "j", n[1], "i", n[0]).withColumnRenamed("row", "g") if not on else side(gallery, "j", n[1], "i", n[0]).withColumnRenamed("row", "g")
+    right = side(gallery, "j", n[1], "i", n[0]).withColumnRenamed("row", "g")
     keys = [*on, "i", "j"]
     q_type, g_type = left.schema["q"].dataType.simpleString(), right.schema["g"].dataType.simpleString()
 
+    def matrix(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Unit rows of each vector that has all its values, and every vector's length (-1 for the rest)."""
+        out, length = [], np.full(len(column), -1)
+        for r, v in enumerate(column.to_pylist()):
+            if v is not None and None not in v:
+                x = np.array(v, np.float64)
+                out.append(x / max(float(np.linalg.norm(x)), 1e-12))
+                length[r] = len(v)
+            else:
+                out.append(np.zeros(0))
+        return out, length
+
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         qs, gs = a.column("q").combine_chunks(), b.column("g").combine_chunks()
         if not len(qs) or not len(gs):
             return pa.table({"q": qs.slice(0, 0), "g": gs.slice(0, 0), "sim": pa.array([], pa.float64())})
-        x, y = (np.array(c.field(v).to_pylist(), np.float64) for c, v in ((qs, qvec), (gs, gvec)))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-        s = x @ y.T
-        at = np.indices(s.shape)
-        return pa.table({"q": qs.take(pa.array(at[0].ravel())), "g": gs.take(pa.array(at[1].ravel())), "sim": pa.array(s.ravel())})
+        (x, nx), (y, ny) = matrix(qs.field(qvec)), matrix(gs.field(gvec))
+        s = np.full((len(qs), len(gs)), np.nan)
+        known = (nx[:, None] == ny) & (nx[:, None] >= 0)
+        for width in np.intersect1d(nx[nx >= 0], ny[ny >= 0]).tolist():
+            p, q = np.flatnonzero(nx == width), np.flatnonzero(ny == width)
+            s[np.ix_(p, q)] = np.stack([x[r] for r in p]) @ np.stack([y[r] for r in q]).T
+        keep = np.ones(s.shape, bool)
+        if k is not None and k < s.shape[1]:
+            order = np.where(known, np.where(np.isnan(s), np.inf, s), -np.inf)  # as Spark orders: NaN above all, null last
+            keep = order >= np.partition(order, -k, axis=1)[:, -k, None] - 1e-9
+        at = np.nonzero(keep)
+        return pa.table({"q": qs.take(pa.array(at[0])), "g": gs.take(pa.array(at[1])), "sim": pa.array(s[at], mask=~known[at])})
 
     out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"q {q_type}, g {g_type}, sim double")
     return out.select("q.*", *(F.col(f"g.{c}") for c in gallery.columns if c not in on), "sim")
@@ -79,14 +103,24 @@ def topk(scored: DataFrame, query: list[str], k: int | Column, tie: list[str]) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, k: int, query: list[str], tie: list[str], on: list[str] | None = None, method: str = "auto") -> DataFrame:
+    """topk() of similarity_join(). Beyond BROADCAST_ROWS gallery rows each block keeps its k best of every query, so what is
+    ranked is k rows a block, not all pairs."""
+    if method == "auto":
+        method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
+    if method == "broadcast":
+        return topk(similarity_join(queries, gallery, qvec, gvec, on, method), query, k, tie)
+    return topk(_blocked(queries, gallery, qvec, gvec, on or [], k), query, k, tie)
+
+
 def topk_by_type(queries: DataFrame, gallery: DataFrame, only: str, k: int, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str]) -> DataFrame:
     """Top k within one type; an unknown type gives no rows."""
-    return topk(similarity_join(queries, gallery.where(F.col(type_col) == only), qvec, gvec), query, k, tie)
+    return nearest(queries, gallery.where(F.col(type_col) == only), qvec, gvec, k, query, tie)
 
 
 def topk_by_candidates(queries: DataFrame, gallery: DataFrame, candidates: DataFrame, k: int, qvec: str, gvec: str, query: list[str], label: str, tie: list[str]) -> DataFrame:
     """Top k among gallery rows whose label is a candidate; unknown candidates are passed over, none left gives no rows."""
-    return topk(similarity_join(queries, gallery.join(candidates.select(label).distinct(), label, "left_semi"), qvec, gvec), query, k, tie)
+    return nearest(queries, gallery.join(small(candidates.select(label).distinct()), label, "left_semi"), qvec, gvec, k, query, tie)
 
 
 def topk_with_type_quota(queries: DataFrame, gallery: DataFrame, k: int, fill: str, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str]) -> DataFrame:
@@ -113,7 +147,9 @@ def label_text(hits: DataFrame, query: list[str], type_col: str, label: str, see
 
 def negatives(queries: DataFrame, classes: DataFrame, query: str, label: str, k: int, seed: int) -> DataFrame:
     """(query, label, class): k - 1 distinct classes other than the query's own, by seeded order. classes: one column class,
-    a small dimension."""
+    at most BROADCAST_ROWS rows (more are an error)."""
+    if classes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"over {BROADCAST_ROWS} classes")
     pairs = queries.select(query, label).crossJoin(F.broadcast(classes)).where(F.col("class") != F.col(label))
     w = Window.partitionBy(query).orderBy(md5_key(seed, query, "class"))
     return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k - 1).drop("_r")
@@ -123,6 +159,6 @@ def kway_hits(queries: DataFrame, prototypes: DataFrame, k: int, query: str, lab
     """(query, label, rank): place of the true class among itself and k - 1 seeded negatives. prototypes: class, vec."""
     classes = prototypes.select("class")
     chosen = negatives(queries, classes, query, label, k, seed).unionByName(queries.select(query, label, F.col(label).alias("class")))
-    scored = chosen.join(queries.select(query, qvec), query).join(F.broadcast(prototypes), "class").withColumn("sim", vec.cosine(qvec, "vec"))
+    scored = chosen.join(queries.select(query, qvec), query).join(small(prototypes), "class").withColumn("sim", vec.cosine(qvec, "vec"))
     w = Window.partitionBy(query).orderBy(F.col("sim").desc(), "class")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("class") == F.col(label)).select(query, label, "rank")

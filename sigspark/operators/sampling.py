@@ -7,47 +7,57 @@ from pyspark.sql import functions as F
 
 from ..functions.rnd import md5_key, uniform
 from .metrics import group_weights
+from .ordered import bucketed, constants, small
 
 
-def numbered(df: DataFrame, key: Column, name: str, ties: list[str | Column] = (), buckets: int = 64) -> DataFrame:
-    """df with name: each row's number from 0 in the order of key (a number, or the hex text of md5_key), then ties.
+def numbered(df: DataFrame, key: Column, name: str, ties: list[str | Column] = ()) -> DataFrame:
+    """df with name: each row's number from 0 in the order of key (a number, a time, or the hex text of md5_key), then ties.
 
-    No single task orders all rows: they are cut to buckets in order (at approximate quantiles, or by the first two hex digits),
+    No single task orders all rows: they are cut to buckets in order (at approximate quantiles, or by the first hex digits),
     the buckets' counts give where each one starts, and rows are numbered within buckets.
     """
     told = df.withColumn("_k", key)
     if dict(told.dtypes)["_k"] == "string":
-        bucket = F.conv(F.substring("_k", 1, 2), 16, 10).cast("int")
+        told = told.withColumn("_b", F.conv(F.substring("_k", 1, 3), 16, 10).cast("int"))
     else:
-        cuts = told.agg(F.percentile_approx(F.col("_k").cast("double"), [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-        bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), lambda c: c <= F.col("_k").cast("double"))) if cuts else F.lit(0)
-    told = told.withColumn("_b", bucket)
-    start, at = {}, 0
-    for r in sorted(told.groupBy("_b").count().collect(), key=lambda r: (r["_b"] is not None, r["_b"] or 0)):  # as many rows as buckets
-        start[r["_b"]] = at
-        at += r["count"]
-    offset = F.lit(start.get(None, 0))
-    for b, n in start.items():
-        if b is not None:
-            offset = F.when(F.col("_b") == b, F.lit(n)).otherwise(offset)
+        told = bucketed(told, "_k")
+    counts = {r["_b"] or 0: r["n"] for r in told.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # as many rows as buckets
+    start, at = [], 0
+    for b in range(max(counts, default=0) + 1):
+        start.append(at)
+        at += counts.get(b, 0)
     number = F.row_number().over(Window.partitionBy("_b").orderBy("_k", *ties)) - 1
-    return told.withColumn(name, (number + offset).cast("long")).drop("_k", "_b")
+    return told.withColumn(name, (number + F.get(constants(start, "long"), F.coalesce("_b", F.lit(0)))).cast("long")).drop("_k", "_b")
+
+
+def seeded_rank(df: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
+    """df with _r, each row's rank from 1 in its group by md5_key, and _n, the group's rows. A group of any size is ranked in
+    pieces: hashes are cut by their first digits, and the pieces' counts tell where each one starts."""
+    told = df.withColumn("_k", md5_key(seed, key)).withColumn("_b", F.substring("_k", 1, 3))
+    piece = told.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = piece.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_b").alias("_p"), before.alias("_s"), F.sum("_c").over(w).alias("_n"))
+    on = F.col("_b") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    ranked = told.join(starts.hint("merge"), on).withColumn("_r", F.col("_s") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_k", key)))
+    return ranked.drop("_k", "_b", "_p", "_s", *(f"_g{i}" for i in range(len(group))))
 
 
 def limit_per_group(df: DataFrame, group: list[str], n: int, key: str, seed: int | None = None) -> DataFrame:
     """The first n rows of each group by key, or n seeded ones."""
-    order = F.col(key) if seed is None else md5_key(seed, key)
-    w = Window.partitionBy(*group).orderBy(order, key)
+    if seed is not None:
+        return seeded_rank(df, group, key, seed).where(F.col("_r") <= n).drop("_r", "_n")
+    w = Window.partitionBy(*group).orderBy(key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def resample_groups(df: DataFrame, group: str, key: str, strategy: str, seed: int) -> DataFrame:
     """under: every group cut to the smallest one's size. over: whole copies of every group, then a seeded rest, up to the
     largest one's size; column copy counts from 0."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    ends = sizes.agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    told = df.join(F.broadcast(sizes.crossJoin(F.broadcast(ends))), group)
-    ranked = told.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(md5_key(seed, key), key)))
+    ends = df.groupBy(group).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))  # one row
+    ranked = seeded_rank(df, [group], key, seed).crossJoin(F.broadcast(ends))
     if strategy == "under":
         return ranked.where(F.col("_r") <= F.col("_lo")).drop("_n", "_lo", "_hi", "_r")
     whole = F.floor(F.col("_hi") / F.col("_n"))
@@ -76,9 +86,7 @@ def split_tail(df: DataFrame, key: str, share: float) -> DataFrame:
 
 def sample_fraction(df: DataFrame, group: list[str], key: str, share: float, seed: int) -> DataFrame:
     """Exactly floor(share * n) rows of each group."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(md5_key(seed, key), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
+    return seeded_rank(df, group, key, seed).where(F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
 
 
 def draw_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
@@ -86,7 +94,7 @@ def draw_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> Dat
     rows = numbered(df, F.col(key), "_i")
     n = df.count()
     picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(uniform(seed, "id") * n).cast("long").alias("_i"))
-    return picks.join(rows, "_i").drop("_i")
+    return picks.join(rows.hint("merge"), "_i").drop("_i")
 
 
 def first_per(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -107,11 +115,11 @@ def expand_repeats(df: DataFrame, n: int) -> DataFrame:
 def dense_relabel(df: DataFrame, label: str, order: str) -> DataFrame:
     """Labels numbered from 0 by their first row in order. Numbers are given over distinct labels, not over rows."""
     firsts = df.groupBy(label).agg(F.min(order).alias("_f"))
-    return df.join(numbered(firsts, F.col("_f"), "new_label", [label]).withColumn("new_label", F.col("new_label").cast("int")).drop("_f"), label)
+    return df.join(small(numbered(firsts, F.col("_f"), "new_label", [label]).withColumn("new_label", F.col("new_label").cast("int")).drop("_f")), label)
 
 
 def sample_weights(df: DataFrame, group: str, key: str) -> DataFrame:
     """Each row's inverse-frequency weight over the sum of all rows' weights."""
     w = group_weights(df, group)
     total = w.agg(F.sum(F.col("weight") * F.col("n")).alias("_t"))
-    return df.join(F.broadcast(w.crossJoin(F.broadcast(total))), group).select(key, group, (F.col("weight") / F.col("_t")).alias("sample_weight"))
+    return df.join(small(w.crossJoin(F.broadcast(total))), group).select(key, group, (F.col("weight") / F.col("_t")).alias("sample_weight"))

@@ -18,7 +18,7 @@ def caption_prototypes(labels: DataFrame, embed: Callable[[Column], Column]) ->
     """(dataset, label_id, caption, feature): one feature for each label's caption, each distinct caption embedded once.
     labels(dataset, label_id, caption)."""
     once = labels.select("caption").distinct().withColumn("feature", embed(F.col("caption")))
-    return labels.join(once, "caption").select("dataset", "label_id", "caption", "feature")
+    return labels.join(once.hint("merge"), "caption").select("dataset", "label_id", "caption", "feature")
 
 
 def build_prototypes(parts: dict[str, DataFrame]) -> DataFrame:

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import augment, dsp
 from ..operators.sampling import split_random
+from ..sources.shared import shared_folder
 from ..streaming import jobs
 from .registry import Tables, query
 from .tables import hashed
 
 
-def _folder(t: Tables) -> str:
-    """A new folder below the shared one; a local one only where none is set."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(t: Tables) -> DataFrame:
     schema = t.events.schema
     df = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{t.folder}/events.parquet")
@@ -28,7 +20,7 @@ def _events(t: Tables) -> DataFrame:
 
 
 def _append(t: Tables, out: DataFrame) -> DataFrame:
-    at = _folder(t)
+    at = shared_folder(t.spark, "stream")
     q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{at}/out")
@@ -50,7 +42,7 @@ def _(t):
 @query("z1_stream_ingest", f"SELECT CASE WHEN {hashed(42, 'event_id')} < 0.9 THEN 'train' ELSE 'test' END AS split, event_type, count(*)::BIGINT AS n FROM events WHERE value >= 1 GROUP BY ALL")
 def _(t):
     """Micro-batches validated, split and appended; the bad rows go to a side table."""
-    at = _folder(t)
+    at = shared_folder(t.spark, "stream")
 
     def prepare(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         ok = F.coalesce(F.col("value") >= 1, F.lit(False))
@@ -84,48 +76,100 @@ def _signal(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice(e, c * 16 + 1, F.lit(16))).alias("signal"))
 
 
-def _sums(df: DataFrame) -> DataFrame:
-    return df.select("vec_id", F.posexplode("signal").alias("channel", "ch")).select("vec_id", "channel", F.size("ch").alias("width"), (F.round(F.aggregate("ch", F.lit(0.0), lambda a, v: a + v), 6) + 0.0).alias("s"))
+def _values(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.posexplode("signal").alias("channel", "ch")).select("vec_id", "channel", F.posexplode("ch").alias("pos", "x")).select("vec_id", "channel", "pos", (F.round("x", 6) + 0.0).alias("v"))
+
+
+_X = "x AS (SELECT vec_id, c, i, embedding[c * 16 + i + 1]::DOUBLE AS x FROM embeddings, range(0, 4) a(c), range(0, 16) b(i))"
+
 
+def _filtered(gain: str) -> str:
+    """SQL of 16 values a channel with each frequency k from 0 to 8 times a gain: a circular convolution with the gains' own
+    inverse transform, by the definition."""
+    return f"""WITH g AS (SELECT k, {gain} AS g FROM range(0, 9) r(k)),
+h AS (SELECT m, sum(CASE WHEN k IN (0, 8) THEN g ELSE 2 * g END * cos(2 * pi() * k * m / 16)) / 16 AS h FROM g, range(0, 16) r(m) GROUP BY m), {_X}
+SELECT vec_id, c::INT AS channel, t::INT AS pos, round(sum(x * h), 6) + 0.0 AS v FROM x, range(0, 16) r(t), h WHERE m = (t - i + 16) % 16 GROUP BY ALL"""
 
-@query("d3_fft_resample", "SELECT vec_id, c::INT AS channel, 32 AS width, round(2 * list_sum(list_slice(embedding::DOUBLE[], c * 16 + 1, c * 16 + 16)), 6) + 0.0 AS s FROM embeddings, range(0, 4) r(c)")
+
+def _bins(of: str, value: str) -> str:
+    """SQL of value over re and im of each channel's bins; of: rows (vec_id, c, f, n, j, size, x), value j of size in frame f."""
+    return f"""WITH {_X}, y AS ({of}),
+s AS (SELECT vec_id, c, f, k, sum(x * cos(2 * pi() * k * j / size)) AS re, sum(x * sin(2 * pi() * k * j / size)) AS im, max(size) AS size FROM y, range(0, 9) r(k) WHERE k <= size / 2 GROUP BY ALL)
+SELECT vec_id, c::INT AS channel, (f * (size / 2 + 1) + k)::INT AS pos, round({value}, 6) + 0.0 AS v FROM s"""
+
+
+@query("d3_fft_resample", f"""WITH {_X}, h AS (SELECT t, i, (1 + 2 * (SELECT sum(cos(2 * pi() * k * (t / 32.0 - i / 16.0))) FROM range(1, 8) r(k)) + cos(16 * pi() * (t / 32.0 - i / 16.0))) / 16 AS h FROM range(0, 32) a(t), range(0, 16) b(i))
+SELECT vec_id, c::INT AS channel, t::INT AS pos, round(sum(x * h), 6) + 0.0 AS v FROM x JOIN h USING (i) GROUP BY ALL""")
 def _(t):
-    """Resampling keeps each channel's mean."""
-    return _sums(dsp.fft_resample(_signal(t), "signal", 32))
+    return _values(dsp.fft_resample(_signal(t), "signal", 32))
 
 
-@query("d1_bandpass", "SELECT vec_id, c::INT AS channel, 16 AS width, 0.0::DOUBLE AS s FROM embeddings, range(0, 4) r(c)")
+@query("d1_bandpass", _filtered("(0.5 - 0.5 * cos(pi() * least(greatest(k - 0.5, 0), 1))) * (0.5 - 0.5 * cos(pi() * least(greatest(6.5 - k, 0), 1)))"))
 def _(t):
-    """A band without frequency zero leaves channels that add up to nothing."""
-    return _sums(dsp.bandpass(_signal(t), "signal", 16.0, 1.0, 6.0)).withColumn("s", F.round("s", 4) + 0.0)
+    return _values(dsp.bandpass(_signal(t), "signal", 16.0, 1.0, 6.0))
 
 
-@query("d2_notch")
+@query("d2_notch", _filtered("CASE WHEN k = 3 THEN 0 ELSE 1 END"))
 def _(t):
-    return _sums(dsp.notch(_signal(t), "signal", 16.0, (3.0,)))
+    return _values(dsp.notch(_signal(t), "signal", 16.0, (3.0,)))
+
+
+_FRAMES = """SELECT vec_id, c, f, j, 8 AS size, x * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS x FROM range(0, 5) a(f), range(0, 8) b(j), x
+WHERE i = CASE WHEN f * 4 + j < 4 THEN 4 - f * 4 - j WHEN f * 4 + j > 19 THEN 34 - f * 4 - j ELSE f * 4 + j - 4 END"""
 
 
-@query("d5_stft")
+@query("d5_stft", _bins(_FRAMES, "sqrt(re * re + im * im)").replace("size / 2", "size // 2"))
 def _(t):
-    return _sums(dsp.stft(_signal(t), "signal", 8, 4))
+    return _values(dsp.stft(_signal(t), "signal", 8, 4))
 
 
-@query("a32_spectrum_db")
+@query("a32_spectrum_db", _bins("SELECT vec_id, c, 0 AS f, i AS j, 16 AS size, x FROM x", "10 * log10(re * re + im * im + 1e-10)").replace("size / 2", "size // 2"))
 def _(t):
-    return _sums(dsp.spectrum(_signal(t), "signal", "db"))
+    return _values(dsp.spectrum(_signal(t), "signal", "db"))
 
 
-@query("p24_cast_half")
+@query("p24_cast_half", f"WITH {_X}, s AS (SELECT *, CASE WHEN x = 0 THEN 1 ELSE pow(2, greatest(floor(log2(abs(x))), -14) - 10) END AS step FROM x) SELECT vec_id, c::INT AS channel, i::INT AS pos, round(round_even(x / step, 0) * step, 6) + 0.0 AS v FROM s")
 def _(t):
-    return _sums(dsp.cast_half(_signal(t), "signal"))
+    """Half precision has 11 significant bits: steps of 2^-10 of the leading power of two, halves to even."""
+    return _values(dsp.cast_half(_signal(t), "signal"))
 
 
-@query("n9_mask_channels")
+@query("n9_mask_channels", f"""WITH {_X}, m AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY md5(concat_ws('|', '4', vec_id, c)), c) <= 2 AS masked FROM embeddings, range(0, 4) r(c)),
+n AS (SELECT *, {_gauss(4, "vec_id, c, i")} AS g FROM x), s AS (SELECT vec_id, c, sqrt(sum(x * x)) / greatest(sqrt(sum(g * g)), 1e-12) AS f FROM n GROUP BY ALL)
+SELECT vec_id, c::INT AS channel, i::INT AS pos, round(CASE WHEN masked THEN g * f ELSE x END, 6) + 0.0 AS v FROM n JOIN s USING (vec_id, c) JOIN m USING (vec_id, c)""")
 def _(t):
-    return _sums(_signal(t).withColumn("signal", augment.mask_channels("signal", 4, 0.6, 4, "vec_id")))
+    return _values(_signal(t).withColumn("signal", augment.mask_channels("signal", 4, 0.6, 4, "vec_id")))
 
 
 @query("a31_kmeans")
 def _(t):
     centres = augment.kmeans(t.embeddings, "vec_id", "embedding", 8, 10, 1)
     return augment.nearest(t.embeddings, "embedding", centres).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("z6_stream_interactions", "SELECT event_type, strftime(day, '%Y-%m-%d') AS day, n FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(DISTINCT ts)::BIGINT AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def _(t):
+    """Days that the watermark has closed, each moment and type once."""
+    out = jobs.interaction_counts(_events(t), "ts", ["event_type"], "1 hour")
+    return _append(t, out).select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+def _batches(t: Tables, out: DataFrame, mode: str) -> DataFrame:
+    """Every micro-batch's rows of a stream run to its end, with its number."""
+    at = shared_folder(t.spark, "stream")
+    out.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{at}/out/batch={i}")).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).option("basePath", f"{at}/out").parquet(f"{at}/out/*").withColumn("batch", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("int"))
+
+
+@query("z7_stream_liveness", "SELECT user_id, max(ts) AS last_seen, max(ts) + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS expired FROM events GROUP BY user_id")
+def _(t):
+    """A user expires when the watermark has passed the last time seen by a day."""
+    seen = _batches(t, jobs.liveness(_events(t).select("user_id", "ts"), "user_id", "ts", 86400, "10 minutes"), "update")
+    return seen.groupBy("user_id").agg(F.max("last_seen").cast("timestamp_ntz").alias("last_seen"), F.bool_or(~F.col("alive")).alias("expired"))
+
+
+@query("z8_stream_totals", f"SELECT CASE WHEN {hashed(42, 'event_id')} < 0.9 THEN 'train' ELSE 'test' END AS split, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def _(t):
+    """The totals after the last micro-batch."""
+    out = _batches(t, jobs.split_totals(_events(t), "event_id", 42), "complete")
+    return out.groupBy("split").agg(F.max_by("n", "batch").alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.rnd import md5_key, uniform
 from ..operators import clean, instruct, metrics, sampling, windows
+from ..operators.ordered import small
+from ..sources import store
 from ..sources.store import missing_keys
 from .registry import Tables, query
 
@@ -33,23 +35,25 @@ def _(t):
     return t.documents.select("doc_id", F.md5(F.trim("text")).alias("clean"), F.col("n_chars").cast("float").alias("n"))
 
 
-@query("s7_append_log", "SELECT event_id, user_id, 1000 + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS log_idx FROM events")
+@query("s7_append_log", "SELECT event_id, user_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS log_idx FROM events")
 def _(t):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("event_id", "user_id", (F.lit(1000) + n).cast("long").alias("log_idx"))
+    """Goes on from a log whose last idx is 1000."""
+    log = t.spark.range(1).select(F.lit(1000).cast("long").alias("idx"))
+    return store.append_log(t.events, log, "ts", ["event_id"]).select("event_id", "user_id", F.col("idx").alias("log_idx"))
 
 
-@query("s13_class_mapping", "SELECT p_partkey, lower(arg_min(w, len(string_split(w, ' ')) * 100 + i)) AS name FROM (SELECT p_partkey, unnest(string_split(p_name, 'e')) AS w, unnest(range(0, len(string_split(p_name, 'e')))) AS i FROM part) GROUP BY p_partkey")
+@query("s13_class_mapping", """SELECT p_partkey::VARCHAR AS key, lower(arg_min(v, n * 100 + i)) AS name FROM (SELECT p_partkey, i, trim(w) AS v, len(list_filter(regexp_split_to_array(trim(w), '\\s+'), lambda x: x <> '')) AS n
+FROM (SELECT p_partkey, unnest(string_split(replace(p_name, 'e', ','), ',')) AS w, unnest(range(0, len(string_split(replace(p_name, 'e', ','), ',')))) AS i FROM part)) GROUP BY p_partkey""")
 def _(t):
-    """The variant of the fewest words, the first on ties, lower-cased."""
-    v = t.part.select("p_partkey", F.posexplode(F.split("p_name", "e", -1)).alias("i", "w"))
-    return v.groupBy("p_partkey").agg(F.lower(F.min_by("w", F.struct(F.size(F.split("w", " ", -1)), "i"))).alias("name"))
+    """Lines "key v1, v2, ..." made of part names."""
+    lines = t.part.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), F.replace("p_name", F.lit("e"), F.lit(","))).alias("value"))
+    return store.class_mapping(lines)
 
 
-@query("s14_templates", "SELECT doc_id, count(*)::BIGINT AS n, md5(string_agg(trim(line), '|' ORDER BY pos)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
+@query("s14_templates", "SELECT md5(trim(line)) AS template, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1")
 def _(t):
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    return t.documents.select("doc_id", lines.alias("l")).where("size(l) > 0").select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
+    lines = t.documents.select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    return store.templates(lines).groupBy(F.md5("template").alias("template")).agg(F.count("*").alias("n"))
 
 
 @query("s20_embed_cache", "SELECT DISTINCT md5(text) AS k FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
@@ -286,9 +290,18 @@ def _(t):
     return instruct.token_lengths(t.conversations, "conv_id", "text", F.col("text").contains("the"))
 
 
-@query("a20_labels_by_type", "SELECT source, string_agg(l, ' | ' ORDER BY l) AS labels FROM (SELECT DISTINCT source, lang AS l FROM documents) GROUP BY source")
+def languages(t: Tables) -> DataFrame:
+    """Each source's languages as one line of retrieval text."""
+    from ..operators import retrieval
+
+    langs = t.documents.where("lang is not null").select("source", "lang").distinct()
+    ranked = langs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("lang"))).withColumn("type", F.lit("language"))
+    return retrieval.label_text(ranked, ["source"], "type", "lang", 5)
+
+
+@query("a20_labels_by_type", "SELECT source, 'If task is language: ' || string_agg(l, ' | ' ORDER BY l) AS labels FROM (SELECT DISTINCT source, lang AS l FROM documents) GROUP BY source")
 def _(t):
-    return t.documents.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), " | ").alias("labels"))
+    return languages(t).withColumnRenamed("context", "labels")
 
 
 @query("a21_recording_qc", "SELECT user_id, CASE WHEN remain <= 1 THEN 0 ELSE remain END::BIGINT AS remain, CASE WHEN remain <= 1 THEN 0 ELSE total END::BIGINT AS total, round(CASE WHEN remain <= 1 THEN 100 ELSE 100.0 * (total - remain) / total END, 6)::DOUBLE AS drop_rate, duration::BIGINT AS duration FROM (SELECT user_id, count(*) FILTER (value <= 50) AS remain, count(*) AS total, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS duration FROM events GROUP BY 1)")
@@ -548,9 +561,9 @@ def _(t):
     return s.select("conv_id", "turn", marks.cast("long").alias("marks"), (F.size("ids") - marks).cast("long").alias("tokens"))
 
 
-@query("x20_retrieval_text", "SELECT source, 'Related: ' || string_agg(l, ' | ' ORDER BY l) AS t FROM (SELECT DISTINCT source, lang AS l FROM documents) GROUP BY source")
+@query("x20_retrieval_text", "SELECT source, 'Related:' || chr(10) || 'If task is language: ' || string_agg(l, ' | ' ORDER BY l) AS t FROM (SELECT DISTINCT source, lang AS l FROM documents) GROUP BY source")
 def _(t):
-    return t.documents.groupBy("source").agg(F.concat(F.lit("Related: "), F.array_join(F.array_sort(F.collect_set("lang")), " | ")).alias("t"))
+    return languages(t).select("source", F.concat(F.lit("Related:\n"), "context").alias("t"))
 
 
 @query("x21_replace_words", f"SELECT doc_id, md5(regexp_replace(text, '(?i)\\b(?:{X.PICTURE_WORDS})s?\\b', 'EEG', 'g')) AS t FROM documents")
@@ -602,7 +615,7 @@ def _(t):
 def mcq(t: Tables, options: int = 4, seed: int = 31) -> DataFrame:
     """Questions from documents: the language as the answer among seeded others."""
     langs = t.documents.select(F.col("lang").alias("class")).distinct()
-    pairs = t.documents.select("doc_id", "lang").crossJoin(F.broadcast(langs))
+    pairs = t.documents.select("doc_id", "lang").crossJoin(small(langs))
     own = (F.col("class") == F.col("lang")).cast("int")
     w = Window.partitionBy("doc_id").orderBy(own.desc(), md5_key(seed, "doc_id", "class"))
     picked = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= options)

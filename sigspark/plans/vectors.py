@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..functions.rnd import uniform
 from ..operators import clean, metrics, retrieval, sampling, windows
+from ..operators.ordered import small
 from .registry import Tables, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -138,7 +139,7 @@ def _(t):
 
 @query("j2_join_prototype", f"WITH {_PROTO} SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], vec), 6) AS d FROM embeddings JOIN proto ON class = label")
 def _(t):
-    p = F.broadcast(prototypes(t).withColumnRenamed("class", "label"))  # one row a class
+    p = small(prototypes(t).withColumnRenamed("class", "label"))
     return t.embeddings.join(p, "label").select("vec_id", "label", R(vec.dot("embedding", "vec")).alias("d"))
 
 
@@ -249,7 +250,7 @@ def _(t):
     new = assigned.select("code", F.posexplode("embedding").alias("pos", "v")).groupBy("code", "pos").agg(F.count("*").alias("used"), F.avg(F.col("v").cast("double")).alias("m"))
     unused = t.spark.range(1).select(F.lit(99).alias("class"), F.array_repeat(F.lit(0.125), 64).alias("vec"))
     old = prototypes(t).unionByName(unused).select(F.col("class").alias("code"), F.posexplode("vec").alias("pos", "old"))
-    return old.join(new, ["code", "pos"], "left").select("code", "pos", F.coalesce("used", F.lit(0)).cast("long").alias("used"), R(F.when(F.col("m").isNull(), F.col("old")).otherwise(0.99 * F.col("old") + 0.01 * F.col("m"))).alias("v"))
+    return old.join(new.hint("merge"), ["code", "pos"], "left").select("code", "pos", F.coalesce("used", F.lit(0)).cast("long").alias("used"), R(F.when(F.col("m").isNull(), F.col("old")).otherwise(0.99 * F.col("old") + 0.01 * F.col("m"))).alias("v"))
 
 
 @query("a33_global_stats", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(greatest(list_stddev_samp(embedding::DOUBLE[]), 1e-8), 6) AS std FROM embeddings")
@@ -461,13 +462,17 @@ def _(t):
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.count_if(~vec.is_finite("embedding")).alias("bad"), F.count_if(F.abs(vec.norm("embedding") - 1) > 1e-4).alias("off_norm"), R(F.min(vec.std("embedding"))).alias("least_std"))
 
 
-@query("c7_balanced_training_view", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 < 9),
-f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM s), g AS (SELECT * FROM f WHERE k <= 30),
-u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '4', vec_id))) AS r FROM g), m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM g GROUP BY label))
-SELECT vec_id, label, round(list_avg(list_transform(e, lambda v: abs((v - list_avg(e)) / greatest(list_stddev_samp(e), 1e-8)))), 6) AS mad FROM u, m WHERE r <= m""")
+@query("c7_balanced_training_view", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, vec_id % 3 AS d FROM embeddings WHERE vec_id % 10 < 9 AND vec_id % 3 <> 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('|', '4', vec_id)), vec_id) AS k FROM s), g AS (SELECT * FROM f WHERE k <= 100),
+w AS (SELECT label, n, sum(n) OVER () AS t, count(*) OVER () AS c, max(n) OVER () AS mx FROM (SELECT label, count(*) AS n FROM g GROUP BY label)),
+u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '4', vec_id)), vec_id) AS r FROM g)
+SELECT vec_id, label, copy, round(t::DOUBLE / (c * n), 6) AS class_weight, round(list_avg(list_transform(e, lambda v: abs((v - list_avg(e)) / greatest(list_stddev_samp(e), 1e-8)))), 6) AS mad
+FROM u JOIN w USING (label), range(0, 1000) q(copy) WHERE copy < mx // n OR (copy = mx // n AND r <= mx - n * (mx // n))""")
 def _(t):
-    """Partition, limit, undersample, normalise."""
-    train = t.embeddings.where(sampling.split_modulo("vec_id") == "train")
-    cut = sampling.limit_per_group(train, ["label"], 30, "vec_id")
-    even = sampling.resample_groups(cut, "label", "vec_id", "under", 4)
-    return even.select("vec_id", "label", R(vec.mean(F.transform(vec.zscore_sample("embedding"), lambda v: F.abs(v)))).alias("mad"))
+    """Partitions, seeded limit, required columns, class weights, over-sampling, normalisation by split."""
+    from .pipelines import View, training_view
+
+    store = t.embeddings.select("vec_id", "label", "embedding", F.concat(F.lit("d"), (F.col("vec_id") % 3).cast("string")).alias("dataset"), sampling.split_modulo("vec_id").alias("split"))
+    how = View(exclude=("d2",), limit=100, required=("embedding", "label"), strategy="over", methods={"train": "zscore_global"}, seed=4)
+    view = training_view(store, "vec_id", how, "embedding")
+    return view.select("vec_id", "label", "copy", R("class_weight").alias("class_weight"), R(vec.mean(F.transform("embedding", lambda v: F.abs(v)))).alias("mad"))

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_underscore, stem
+from ..operators.ordered import small
 from ..schema import ANNOTATIONS, CONVERSATIONS, MCQ
 
 
@@ -58,10 +60,12 @@ def get_row(df: DataFrame, dataset: str, row_idx: int) -> DataFrame:
     return counted.select(F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.concat(F.lit("rows found: "), F.col("n").cast("string")))).alias("row")).select("row.*")
 
 
-def append_log(df: DataFrame, log: DataFrame | None, order: str) -> DataFrame:
-    """df with idx going on from the log's last one, ready to be appended."""
-    last = log.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("_last")) if log is not None else df.sparkSession.range(1).select(F.lit(-1).alias("_last"))
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(last)).withColumn("idx", (F.col("_last") + F.col("_r")).cast("long")).drop("_last", "_r")
+def append_log(df: DataFrame, log: DataFrame | None, order: str, ties: list[str] = ()) -> DataFrame:
+    """df with idx going on from the log's last one by order (a number or time), ready to be appended; no task sees all rows."""
+    from ..operators.sampling import numbered
+
+    last = log.agg(F.max("idx")).first()[0] if log is not None else None
+    return numbered(df, F.col(order), "idx", ties).withColumn("idx", F.col("idx") + F.lit(0 if last is None else last + 1))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -103,7 +107,7 @@ def image_catalogue(files: DataFrame, classes: list[int] | None = None, pictures
     """(class_idx, class_name, description, img_idx, path) of files(path) in folders by class, both sorted by name."""
     named = files.select("path", F.element_at(F.split("path", "/"), -2).alias("class_name"))
     order = named.select("class_name").distinct().withColumn("class_idx", F.row_number().over(Window.orderBy("class_name")) - 1)
-    out = named.join(F.broadcast(order), "class_name").withColumn("img_idx", F.row_number().over(Window.partitionBy("class_name").orderBy("path")) - 1)
+    out = named.join(small(order), "class_name").withColumn("img_idx", F.row_number().over(Window.partitionBy("class_name").orderBy("path")) - 1)
     if classes is not None:
         out = out.where(F.col("class_idx").isin(classes))
     if pictures is not None:
@@ -149,12 +153,13 @@ def write_prototypes(df: DataFrame, path: str) -> None:
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table at path; made and written if it is absent, can't be read, or force."""
+    """The table at path; made and written if it is absent, or force. Any other trouble in reading it is an error."""
     if not force:
         try:
             return spark.read.parquet(path)
-        except Exception:  # absent or broken: made anew
-            pass
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -167,6 +172,6 @@ def missing_keys(df: DataFrame, key: str, cache: DataFrame) -> DataFrame:
 def embed_with_cache(df: DataFrame, key: str, cache: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """df with feature: from cache(key, feature), or by embed on each distinct missing key once."""
     fresh = missing_keys(df, key, cache).withColumn("feature", embed(F.col(key)))
-    return df.join(cache.select(key, "feature").unionByName(fresh), key, "left")
+    return df.join(cache.select(key, "feature").unionByName(fresh).hint("merge"), key, "left")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.sampling import split_random
+from ..schema import INTERACTIONS
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, form: str = "parquet", per_batch: int = 10, event_time: str | None = None) -> DataFrame:
@@ -22,6 +23,16 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, form: str =
     return df.withColumn(event_time, F.col(event_time).cast("timestamp")) if event_time else df
 
 
+def read_interactions(spark: SparkSession, folder: str, streaming: bool = False, per_batch: int = 10) -> DataFrame:
+    """Rows of the interaction log's JSON-lines files (schema.INTERACTIONS), with time, the moment of tstamp. Lines that aren't
+    JSON give rows of nulls, and those are left out."""
+    if streaming:
+        raw = spark.readStream.schema(INTERACTIONS).option("maxFilesPerTrigger", per_batch).json(folder)
+    else:
+        raw = spark.read.schema(INTERACTIONS).json(folder)
+    return raw.where("tstamp is not null").withColumn("time", F.timestamp_seconds("tstamp"))
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], bad_path: str | None = None, rows_per_file: int = 10_000) -> StreamingQuery:
     """Appends each micro-batch's good rows to the store and its bad ones to bad_path. A batch that runs again writes
     its own folder again, so rows are neither lost nor doubled."""

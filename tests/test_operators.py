@@ -49,15 +49,16 @@ def test_channel_names(spark):
     assert [r.x for r in df.select(clean.standard_channel("name").alias("x")).collect()][:5] == ["Fp1", "T7", "O1", None, None]
     kept = clean.clinical_names(df, "rec", "name", "i").orderBy("i").collect()
     assert [(r.i, r.new_name) for r in kept] == [(0, "Fp1"), (2, "O1"), (4, "Ecg"), (5, "A1")] and kept[0].few
-    assert [one(spark.range(1), clean.brain_region(F.lit(c))) for c in ("Fp1", "Fz", "Fc3", "Cz", "Cp3", "Pz", "Po3", "Oz", "T7", "O2")] == ["frontal_polar", "other", "frontal", "other", "central", "other", "parietal", "parieto_occipital", "temporal", "occipital"]
+    assert [one(spark.range(1), clean.brain_region(F.lit(c))) for c in ("Fp1", "Fz", "Fc3", "Cz", "Cp3", "Pz", "Po3", "Oz", "T7", "O2")] == ["frontal_polar", "frontal", "fronto_central", "central", "centro_parietal", "parietal", "parieto_occipital", "occipital", "temporal", "occipital"]
+    assert [one(spark.range(1), clean.brain_region(F.lit(c))) for c in ("FP2", "CPz", "F10", "A1", "")] == ["frontal_polar", "centro_parietal", "frontal", "other", "other"]
 
 
 def test_select_nearest_and_interpolate(spark):
     pos = spark.createDataFrame([("A", 0.0, 0.0, 0.0), ("B", 1.0, 0.0, 0.0), ("C", 5.0, 0.0, 0.0)], "name string, x double, y double, z double")
     present = spark.createDataFrame([("r", "b"), ("r", "C")], "rec_id string, channel string")
-    targets = spark.createDataFrame([("A",), ("C",)], "target string")
-    got = {(r.target, r.channel, r.exact) for r in clean.nearest_channel(targets, present, pos).collect()}
-    assert got == {("A", "b", False), ("C", "C", True)}
+    targets = spark.createDataFrame([("A",), ("B",), ("C",), ("X",)], "target string")
+    got = {(r.target, r.channel, r.exact) for r in clean.nearest_channel(targets, present.union(spark.createDataFrame([("r", "D")], present.schema)), pos, other="A").collect()}
+    assert got == {("A", "b", False), ("B", "b", True), ("C", "C", True), ("X", "b", False)}
     w = clean.inverse_distance_weights(pos.where("name = 'A'").withColumnRenamed("name", "target"), pos.where("name <> 'A'").withColumnRenamed("name", "channel"))
     assert abs(sum(r.w for r in w.collect()) - 1) < 1e-12
     s = spark.createDataFrame([("r", 0, "B", 2.0), ("r", 0, "C", 4.0)], "rec_id string, t int, channel string, value double")
@@ -175,7 +176,7 @@ def test_instruction_steps(spark):
 
 def test_numbered(spark):
     df = spark.range(500).select("id", (F.col("id") * 37 % 101).alias("k"))
-    got = sampling.numbered(df, F.col("k"), "i", ["id"], 8).orderBy("i").collect()
+    got = sampling.numbered(df, F.col("k"), "i", ["id"]).orderBy("i").collect()
     assert [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got) and [r.i for r in got] == list(range(500))
     by_hash = sampling.numbered(df, rnd.md5_key(1, "id"), "i").orderBy("i").withColumn("h", rnd.md5_key(1, "id")).collect()
     assert [r.h for r in by_hash] == sorted(r.h for r in by_hash)
@@ -195,3 +196,92 @@ def test_augment(spark):
     centres = sorted(augment.kmeans(pts, "id", "v", 2, 10, 3))
     assert np.allclose(centres, [[0, 0.19], [10, 0.2]], atol=1e-9) or len(centres) == 2
     assert augment.nearest(pts, "v", [[0.0, 0.0], [10.0, 0.0]]).where("code <> id % 2").count() == 0
+
+
+def test_statistics_of_whole_samples(spark):
+    """Each statistic once a vector: 32 x 512 samples take seconds."""
+    import time
+
+    x = np.random.default_rng(1).normal(3, 2, (4, 32, 512))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, eeg array<array<double>>")
+    t = time.time()
+    for f, want in (
+        (vec.zscore_pop, (x - x.mean(2, keepdims=True)) / x.std(2, keepdims=True)),
+        (lambda c: vec.scale_std(c), x / x.std(2, ddof=1, keepdims=True)),
+        (lambda c: vec.instance_norm(c)["values"], (x - x.mean(2, keepdims=True)) / np.sqrt(x.var(2, keepdims=True) + 1e-5)),
+    ):
+        got = np.array([r.e for r in df.select("k", F.transform("eeg", f).alias("e")).orderBy("k").collect()])
+        assert np.allclose(got, want)
+    assert time.time() - t < 60
+
+
+@pytest.mark.parametrize("fan", [None, 4])
+def test_running_sums_by_buckets(spark, monkeypatch, fan):
+    from sigspark.operators import ordered
+
+    if fan:
+        monkeypatch.setattr(ordered, "FAN", fan)
+    rng = np.random.default_rng(2)
+    rows = [(float(v), int(rng.integers(5)), int(rng.integers(1, 9))) for v in rng.normal(size=3000)] + [(None, 1, 2), (float("inf"), 3, 4)]
+    got = ordered.running(spark.createDataFrame(rows, "k double, p long, n long").repartition(5), "k", ["p", "n"]).collect()
+    p = n = 0
+    for k, a, b in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        r = next(x for x in got if x.k == k)
+        assert (r.before_p, r.before_n) == (p, n)
+        p, n = p + a, n + b
+    score, y = rng.normal(size=2000), rng.integers(0, 2, 2000)
+    df = spark.createDataFrame([(float(s), int(v)) for s, v in zip(score, y)], "s double, y int")
+    a, b = score[y == 1], score[y == 0]
+    assert abs(metrics.auroc(df, F.col("y"), F.col("s")).first().auroc - (a[:, None] > b).mean()) < 1e-9
+    order = y[np.argsort(-score)]
+    want = (np.cumsum(order) / np.arange(1, 2001))[order == 1].mean()
+    assert abs(metrics.average_precision(df, F.col("y"), F.col("s")).first().pr_auc - want) < 1e-9
+
+
+def test_both_ways_of_similarity_agree(spark):
+    """Null, ragged and short vectors, null keys and ties."""
+    rng = np.random.default_rng(3)
+    q = [(i, i % 2, rng.normal(size=4).tolist()) for i in range(30)] + [(90, 0, None), (91, None, [1.0, 0.0, 0.0, 0.0]), (92, 1, [1.0, None, 0.0, 0.0]), (93, 1, [1.0, 2.0]), (94, 0, [0.0] * 4)]
+    g = [(i, i % 2, rng.normal(size=4).tolist()) for i in range(40)] + [(90, 0, None), (91, None, [1.0, 0.0, 0.0, 0.0]), (92, 1, [3.0, 1.0]), (93, 0, g0 := [0.5] * 4), (94, 0, g0)]
+    qs, gs = spark.createDataFrame(q, "q long, t int, v array<double>"), spark.createDataFrame(g, "g long, t int, w array<double>")
+    for on in (None, ["t"]):
+        g_on = gs if on else gs.withColumnRenamed("t", "u")
+        rows = [{(r.q, r.g): r.sim for r in retrieval.similarity_join(qs, g_on, "v", "w", on, m).collect()} for m in ("broadcast", "blocked")]
+        rows.append({(r.q, r.g): r.sim for r in retrieval._blocked(qs, g_on, "v", "w", on or [], rows=7).collect()})
+        for other in rows[1:]:
+            assert rows[0].keys() == other.keys()
+            assert all((a is None) == (other[k] is None) and (a is None or abs(a - other[k]) < 1e-12) for k, a in rows[0].items())
+        best = [{(r.q, r.rank, r.g) for r in retrieval.nearest(qs, g_on, "v", "w", 5, ["q"], ["g"], on, m).collect()} for m in ("broadcast", "blocked")]
+        assert best[0] == best[1]
+
+
+def test_seeded_ranks(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(400)], "k long, g int")
+    got = sampling.seeded_rank(df, ["g"], "k", 5).collect()
+    import hashlib
+
+    for g in (None, 0, 1, 2):
+        mine = sorted((hashlib.md5(f"5|{r.k}".encode()).hexdigest(), r._r, r._n) for r in got if r.g == g)
+        assert [r for _, r, _ in mine] == list(range(1, len(mine) + 1)) and {n for *_, n in mine} == {len(mine)}
+
+
+def test_even_chunks_and_kmeans_brute(spark):
+    rows = [(i, int((i * 7919) % 97), i // 40, (i * 13) % 40) for i in range(160)]
+    df = spark.createDataFrame(rows, "k long, n int, megabatch long, place int")
+    got = {r.k: r.chunk for r in instruct.even_chunks(df, "k", "n", 4).collect()}
+    for m in range(4):
+        totals, counts = [0] * 4, [0] * 4
+        for k, n, _, _ in sorted((r for r in rows if r[2] == m), key=lambda r: r[3]):
+            c = min((c for c in range(4) if counts[c] < 10), key=lambda c: (totals[c], c))
+            assert got[k] == c
+            totals[c] += n
+            counts[c] += 1
+    x = np.random.default_rng(4).normal(size=(200, 3))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    import hashlib
+
+    c = x[sorted(range(200), key=lambda i: hashlib.md5(f"1|{i}".encode()).hexdigest())[:4]]
+    for _ in range(5):
+        of = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+        c = np.stack([x[of == j].mean(0) if (of == j).any() else c[j] for j in range(4)])
+    assert np.allclose(augment.kmeans(vectors, "k", "v", 4, 5, 1), c)

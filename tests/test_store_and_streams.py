@@ -128,3 +128,103 @@ def test_caption_prototypes(spark):
     labels = spark.createDataFrame([("a", 0, "x"), ("a", 1, "yy"), ("b", 0, "x")], "dataset string, label_id int, caption string")
     out = caption_prototypes(labels, lambda c: F.array(F.length(c)))
     assert sorted((r.dataset, r.label_id, r.feature) for r in out.collect()) == [("a", 0, [1]), ("a", 1, [2]), ("b", 0, [1])]
+
+
+def test_loader_hook(spark, tmp_path):
+    import numpy as np
+    from sigspark.plans import pipelines
+
+    for i in range(3):
+        (tmp_path / f"r{i}.txt").write_text(" ".join(str(i + k) for k in range(4)))
+    (tmp_path / "bad.txt").write_text("x")
+    (tmp_path / "long.txt").write_text("1 " * 500)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    load = lambda path, content: [(path.rsplit("/", 1)[1], ["a"], 100.0, np.array([[float(v) for v in content.split()]]))]
+    good, bad = pipelines.load_recordings(files, load, most_bytes=100)
+    assert sorted((r.rec_id, r.signal[0][1]) for r in good.collect()) == [("r0.txt", 1.0), ("r1.txt", 2.0), ("r2.txt", 3.0)]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in bad.collect()) == ["bad.txt", "long.txt"]
+
+
+def test_encoder_hook(spark):
+    """A fixed projection, loaded once a task and asked once a key."""
+    import numpy as np
+    from sigspark.plans import pipelines
+
+    def make():
+        w = np.arange(6.0).reshape(2, 3)
+        return lambda xs: np.array(xs) @ w
+
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0]), ("b", [0.0, 1.0]), ("c", None), (None, [1.0, 1.0])], "k string, x array<double>")
+    got = [(r.k, r.feature) for r in pipelines.encode(df, "k", "x", make).collect()]
+    assert sorted(got, key=str) == sorted([("a", [6.0, 9.0, 12.0]), ("a", [6.0, 9.0, 12.0]), ("b", [3.0, 4.0, 5.0]), ("c", None), (None, None)], key=str)
+
+
+def test_harmonise_hooks(spark):
+    from pyspark.sql import functions as F
+    from sigspark.plans import pipelines
+
+    df = spark.createDataFrame([(["EEG A", "EEG B"], [[1.0, 2.0], [3.0, 4.0]])], "ch_names array<string>, signal array<array<double>>")
+    how = pipelines.Harmonise(fs=2.0, target=("b",), rename=lambda c: F.lower(F.substring_index(c, " ", -1)), filter=lambda d: d.withColumn("signal", F.transform("signal", lambda ch: F.transform(ch, lambda v: v * 10))))
+    assert pipelines.filter_pipeline(df, how).first().signal == [[30.0, 40.0]]
+
+
+def test_training_view_and_metric_report(spark):
+    from pyspark.sql import functions as F
+    from sigspark.plans import pipelines
+
+    store = spark.range(300).select(F.col("id").alias("k"), F.concat(F.lit("d"), (F.col("id") % 3).cast("string")).alias("dataset"), F.when(F.col("id") % 10 == 9, "test").otherwise("train").alias("split"), (F.col("id") % 4 == 0).cast("int").alias("label"), F.array(F.col("id") * 1.0, F.lit(2.0), F.lit(5.0)).alias("feature"))
+    view = pipelines.training_view(store, "k", pipelines.View(exclude=("d2",), limit=40, required=("feature",), strategy="over", methods={"train": "zscore_pop"})).collect()
+    n = {x: sum(r.label == x for r in view) for x in (0, 1)}
+    assert n[0] == n[1] and {r.dataset for r in view} == {"d0", "d1"} and {r.split for r in view} == {"train"} and len({r.k for r in view}) == 80
+    assert all(abs(sum(r.feature)) < 1e-9 for r in view)
+    table = spark.createDataFrame([("a", 1, 1, 0.9), ("a", 0, 0, 0.2), ("a", 1, 0, 0.4), ("b", 2, 2, 0.5), ("b", 1, 2, 0.5)], "dataset string, label int, predicted int, score double")
+    got = {(r.dataset, r.metric): r.value for r in pipelines.metric_report(table, {"a": ["accuracy", "roc_auc", "pr_auc"], "b": ["balanced_accuracy", "f1_weighted", "cohen_kappa"]}).collect()}
+    assert abs(got["a", "accuracy"] - 2 / 3) < 1e-9 and got["a", "roc_auc"] == 1.0 and got["b", "balanced_accuracy"] == 0.5 and len(got) == 6
+    try:
+        pipelines.metric_report(table, {"a": ["nope"]})
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_interaction_log(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+    from sigspark.streaming import jobs
+
+    day = 86400
+    rows = [(10.0, "chat"), (10.0, "chat"), (20.0, "vote"), (day + 5.0, "chat"), (3 * day + 5.0, "chat"), (30.0, "chat")]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join([json.dumps({"tstamp": t, "type": k, "model": "m", "ip": "1"}) for t, k in rows] + ["not json"]))
+    assert jobs.read_interactions(spark, str(tmp_path / "log")).count() == 6
+    out = jobs.interaction_counts(jobs.read_interactions(spark, str(tmp_path / "log"), streaming=True), "time", ["type"])
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.type, str(r.day)[:10], r.n) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("chat", "1970-01-01", 2), ("vote", "1970-01-01", 1), ("chat", "1970-01-02", 1)}
+
+
+def test_flush_size_and_expiry(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from sigspark.streaming import jobs
+
+    src = str(tmp_path / "in")
+    spark.range(1000).select("id", F.timestamp_seconds(F.col("id") * 10).alias("ts"), (F.col("id") % 5 + F.when(F.col("id") > 500, 10).otherwise(0)).alias("user")).coalesce(1).write.parquet(src)
+    stream = lambda: jobs.read_files(spark, src, spark.read.parquet(src).schema)
+    jobs.ingest(stream(), str(tmp_path / "store"), str(tmp_path / "c1"), lambda b: (b, None), rows_per_file=300).awaitTermination()
+    sizes = sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "store")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+    assert sizes == [100, 300, 300, 300]
+    out = jobs.liveness(stream().select("user", "ts"), "user", "ts", 600, "10 seconds")
+    out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/live/b{i}")).outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/live/*").collect()
+    assert {r.user for r in rows if not r.alive} == set(range(5)) and {r.user for r in rows if r.alive} == {*range(5), *range(10, 15)}
+
+
+def test_log_goes_on(spark):
+    from pyspark.sql import functions as F
+    from sigspark.sources import store
+
+    df = spark.range(50).select(F.timestamp_seconds(F.col("id") * 97 % 50).alias("time"))
+    first = store.append_log(df, None, "time")
+    again = store.append_log(df, first, "time").orderBy("time").collect()
+    assert [r.idx for r in again] == list(range(50, 100))
