@@ -30,8 +30,9 @@ from .textblock import NOT_SPACE, Chunk, chunks, mix, prefix_sums, shingles, spa
 BANDS, ROWS = 25, 5
 N_HASHES = BANDS * ROWS
 BATCH = 25
-#: Most members of a block of signatures, and most members and shingles (but for a single text) of half a block of texts.
-BLOCK, TEXTS, SHINGLES = 2048, 128, 1 << 20
+#: Most members of a block of signatures; most texts and, but for a single text, shingles of half a block of texts. The latter bound
+#: memory; packs are as large as they let them be, since each pair of packs is a copy of its texts.
+BLOCK, TEXTS, SHINGLES = 2048, 2048, 1 << 20
 #: A bucket is dealt over several tasks from SPLIT members on, or more where over MOST_SPLIT buckets could have as many.
 SPLIT, MOST_SPLIT = 256, 20_000
 _A = mix(np.arange(N_HASHES, dtype=np.uint64), 21) | np.uint64(1)
