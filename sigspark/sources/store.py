@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_underscore, stem
+from ..operators import dsp
 from ..operators.ordered import small
 from ..schema import ANNOTATIONS, CONVERSATIONS, MCQ
 
@@ -29,6 +30,13 @@ def append_samples(df: DataFrame, path: str, channels: int, length: int) -> None
     checked_samples(df, channels, length).write.mode("append").partitionBy("dataset", "split").parquet(path)
 
 
+def append_epochs(df: DataFrame, path: str, channels: int = 32, length: int = 513) -> int:
+    """Appends epochs of exactly channels x length to the older store, partitioned by dataset, in half precision. Returns the
+    rows that it then holds."""
+    dsp.cast_half(checked_samples(df.withColumn("caption", F.lit("")), channels, length, 0).drop("caption"), "eeg").write.mode("append").partitionBy("dataset").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
 def read_samples(spark: SparkSession, path: str, mode: str, datasets: list[str] | str = "all", exclude: list[str] = (), limit: int | None = None) -> DataFrame:
     """Partitions of a split, pruned at the scan. limit: the first rows of train, seeded rows of other splits."""
     df = spark.read.parquet(path).where(F.col("split") == mode)
@@ -135,7 +143,8 @@ def explode_conversations(df: DataFrame) -> DataFrame:
 
 
 def write_mcq(df: DataFrame, path: str) -> None:
-    df.select(*(F.col(n).cast(kind) for n, kind in (c.split(" ") for c in MCQ.split(", ")))).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Questions as CSV; spaces at the ends of values stay, an empty value is read back as null."""
+    df.select(*(F.col(n).cast(kind) for n, kind in (c.split(" ") for c in MCQ.split(", ")))).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_mcq(spark: SparkSession, path: str) -> DataFrame:
