@@ -17,6 +17,16 @@ def samples(spark, dataset, split, n, length=4):
     return spark.createDataFrame(rows, "dataset string, split string, row_idx long, eeg array<array<double>>, feature array<double>, caption string, label int, image_path string")
 
 
+def test_epochs_of_the_older_store(spark, tmp_path):
+    path = str(tmp_path / "epochs")
+    third = spark.createDataFrame([("a", [[1 / 3] * 4] * 2)] * 3, "dataset string, eeg array<array<double>>")
+    assert store.append_epochs(third, path, 2, 4) == 3 and store.append_epochs(third, path, 2, 4) == 6
+    assert spark.read.parquet(path).first().eeg[1] == [float(np.float16(1 / 3))] * 4
+    with pytest.raises(Exception, match="wrong shape"):  # one value more is no fit here
+        store.append_epochs(third, path, 2, 3)
+    assert spark.read.parquet(path).count() == 6
+
+
 def test_store_round_trip(spark, tmp_path):
     path = str(tmp_path / "store")
     for d, n in (("a", 5), ("b", 3)):
@@ -53,9 +63,9 @@ def test_readers(spark, tmp_path):
     conv = [{"id": "1", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}]
     (tmp_path / "c.json").write_text(json.dumps(conv))
     assert [r.role for r in store.explode_conversations(store.read_conversations(spark, str(tmp_path / "c.json"))).orderBy("turn").collect()] == ["human", "gpt"]
-    q = spark.createDataFrame([("1", "p", 'What "x"?\n(A)y', "A", 2)], "id string, eegpath string, question string, correct_answer string, option_number int")
+    q = spark.createDataFrame([("1", "p", ' What "x"?\n(A)y ', "A", 2)], "id string, eegpath string, question string, correct_answer string, option_number int")
     store.write_mcq(q, str(tmp_path / "mcq"))
-    assert store.read_mcq(spark, str(tmp_path / "mcq")).first().question == 'What "x"?\n(A)y'
+    assert store.read_mcq(spark, str(tmp_path / "mcq")).first().question == ' What "x"?\n(A)y '
     files = spark.createDataFrame([("/d/00002_b/1.jpg",), ("/d/00001_aard_vark/2.jpg",), ("/d/00001_aard_vark/1.jpg",)], "path string")
     assert [(r.class_idx, r.description, r.img_idx) for r in store.image_catalogue(files).orderBy("class_idx", "img_idx").collect()] == [(0, "aard_vark", 0), (0, "aard_vark", 1), (1, "b", 0)]
 
