@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textblock import ALNUM, Chunk, chunks, mix, prefix_sums, span_hashes, words
+from .textblock import ALNUM, Chunk, SpanHashes, chunks, mix, words
 
 TABLE = 1 << 20
 #: Steps of the automaton that a task keeps in a dict.
@@ -238,7 +238,7 @@ def item_words(texts: list[str | None]) -> list[list[int]]:
     out: list[list[int]] = []
     for chunk in chunks(pa.array(texts, pa.string())):
         w = words(chunk, ALNUM)
-        h = span_hashes(prefix_sums(chunk), w.start, w.end)
+        h = SpanHashes(chunk).of(w.start, w.end)
         out += [h[a:b].tolist() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
     return out
 
@@ -269,7 +269,7 @@ def matches(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
     def rows(chunk: Chunk, matcher: Matcher) -> tuple[np.ndarray, list, list]:
         w = words(chunk, ALNUM)
-        found = matcher.match(span_hashes(prefix_sums(chunk), w.start, w.end), w.first)
+        found = matcher.match(SpanHashes(chunk).of(w.start, w.end), w.first)
         items: list[list[str]] = [[] for _ in range(len(chunk))]
         spans: list[list[dict]] = [[] for _ in range(len(chunk))]
         for r, (marks, ids) in found.items():

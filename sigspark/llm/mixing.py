@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ascent import least
 from .scratch import Scratch
-from .textblock import NOT_SPACE, chunks, prefix_sums, span_hashes, words
+from .textblock import NOT_SPACE, SpanHashes, chunks, words
 
 BUCKETS = 1 << 16
 #: Most labelled documents of each domain in the sample; their texts are taken whole, whatever their length.
@@ -54,12 +55,13 @@ class Classifier:
 
 def _buckets(chunk) -> tuple[np.ndarray, np.ndarray]:
     w = words(chunk, NOT_SPACE)
-    return (span_hashes(prefix_sums(chunk), w.start, w.end) % np.uint64(BUCKETS)).astype(np.int32), w.first
+    return (SpanHashes(chunk).of(w.start, w.end) % np.uint64(BUCKETS)).astype(np.int32), w.first
 
 
-def fit(rows: Iterable[pa.RecordBatch], domains: list[str], rounds: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """A classifier of rows (text, domain), all read once; a text stays as its buckets and how often each occurs. Domains
-    without a row have a prior of next to nothing."""
+def fit(rows: Iterable[pa.RecordBatch], domains: list[str], decay: float = 1e-4, bound: float = 1e-5) -> Classifier:
+    """A classifier of rows (text, domain), all read once; a text stays as its buckets and how often each occurs. Its weights
+    have the least mean logistic loss plus decay / 2 times their squares, to a slope of bound. Domains without a row have a prior
+    of next to nothing."""
     names, buckets, times = [], [], []
     for batch in rows:
         names += batch.column(1).to_pylist()
@@ -79,16 +81,21 @@ def fit(rows: Iterable[pa.RecordBatch], domains: list[str], rounds: int = 60, ra
     scale = np.concatenate(times) / np.repeat(np.sqrt(np.maximum(words_of, 1)), counts)
     row = np.repeat(np.arange(len(y)), counts)
     hot = np.eye(k)[y]
-    m1, m2 = np.zeros_like(model.weights), np.zeros_like(model.weights)
-    for t in range(1, rounds + 1):
-        z = model.bias + np.stack([np.bincount(row, scale * model.weights[:, c][bucket], len(y)) for c in range(k)], 1)
-        p = np.exp(z - z.max(1, keepdims=True))
-        gap = (hot - p / p.sum(1, keepdims=True)) / len(y)
-        for c in range(k):
-            g = np.bincount(bucket, gap[row, c] * scale, BUCKETS) - decay * model.weights[:, c]
-            m1[:, c] = 0.9 * m1[:, c] + 0.1 * g
-            m2[:, c] = 0.99 * m2[:, c] + 0.01 * g**2
-            model.weights[:, c] += rate * (m1[:, c] / (1 - 0.9**t)) / (np.sqrt(m2[:, c] / (1 - 0.99**t)) + 1e-8)
+    used, at = np.unique(bucket, return_inverse=True)
+    shape = (len(used), k)
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w = v.reshape(shape)
+        z = model.bias + np.stack([np.bincount(row, scale * w[:, c][at], len(y)) for c in range(k)], 1)
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        total = p.sum(1, keepdims=True)
+        gap = p / total - hot
+        g = np.stack([np.bincount(at, gap[row, c] * scale, len(used)) for c in range(k)], 1) / len(y) + decay * w
+        return float((np.log(total[:, 0]) - (z * hot).sum(1)).mean() + decay / 2 * (w**2).sum()), g.ravel()
+
+    spread = np.bincount(at, scale**2, len(used)) / len(y) / 4
+    model.weights[used] = least(loss, np.zeros(shape[0] * k), bound, np.repeat(decay + spread, k)).reshape(shape)
     return model
 
 

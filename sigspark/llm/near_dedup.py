@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
-from .textblock import NOT_SPACE, Chunk, chunks, mix, prefix_sums, shingles, span_hashes, words
+from .textblock import NOT_SPACE, Chunk, SpanHashes, chunks, mix, shingles, words
 
 BANDS, ROWS = 25, 5
 N_HASHES = BANDS * ROWS
@@ -42,7 +42,7 @@ _B = mix(np.arange(N_HASHES, dtype=np.uint64), 22)
 def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows end to end, and the bounds of each row's."""
     w = words(chunk, NOT_SPACE)
-    h, begin = shingles(span_hashes(prefix_sums(chunk), w.start, w.end), w.first, size)
+    h, begin = shingles(SpanHashes(chunk).of(w.start, w.end), w.first, size)
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
         h[a:b].sort()
     keep = np.ones(len(h), bool)

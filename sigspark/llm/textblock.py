@@ -6,6 +6,7 @@ megabyte, so a task's memory follows the chunk and not the partition; only a row
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,24 +125,33 @@ def words(chunk: Chunk, member: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(finish) + 1, np.searchsorted(start, chunk.offsets))
 
 
-def prefix_sums(chunk: Chunk) -> np.ndarray:
-    """Running polynomial sums over the lowered bytes; a span's hash is a difference of two of them."""
-    n = len(chunk.data)
-    h = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER_BYTE[chunk.data] * powers(n + 1)[0][:n], out=h[1:])
-    return h
+#: Spans beyond so many bytes are hashed whole: sums modulo 2^64 are equal for some unlike spans from 1,024 bytes on, whatever the base.
+LONG = 256
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans with A-Z lowered; equal spans have equal hashes wherever they stand."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+class SpanHashes:
+    """64-bit hashes of byte spans of a chunk with A-Z lowered; equal spans have equal hashes wherever they stand.
+
+    A span of up to LONG bytes is a difference of two running polynomial sums, a longer one goes through BLAKE2."""
+
+    def __init__(self, chunk: Chunk):
+        n = len(chunk.data)
+        self.data, self.sums = chunk.data, np.zeros(n + 1, np.uint64)
+        np.cumsum(_LOWER_BYTE[chunk.data] * powers(n + 1)[0][:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = mix((self.sums[end] - self.sums[start]) * powers(len(self.sums))[1][start])
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            span = LOWER[self.data[start[i] : end[i]]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+        return out
 
 
 def text_hash(text: str) -> int:
-    """span_hashes of one whole text."""
+    """The span hash of one whole text."""
     raw = np.frombuffer(text.encode(), np.uint8)
     chunk = Chunk(0, 1, raw, np.array([0, len(raw)]), np.zeros(1, bool))
-    return int(span_hashes(prefix_sums(chunk), np.array([0]), np.array([len(raw)]))[0])
+    return int(SpanHashes(chunk).of(np.array([0]), np.array([len(raw)]))[0])
 
 
 _STEP = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)

@@ -3,7 +3,7 @@
 Labels mark documents; the field is trained on labelled tokens. A bounded sample of labelled documents gives word and
 word-prefix features that stand out in toxic ones (a test against chance over both classes); a toxic document's tokens that carry
 one are labelled toxic, all others clean. The field has two states, weights for the selected features, a bias, and transitions,
-and is fitted by gradient ascent on the exact log-likelihood (forward-backward over segments of all tokens of the sample's texts;
+and is fitted by quasi-Newton steps to the optimum of the exact log-likelihood (forward-backward over segments of all tokens of the sample's texts;
 equal segments, such as those without a feature, are one with a weight).
 
 Scoring streams every token of every text. Tokens without a selected feature all have the same potentials, so a
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ascent import least
 from .scratch import Scratch
-from .textblock import ALNUM, Chunk, Words, chunks, mix, prefix_sums, span_hashes, words
+from .textblock import ALNUM, Chunk, SpanHashes, Words, chunks, mix, words
 
 #: Most labelled documents of each class in the sample; their texts are taken whole, whatever their length.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 5000
@@ -36,13 +37,13 @@ TABLE = 1 << 20
 
 def token_features(chunk: Chunk, w: Words) -> np.ndarray:
     """Feature hashes of each token: its whole word, and its first 4, 5 and 6 bytes (0 where it is shorter)."""
-    sums = prefix_sums(chunk)
+    spans = SpanHashes(chunk)
     size = w.end - w.start
     out = np.zeros((len(w.start), 1 + len(PREFIXES)), np.uint64)
-    out[:, 0] = span_hashes(sums, w.start, w.end)
+    out[:, 0] = spans.of(w.start, w.end)
     for j, k in enumerate(PREFIXES, 1):
         at = np.flatnonzero(size >= k)
-        out[at, j] = mix(span_hashes(sums, w.start[at], w.start[at] + k), 60 + k)
+        out[at, j] = mix(spans.of(w.start[at], w.start[at] + k), 60 + k)
     return out
 
 
@@ -121,30 +122,34 @@ def evidence(p: np.ndarray) -> float:
     return float(np.log(0.01 + p.sum()))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, times: np.ndarray, n_features: int, rounds: int = 60, rate: float = 0.3, ridge: float = 0.3):
-    """Weights, bias and transitions of the largest penalised likelihood. x: feature ids (segments, tokens, features,
-    -1 for none); y: labels; valid: tokens that exist; times: how often each segment occurs; ridge: the penalty, half of it times
-    the squares of weights and transitions, beside the log-likelihood of all tokens."""
-    w, bias, trans = np.zeros(n_features + 1), -1.0, np.zeros((2, 2))
-    total = max(1.0, float(times @ valid.sum(1)))
+def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, times: np.ndarray, n_features: int, ridge: float = 0.3, bound: float = 1e-3):
+    """Weights, bias and transitions of the largest penalised likelihood, where no slope is above bound. x: feature ids (segments,
+    tokens, features, -1 for none); y: labels; valid: tokens that exist; times: how often each segment occurs; ridge: the penalty,
+    half of it times the squares of weights and transitions, beside the log-likelihood of all tokens."""
     slots = np.where(x >= 0, x, n_features)
     n, length = y.shape
-    m1 = [np.zeros_like(w), 0.0, np.zeros((2, 2))]
-    m2 = [np.zeros_like(w), 0.0, np.zeros((2, 2))]
     pair = valid[:, 1:]
-    seen = np.zeros((2, 2))
     often = np.broadcast_to(times[:, None], pair.shape)[pair]
+    seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), often)
-    for t in range(1, rounds + 1):
-        w[-1] = 0
-        emit = np.stack([np.ones((n, length)), np.exp(np.clip(bias + w[slots].sum(2), -30, 30))], 2)
-        step = np.exp(trans)
+    count = np.bincount(slots.reshape(-1), np.repeat((valid * times[:, None]).reshape(-1), x.shape[2]), n_features + 1)[:-1]
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w, bias, trans = np.append(v[:n_features], 0), v[n_features], v[n_features + 1 :].reshape(2, 2)
+        score = bias + w[slots].sum(2)
+        top = np.maximum(score, 0)  # taken out of both states of a token, so that nothing overflows
+        emit = np.exp(np.stack([-top, score - top], 2))
+        high = trans.max()
+        step = np.exp(trans - high)
         fore, back = np.zeros((n, length, 2)), np.ones((n, length, 2))
-        fore[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+        norm = emit[:, 0].sum(1, keepdims=True)
+        fore[:, 0] = emit[:, 0] / norm
+        log_z = np.log(norm[:, 0]) + np.where(valid, top, 0).sum(1) + pair.sum(1) * high
         for i in range(1, length):
-            a = fore[:, i - 1] @ step * emit[:, i]
-            a = np.where(valid[:, i, None], a, fore[:, i - 1])
-            fore[:, i] = a / a.sum(1, keepdims=True)
+            a = np.where(valid[:, i, None], fore[:, i - 1] @ step * emit[:, i], fore[:, i - 1])
+            norm = a.sum(1, keepdims=True)
+            fore[:, i] = a / norm
+            log_z += np.where(valid[:, i], np.log(norm[:, 0]), 0)
         for i in range(length - 2, -1, -1):
             b = (emit[:, i + 1] * back[:, i + 1]) @ step.T
             b = np.where(valid[:, i + 1, None], b, 1.0)
@@ -152,17 +157,17 @@ def fit_chain(x: np.ndarray, y: np.ndarray, valid: np.ndarray, times: np.ndarray
         p = fore * back
         p = p[..., 1] / p.sum(2)
         joint = fore[:, :-1, :, None] * step * (emit[:, 1:] * back[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
+        joint = joint[pair] / joint[pair].sum((1, 2), keepdims=True)
         gap = np.where(valid, y - p, 0) * times[:, None]
-        g_w = np.bincount(slots.reshape(-1), np.repeat(gap.reshape(-1), x.shape[2]), n_features + 1) / total - ridge / total * w
-        grads = [g_w, gap.sum() / total, (seen - np.tensordot(often, joint[pair], 1)) / total - ridge / total * trans]
-        values = [w, bias, trans]
-        for i, g in enumerate(grads):  # Adam: rare features move as fast as common ones
-            m1[i] = 0.9 * m1[i] + 0.1 * g
-            m2[i] = 0.99 * m2[i] + 0.01 * g**2
-            values[i] = values[i] + rate * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.99**t)) + 1e-8)
-        w, bias, trans = values
-    return w[:-1], float(bias), trans
+        g_w = np.bincount(slots.reshape(-1), np.repeat(gap.reshape(-1), x.shape[2]), n_features + 1)[:-1] - ridge * w[:-1]
+        g_t = seen - np.tensordot(often, joint, 1) - ridge * trans
+        told = times @ (np.where(valid, y * score, 0).sum(1) - log_z) + (seen * trans).sum() - ridge / 2 * ((w**2).sum() + (trans**2).sum())
+        return -told, -np.concatenate((g_w, [gap.sum()], g_t.ravel()))
+
+    total = max(1.0, float(times @ valid.sum(1)))
+    start = np.concatenate((np.zeros(n_features), [-1.0], np.zeros(4)))
+    v = least(loss, start, bound, np.concatenate((ridge + 0.1 * count, np.full(5, ridge + 0.1 * total))), memory=200)
+    return v[:n_features], float(v[n_features]), v[n_features + 1 :].reshape(2, 2)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.5) -> tuple[float, float]:
