@@ -80,22 +80,27 @@ def fit(rows: Iterable[pa.RecordBatch], domains: list[str], decay: float = 1e-4,
     bucket = np.concatenate(buckets)
     scale = np.concatenate(times) / np.repeat(np.sqrt(np.maximum(words_of, 1)), counts)
     row = np.repeat(np.arange(len(y)), counts)
+    some, begin = np.flatnonzero(counts), (np.cumsum(counts) - counts)[counts > 0]
     hot = np.eye(k)[y]
     used, at = np.unique(bucket, return_inverse=True)
-    shape = (len(used), k)
+    order = np.argsort(at, kind="stable")  # by bucket, for the gradient
+    row_by, scale_by, bucket_begin = row[order], scale[order], np.searchsorted(at[order], np.arange(len(used)))
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w = v.reshape(shape)
-        z = model.bias + np.stack([np.bincount(row, scale * w[:, c][at], len(y)) for c in range(k)], 1)
+        w = v.reshape(k, -1)
+        z = np.tile(model.bias, (len(y), 1))
+        if len(some):
+            for c in range(k):
+                z[some, c] += np.add.reduceat(w[c][at] * scale, begin)
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         total = p.sum(1, keepdims=True)
-        gap = p / total - hot
-        g = np.stack([np.bincount(at, gap[row, c] * scale, len(used)) for c in range(k)], 1) / len(y) + decay * w
+        gap = ((p / total - hot) / len(y)).T.copy()
+        g = np.stack([np.add.reduceat(gap[c][row_by] * scale_by, bucket_begin) if len(used) else gap[c][:0] for c in range(k)]) + decay * w
         return float((np.log(total[:, 0]) - (z * hot).sum(1)).mean() + decay / 2 * (w**2).sum()), g.ravel()
 
     spread = np.bincount(at, scale**2, len(used)) / len(y) / 4
-    model.weights[used] = least(loss, np.zeros(shape[0] * k), bound, np.repeat(decay + spread, k)).reshape(shape)
+    model.weights[used] = least(loss, np.zeros(len(used) * k), bound, np.tile(decay + spread, k), memory=40).reshape(k, -1).T
     return model
 
 
