@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dedup, periodic_runs, secret_scan, token_files, toxicity, url_filter, whitening
+from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dedup, periodic_runs, secret_scan, spotsigs, token_files, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_document_fingerprints": spotsigs.op13_document_fingerprints,
     }
 
 
