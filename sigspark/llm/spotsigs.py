@@ -207,7 +207,7 @@ def compare(pairs: DataFrame, left: str, right: str, least: float = 0.8) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.float64())], ["_row", "near"])
 
     carried = pairs.select(F.struct(*pairs.columns).alias("_row"), F.col(left).alias("_left"), F.col(right).alias("_right"))
-    out = carried.mapInArrow(run, carried.select("_row").withColumn("near", F.lit(0.0)).schema)
+    out = carried.mapInArrow(run, carried.select("_row").withColumn("near", F.lit(None).cast("double")).schema)
     return out.select("_row.*", "near")
 
 
