@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.text import capitalise
+from . import within
 from .ordered import bucketed, small
 
 # The channels of the clinical montage, old names to new ones, and names that are no channels.
@@ -45,10 +46,8 @@ def next_valid(df: DataFrame, order: str, valid: Column) -> DataFrame:
 
 
 def next_valid_by(df: DataFrame, group: str, order: str, valid: Column) -> DataFrame:
-    """next_valid within each group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    own = F.when(valid, F.col(order))
-    return df.withColumn("source", F.coalesce(F.first(own, ignorenulls=True).over(w), F.min(own).over(Window.partitionBy(group))))
+    """next_valid within each group, of any size."""
+    return within.carry_back(df, [group], order, F.when(valid, F.col(order)), "source", wrap=True)
 
 
 def drop_keyword(df: DataFrame, column: str, word: str) -> DataFrame:

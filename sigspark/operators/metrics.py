@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.shared import saved
+from . import within
 from .ordered import running
 
 
@@ -45,6 +47,14 @@ def auroc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
 
 
+def auroc_by(df: DataFrame, by: list[str], label: Column, score: Column) -> DataFrame:
+    """(by, auroc): auroc() of each group. A group of any size is ranked in pieces; one of a single label has null."""
+    per = df.select(*by, label.cast("int").alias("y"), score.alias("s")).groupBy(*by, "s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    ranks = within.running_before(saved(per, "scores"), by, "s", ["n"])
+    sums = ranks.groupBy(*by).agg(F.sum(F.col("p") * (F.col("before_n") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return sums.select(*by, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auroc"))
+
+
 def binary_report(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
     """Counts, precision, recall (sensitivity), specificity and F1 of a yes/no prediction; 0 where undefined."""
     y, p = label.cast("boolean"), predicted.cast("boolean")

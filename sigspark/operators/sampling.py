@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rnd import md5_key, uniform
+from . import within
 from .metrics import group_weights
 from .ordered import bucketed, constants, small
 
@@ -104,8 +105,8 @@ def first_per(df: DataFrame, name: str, order: str) -> DataFrame:
 
 def sequential_id(df: DataFrame, group: str, order: str, prefix: str) -> DataFrame:
     """Dense ids from 1 within each group: prefix, group and number."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("eid", F.format_string(prefix + "_%s_%06d", F.col(group).cast("string"), n))
+    eid = F.format_string(prefix + "_%s_%06d", F.col(group).cast("string"), F.col("_number") + 1)
+    return within.number(df, [group], order, "_number").withColumn("eid", eid).drop("_number")
 
 
 def expand_repeats(df: DataFrame, n: int) -> DataFrame:

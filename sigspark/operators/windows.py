@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import within
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -41,22 +43,9 @@ def tile_and_truncate(x: Column | str, length: int) -> Column:
     return F.slice(F.flatten(F.array_repeat(c, F.ceil(F.lit(length) / F.size(c)).cast("int"))), 1, length)
 
 
-def moving_average(df: DataFrame, group: str, order: str, value: str, k: int) -> DataFrame:
-    """trend: mean of k values around each, the first and last value repeated beyond the ends; rest: value less trend."""
-    front, back = (k - 1) // 2, k - 1 - (k - 1) // 2
-    w = Window.partitionBy(group).orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = w.rowsBetween(-front, back)
-    i = F.row_number().over(w)
-    n = F.count("*").over(whole)
-    before = F.greatest(F.lit(front) - (i - 1), F.lit(0))
-    after = F.greatest(F.lit(back) - (n - i), F.lit(0))
-    trend = (F.sum(value).over(near) + before * F.first(value).over(whole) + after * F.last(value).over(whole)) / k
-    return df.withColumn("trend", trend).withColumn("rest", F.col(value) - F.col("trend"))
-
-
 def exp_smooth(x: Column | str, alpha: float, first: float = 0.0) -> Column:
-    """Running s = alpha * s + (1 - alpha) * x from s = first: weights (1 - alpha) * alpha^j and alpha^(t + 1) * first."""
+    """Running s = alpha * s + (1 - alpha) * x of a vector, from s = first: weights (1 - alpha) * alpha^j and alpha^(t + 1) * first. Rows of
+    a table go through within.exp_smooth."""
     c = _c(x).cast("array<double>")
     zero = F.array().cast("array<double>")
     return F.aggregate(c, F.struct(F.lit(first).alias("s"), zero.alias("out")), lambda a, v: F.struct((a["s"] * alpha + v * (1 - alpha)).alias("s"), F.concat(a["out"], F.array(a["s"] * alpha + v * (1 - alpha))).alias("out")), lambda a: a["out"])
@@ -78,12 +67,11 @@ def event_windows(samples: DataFrame, events: DataFrame, fs: float, pad_s: float
 
 def asof_forward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str) -> DataFrame:
     """left with match: the first right_time at or after left_time of the same key. One sort of both sides together, no
-    pairs: rows are put in one order and the next right time carried back."""
+    pairs: rows are put in one order, hot keys in pieces, and the next right time carried back."""
     a = left.select(key, F.struct(*left.columns).alias("_row"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"))
     b = right.select(key, F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("match", nxt).where("_side = 0").select("_row.*", "match")
+    nxt = F.when(F.col("_side") == 1, F.col("_t"))
+    return within.carry_back(a.unionByName(b), [key], "_t", nxt, "match", ["_side"]).where("_side = 0").select("_row.*", "match")
 
 
 def range_join(events: DataFrame, samples: DataFrame, key: str, start: str, stop: str, time: str, bucket_s: int) -> DataFrame:

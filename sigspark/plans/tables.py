@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rnd import md5_key, uniform
-from ..operators import clean, instruct, metrics, sampling, windows
+from ..operators import clean, instruct, metrics, sampling, windows, within
 from ..operators.ordered import small
 from ..sources import store
 from ..sources.store import missing_keys
@@ -421,21 +421,37 @@ def _(t):
     return j.where("ts between a + interval 6 hour and a + interval 30 hour").select("event_id")
 
 
-_MA = """WITH b AS (SELECT event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS f, last_value(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
-sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, round((s + greatest(2 - (i - 1), 0) * f + greatest(2 - (n - i), 0) * l) / 5, 6) AS trend, round(value - (s + greatest(2 - (i - 1), 0) * f + greatest(2 - (n - i), 0) * l) / 5, 6) AS rest FROM b"""
+def _ma_sql(k: int, group: str = "event_type") -> str:
+    """Means of k values around each row of a group, its ends repeated."""
+    front = (k - 1) // 2
+    back = k - 1 - front
+    trend = f"(s + greatest({front} - (i - 1), 0) * f + greatest({back} - (n - i), 0) * l) / {k}"
+    return f"""SELECT event_id, {trend} AS trend, value - {trend} AS rest FROM (SELECT event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY {group}) AS n, first_value(value) OVER w AS f,
+last_value(value) OVER (PARTITION BY {group} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, sum(value) OVER (PARTITION BY {group} ORDER BY event_id ROWS BETWEEN {front} PRECEDING AND {back} FOLLOWING) AS s FROM events WINDOW w AS (PARTITION BY {group} ORDER BY event_id))"""
 
 
-@query("w6_w7_moving_average", _MA)
+@query("w6_w7_moving_average", f"SELECT event_id, round(trend, 6) AS trend, round(rest, 6) AS rest FROM ({_ma_sql(5, 'user_id')})")
 def _(t):
-    out = windows.moving_average(t.events, "user_id", "event_id", "value", 5)
+    out = within.moving_average(t.events, "user_id", "event_id", "value", 5)
     return out.select("event_id", R("trend").alias("trend"), R("rest").alias("rest"))
 
 
-@query("w8_exp_smooth", "WITH b AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, round(list_sum(list_transform(range(0, len(v)), lambda j: 0.5 * pow(0.5, j) * v[len(v) - j])), 6) AS last FROM b")
+@query("w7_decompose_kernels", "SELECT event_id, round((a.trend + b.trend) / 2, 6) AS trend, round((a.rest + b.rest) / 2, 6) AS rest FROM (%s) a JOIN (%s) b USING (event_id)" % (_ma_sql(5), _ma_sql(12)))
 def _(t):
-    packed = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return packed.select("user_id", R(F.element_at(windows.exp_smooth("v", 0.5), -1)).alias("last"))
+    """Two kernels, one of even length; event types are hot groups."""
+    out = within.decompose(t.events, "event_type", "event_id", "value", [5, 12])
+    return out.select("event_id", R("trend").alias("trend"), R("rest").alias("rest"))
+
+
+@query("w8_exp_smooth", "WITH b AS (SELECT event_type, list(value ORDER BY event_id) AS v, list(event_id ORDER BY event_id) AS e FROM events GROUP BY 1), i AS (SELECT event_type, v, e, unnest(range(1, len(v) + 1)) AS i FROM b) SELECT e[i] AS event_id, round(list_sum(list_transform(range(0, least(i, 60)::BIGINT), lambda j: 0.5 * pow(0.5, j) * v[i - j])), 6) AS smooth FROM i")
+def _(t):
+    """Along each event type; what is over 60 rows back weighs less than 1e-18."""
+    return within.exp_smooth(t.events, "event_type", "event_id", "value", 0.5).select("event_id", R("smooth").alias("smooth"))
+
+
+@query("w8_exp_smooth_last", "WITH b AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, round(list_sum(list_transform(range(0, len(v)), lambda j: 0.5 * pow(0.5, j) * v[len(v) - j])), 6) AS last FROM b")
+def _(t):
+    return within.exp_smooth(t.events, "user_id", "event_id", "value", 0.5).groupBy("user_id").agg(R(F.max_by("smooth", "event_id")).alias("last"))
 
 
 @query("w10_length_order", "WITH r AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5(concat_ws('|', '5', doc_id)), doc_id) - 1) // 64 AS megabatch FROM documents) SELECT doc_id, megabatch, (row_number() OVER (PARTITION BY megabatch ORDER BY n_chars DESC, doc_id) - 1)::INT AS place FROM r")

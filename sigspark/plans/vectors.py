@@ -180,13 +180,8 @@ def _(t):
 a AS (SELECT class, (sum(CASE WHEN y THEN k ELSE 0 END) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY class)
 SELECT round(avg(auc), 6)::DOUBLE AS auroc FROM a""")
 def _(t):
-    per = scored(t).select("class", (F.col("class") == F.col("label")).cast("long").alias("y"), F.round("sim", 9).alias("s")).groupBy("class", "s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("class").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    k = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    a = k.groupBy("class").agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return a.agg(R(F.avg((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))))).alias("auroc"))
+    per = metrics.auroc_by(scored(t), ["class"], F.col("class") == F.col("label"), F.round("sim", 9))
+    return per.agg(R(F.avg("auroc")).alias("auroc"))
 
 
 @query("a25_retrieval_sanity", f"WITH {_PROTO} SELECT round(avg((class = label)::INT), 6) AS accuracy, avg((class = label)::INT) >= 0.4 AS ok FROM ranked WHERE rank = 1")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import rnd, text, vec
-from sigspark.operators import augment, clean, dsp, instruct, metrics, retrieval, sampling, windows
+from sigspark.operators import augment, clean, dsp, instruct, metrics, retrieval, sampling, windows, within
 
 
 def one(df, c):
@@ -123,7 +123,7 @@ def test_retrieval_methods_agree(spark):
 
 def test_windows(spark):
     df = spark.createDataFrame([("u", i, float(i)) for i in range(5)], "g string, i int, v double")
-    t = [r.trend for r in windows.moving_average(df, "g", "i", "v", 3).orderBy("i").collect()]
+    t = [r.trend for r in within.moving_average(df, "g", "i", "v", 3).orderBy("i").collect()]
     assert np.allclose(t, [1 / 3, 1, 2, 3, 11 / 3])
     rec = spark.createDataFrame([("r", [[float(i) for i in range(10)]])], "rec_id string, signal array<array<double>>")
     ev = spark.createDataFrame([("r", 1, 0, 1.0, 2.0, 3)], "rec_id string, event_id int, channel int, start_s double, end_s double, code int")
