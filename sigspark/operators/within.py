@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .ordered import bucketed, small
 
 PIECE_ROWS, SHARE = 1_000_000, 32
@@ -35,12 +36,12 @@ class Pieces:
         return self.rows.where("_hot").groupBy(*self.group, "_p").agg(*columns)
 
     def attach(self, table: DataFrame) -> DataFrame:
-        """rows with the columns of a table by group and _p; null in cold groups."""
+        """rows with the columns of a table by group and _p, null in cold groups. The table is written, so that its size is known."""
         names = {g: f"_g{i}" for i, g in enumerate(self.group)} | {"_p": "_q"}
         on = F.col("_p") == F.col("_q")
         for g in self.group:
             on = on & F.col(g).eqNullSafe(F.col(names[g]))
-        return self.rows.join(small(table.withColumnsRenamed(names)), on, "left").drop(*names.values())
+        return self.rows.join(saved(table, "pieces").withColumnsRenamed(names), on, "left").drop(*names.values())
 
 
 def over(group: list[str], *order: str):
@@ -48,7 +49,7 @@ def over(group: list[str], *order: str):
 
 
 def cut(df: DataFrame, group: list[str], order: str) -> Pieces:
-    """df, which is read several times, cut to pieces. Rows of one piece come before those of the next by order; rows of equal order are
+    """df, which is read four times at most, cut to pieces; where there are hot groups they are written once. Rows of one piece come before those of the next by order; rows of equal order are
     one piece. order of hot groups must be a number, date or time."""
     sizes = df.groupBy(*group).agg(F.count("*").alias("_c"))
     told = sizes.agg(F.sum("_c").alias("n"), F.max("_c").alias("most")).first()
@@ -62,7 +63,8 @@ def cut(df: DataFrame, group: list[str], order: str) -> Pieces:
         on = on & F.col(g).eqNullSafe(F.col(n))
     rows = df.join(small(hot), on, "left").drop(*names).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     rows = bucketed(rows.withColumn("_o", F.when(F.col("_hot"), F.col(order))), "_o").drop("_o")
-    return Pieces(rows.withColumn("_p", F.when(F.col("_hot"), F.col("_b")).otherwise(0)).drop("_b"), group, True, limit)
+    rows = rows.withColumn("_p", F.when(F.col("_hot"), F.col("_b")).otherwise(0)).drop("_b")
+    return Pieces(saved(rows, "pieces"), group, True, limit)
 
 
 def number(df: DataFrame, group: list[str], order: str, name: str, ties: list[str] | None = None, pieces: Pieces | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import clean, dsp, metrics, sampling, windows
+from ..operators import clean, dsp, longsignal, metrics, sampling, windows
 from ..operators.ordered import small
 from ..operators.sampling import split_random
 from ..sources.shared import saved
@@ -69,16 +70,50 @@ def recording_pipeline(df: DataFrame, how: Harmonise, epoch_s: float = 1.0, thre
     cut = F.when(n >= size, F.transform(starts, lambda i: F.transform("signal", lambda ch: F.slice(ch, i * size + 1, F.lit(size)))))
     # Both results read the epochs, and one joins them with the other: they are filtered and cut once and written.
     epochs = saved(ready.select("rec_id", F.posexplode(cut).alias("epoch", "eeg")), "epochs")
+    return judged_epochs(epochs, threshold)
+
+
+def judged_epochs(epochs: DataFrame, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, log) of written epochs(rec_id, epoch, eeg): see recording_pipeline. Counts a recording are joined to its epochs, which
+    stay where they are, however many there are."""
     flat = F.exists("eeg", lambda ch: vec.std(ch) < 1e-8)
     ptp = F.array_max(F.transform("eeg", lambda ch: F.array_max(ch) - F.array_min(ch)))
-    judged = epochs.withColumn("flat", flat).withColumn("ptp", ptp)
-    judged = clean.reject_by_amplitude(judged, "rec_id", "ptp", float("inf") if threshold is None else threshold).withColumn("kept", F.col("kept") & ~F.col("flat"))
-    totals = judged.groupBy("rec_id").agg(F.count_if("kept").alias("_k"), F.count("*").alias("_n"))
+    fits = F.lit(True) if threshold is None else ptp <= threshold
+    told = epochs.groupBy("rec_id").agg(F.count("*").alias("_n"), F.count_if(~flat).alias("_all"), F.count_if(~flat & fits).alias("_fit"))
+    many = F.col("_n") >= 20
+    told = saved(told.select("rec_id", "_n", F.when(many, F.col("_fit")).otherwise(F.col("_all")).alias("_k")), "log")
     bad = F.col("_k") <= 1
-    log = totals.select("rec_id", F.when(bad, 0).otherwise(F.col("_k")).alias("remain"), F.when(bad, 0).otherwise(F.col("_n")).alias("total"), F.when(bad, 0).otherwise(F.col("_n") - F.col("_k")).alias("drop"), F.when(bad, 100.0).otherwise((F.col("_n") - F.col("_k")) * 100.0 / F.col("_n")).alias("drop_rate"))
-    fine = log.where("remain > 0").select("rec_id")
-    samples = judged.where("kept").join(fine.hint("merge"), "rec_id", "left_semi").select("rec_id", "epoch", F.transform("eeg", lambda ch: vec.zscore_pop(ch)).alias("eeg"))
-    return samples, log
+    log = told.select("rec_id", F.when(bad, 0).otherwise(F.col("_k")).alias("remain"), F.when(bad, 0).otherwise(F.col("_n")).alias("total"), F.when(bad, 0).otherwise(F.col("_n") - F.col("_k")).alias("drop"), F.when(bad, 100.0).otherwise((F.col("_n") - F.col("_k")) * 100.0 / F.col("_n")).alias("drop_rate"))
+    kept = ~flat & (~many | fits)
+    samples = epochs.join(small(told.where(~bad).select("rec_id", "_n")), "rec_id").where(kept)
+    return samples.select("rec_id", "epoch", F.transform("eeg", lambda ch: vec.zscore_pop(ch)).alias("eeg")), log
+
+
+def long_recording_pipeline(chunks: DataFrame, size: int, how: Harmonise, epoch_s: float = 1.0, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """recording_pipeline for chunk rows (rec_id, chunk, n, ch_names, signal) of recordings of any length (see longsignal): size samples a
+    chunk, a whole number of epochs before and after resampling. Filters are finite, Hamming-windowed ones; how.filter and how.steps get and
+    give chunk rows."""
+    fs, out = how.fs, chunks
+    if how.rename:
+        out = out.withColumn("ch_names", F.transform("ch_names", how.rename))
+    if how.drop:
+        kept = F.filter("ch_names", lambda c: ~c.isin(list(how.drop)))
+        out = out.withColumn("signal", clean.drop_channels("signal", "ch_names", list(how.drop))).withColumn("ch_names", kept)
+    if how.target:  # before the filters, which take channels one by one: the rest need not travel
+        out = out.withColumn("signal", clean.select_channels("signal", "ch_names", list(how.target))).withColumn("ch_names", F.array(*(F.lit(t) for t in how.target)))
+    if how.filter:
+        out = how.filter(out)
+    else:
+        taps = longsignal.band_taps(fs, how.low, how.high) if how.low is not None or how.high is not None else np.ones(1)
+        taps = np.convolve(taps, longsignal.notch_taps(fs)) if how.notch else taps
+        out = longsignal.fir_filter(out, size, taps) if len(taps) > 1 else out
+    for step in how.steps:
+        out = step(out)
+    if how.resample and how.resample != fs:
+        ratio = Fraction(how.resample).limit_denominator(1 << 20) / Fraction(fs).limit_denominator(1 << 20)
+        out = longsignal.resample(out, size, ratio.numerator, ratio.denominator)
+        size, fs = size * ratio.numerator // ratio.denominator, how.resample
+    return judged_epochs(saved(longsignal.epochs(out, size, round(epoch_s * fs)), "epochs"), threshold)
 
 
 def event_pipeline(recordings: DataFrame, events: DataFrame, how: Harmonise, seed: int, pad_s: float = 2.0, pieces: int = 5, train: float = 0.9, label: Callable[[Column], Column] = lambda code: code - 1) -> DataFrame:
