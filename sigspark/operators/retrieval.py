@@ -143,22 +143,3 @@ def label_text(hits: DataFrame, query: list[str], type_col: str, label: str, see
     line = F.concat(F.lit("If task is "), F.col(type_col).cast("string"), F.lit(": "), F.array_join(F.transform("a", lambda s: s["l"]), " | "))
     keyed = lines.select(*query, F.struct(md5_key(seed, *query, type_col).alias("o"), line.alias("t")).alias("s"))
     return keyed.groupBy(*query).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("context"))
-
-
-def negatives(queries: DataFrame, classes: DataFrame, query: str, label: str, k: int, seed: int) -> DataFrame:
-    """(query, label, class): k - 1 distinct classes other than the query's own, by seeded order. classes: one column class,
-    at most BROADCAST_ROWS rows (more are an error)."""
-    if classes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"over {BROADCAST_ROWS} classes")
-    pairs = queries.select(query, label).crossJoin(F.broadcast(classes)).where(F.col("class") != F.col(label))
-    w = Window.partitionBy(query).orderBy(md5_key(seed, query, "class"))
-    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k - 1).drop("_r")
-
-
-def kway_hits(queries: DataFrame, prototypes: DataFrame, k: int, query: str, label: str, qvec: str, seed: int) -> DataFrame:
-    """(query, label, rank): place of the true class among itself and k - 1 seeded negatives. prototypes: class, vec."""
-    classes = prototypes.select("class")
-    chosen = negatives(queries, classes, query, label, k, seed).unionByName(queries.select(query, label, F.col(label).alias("class")))
-    scored = chosen.join(queries.select(query, qvec), query).join(small(prototypes), "class").withColumn("sim", vec.cosine(qvec, "vec"))
-    w = Window.partitionBy(query).orderBy(F.col("sim").desc(), "class")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("class") == F.col(label)).select(query, label, "rank")

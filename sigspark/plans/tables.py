@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rnd import md5_key, uniform
-from ..operators import clean, instruct, metrics, sampling, windows, within
+from ..operators import choices, clean, instruct, metrics, sampling, windows, within
 from ..operators.ordered import small
 from ..sources import store
 from ..sources.store import missing_keys
@@ -630,14 +630,7 @@ def _(t):
 
 def mcq(t: Tables, options: int = 4, seed: int = 31) -> DataFrame:
     """Questions from documents: the language as the answer among seeded others."""
-    langs = t.documents.select(F.col("lang").alias("class")).distinct()
-    pairs = t.documents.select("doc_id", "lang").crossJoin(small(langs))
-    own = (F.col("class") == F.col("lang")).cast("int")
-    w = Window.partitionBy("doc_id").orderBy(own.desc(), md5_key(seed, "doc_id", "class"))
-    picked = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= options)
-    shown = picked.groupBy("doc_id", "lang").agg(F.transform(F.array_sort(F.collect_list(F.struct(md5_key(seed + 1, "doc_id", "class").alias("o"), "class"))), lambda s: s["class"]).alias("options"))
-    correct = X.option_letter(F.array_position("options", F.col("lang")).cast("int") - 1)
-    return shown.select("doc_id", X.render_question(F.lit("Which language?"), "options").alias("question"), correct.alias("correct"), F.col("lang").alias("name"))
+    return choices.questions(t.documents, "doc_id", "lang", options, seed, ["Which language?"]).select("doc_id", "question", "correct", F.col("lang").alias("name"))
 
 
 _MCQ = """p AS (SELECT doc_id, lang, class, row_number() OVER (PARTITION BY doc_id ORDER BY (class = lang)::INT DESC, md5(concat_ws('|', '31', doc_id, class))) AS r FROM documents, (SELECT DISTINCT lang AS class FROM documents)),
@@ -650,11 +643,11 @@ def _(t):
     return mcq(t)
 
 
-@query("x9_x10_parse_options", f"WITH {_MCQ} SELECT doc_id, 4::BIGINT AS n, name AS chosen, true AS valid FROM q")
+@query("x9_x10_parse_options", f"WITH {_MCQ}, m AS (SELECT doc_id, count(*)::BIGINT AS n FROM o WHERE i < 4 GROUP BY 1) SELECT q.doc_id, n, name AS chosen, coalesce(65 + q.doc_id % 5 < 65 + n AND chr((65 + q.doc_id % 5)::INT) = correct, false) AS valid FROM q JOIN m USING (doc_id)")
 def _(t):
-    """Rendered questions read back: the correct letter leads to the name."""
+    """Rendered questions read back: the correct letter leads to the name; another letter, or one that is no option, is not valid."""
     m = mcq(t).withColumn("map", X.parse_options("question"))
-    return m.select("doc_id", F.size("map").cast("long").alias("n"), F.try_element_at("map", F.col("correct")).alias("chosen"), X.valid_answer("correct", "correct", "map").alias("valid"))
+    return m.select("doc_id", F.size("map").cast("long").alias("n"), F.try_element_at("map", F.col("correct")).alias("chosen"), X.valid_answer(F.char(F.lit(65) + (F.col("doc_id") % 5)), "correct", "map").alias("valid"))
 
 
 @query("c4_score_mcq", f"""WITH {_MCQ}, s AS (SELECT name, chr((65 + doc_id % 5)::INT) = correct AS ok FROM q)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import uniform
-from ..operators import clean, metrics, retrieval, sampling, windows
+from ..operators import choices, clean, metrics, retrieval, sampling, windows
 from ..operators.ordered import small
+from .benchmarks import floyd, numbers_sql
 from .registry import Tables, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -116,25 +117,27 @@ def _(t):
 
 
 def _kway_sql(k: int) -> str:
-    return f"""SELECT {k} AS k, count(*)::BIGINT AS n, round(avg((r = 1)::INT), 6) AS accuracy FROM (
-SELECT s.vec_id, s.label, s.class, row_number() OVER (PARTITION BY s.vec_id ORDER BY s.sim DESC, s.class) AS r FROM sims s
-LEFT JOIN (SELECT vec_id, class, row_number() OVER (PARTITION BY vec_id ORDER BY md5(concat_ws('|', '42', vec_id, class))) AS m FROM sims WHERE class <> label) n ON n.vec_id = s.vec_id AND n.class = s.class
-WHERE s.class = s.label OR m <= {k} - 1) WHERE class = label"""
+    return f"""SELECT {k} AS k, count(*)::BIGINT AS n, round(avg((r = 1)::INT), 6) AS accuracy FROM (SELECT label, class, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, class) AS r FROM sims
+JOIN (SELECT vec_id, unnest(list_append({floyd('m - 1', str(k - 1), 42, f'vec_id, {k}', 'c')}, c)) AS c FROM embeddings JOIN num ON class = label, (SELECT count(*) AS m FROM num)) USING (vec_id) JOIN num USING (class, c)) WHERE class = label"""
 
 
-@query("a13_kway_accuracy", f"WITH {_PROTO} " + " UNION ALL ".join(_kway_sql(k) for k in (2, 4, 10)))
+def _kway_all() -> str:
+    return f"WITH {_PROTO}, num AS {numbers_sql('embeddings', 'label')} " + " UNION ALL ".join(_kway_sql(k) for k in (2, 4, 10))
+
+
+def _distractors_sql() -> str:
+    return f"WITH num AS {numbers_sql('embeddings', 'label')} SELECT vec_id, label, class FROM (SELECT vec_id, label, unnest({floyd('m - 1', '3', 7, 'vec_id', 'c')}) AS c FROM embeddings JOIN num ON class = label, (SELECT count(*) AS m FROM num)) JOIN num USING (c)"
+
+
+@query("a13_kway_accuracy", _kway_all())
 def _(t):
-    out = None
-    for k in (2, 4, 10):
-        h = retrieval.kway_hits(t.embeddings.select("vec_id", "label", "embedding"), prototypes(t), k, "vec_id", "label", "embedding", 42)
-        part = h.agg(F.lit(k).alias("k"), F.count("*").alias("n"), R(F.avg((F.col("rank") == 1).cast("double"))).alias("accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    h = choices.kway_hits(t.embeddings, prototypes(t), [2, 4, 10], "vec_id", "label", "embedding", 42)
+    return h.groupBy("k").agg(F.count("*").alias("n"), R(F.avg((F.col("rank") == 1).cast("double"))).alias("accuracy"))
 
 
-@query("j8_distractors", "SELECT vec_id, label, class FROM (SELECT vec_id, e.label, c.class, row_number() OVER (PARTITION BY vec_id ORDER BY md5(concat_ws('|', '7', vec_id, c.class))) AS r FROM embeddings e, (SELECT DISTINCT label AS class FROM embeddings) c WHERE c.class <> e.label) WHERE r <= 3")
+@query("j8_distractors", _distractors_sql())
 def _(t):
-    return retrieval.negatives(t.embeddings, t.embeddings.select(F.col("label").alias("class")).distinct(), "vec_id", "label", 4, 7)
+    return choices.negatives(t.embeddings, t.embeddings.select(F.col("label").alias("class")), "vec_id", "label", 4, 7)
 
 
 @query("j2_join_prototype", f"WITH {_PROTO} SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], vec), 6) AS d FROM embeddings JOIN proto ON class = label")
