@@ -1,13 +1,12 @@
-"""Seeded augmentation of vectors and signals, and k-means codebooks."""
+"""Seeded augmentation of vectors and signals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import gaussian, md5_key
-from .retrieval import elementwise_mean
 
 
 def jitter(x: str, sigma: float, seed: int, key: str) -> Column:
@@ -42,29 +41,3 @@ def mask_channels(signal: str, n: int, share: float, seed: int, key: str) -> Col
 
     values = {"s": F.col(signal).cast("array<array<double>>"), "m": masked(n, share, seed, key)}
     return vec.bound(values, lambda b: F.transform(b["s"], lambda ch, c: F.when(F.get(b["m"], c), noise(ch, c)).otherwise(ch)))
-
-
-def nearest(df: DataFrame, vector: str, centres: list[list[float]], cosine: bool = False) -> DataFrame:
-    """df with code: the number of the nearest centre, the first on ties. centres are few: they stand in the expression."""
-    table = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in centres))
-    x = vec.l2_normalize(vector) if cosine else F.col(vector).cast("array<double>")
-    score = F.transform(table, lambda c: vec.dot(x, c) if cosine else -F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    return df.withColumn("code", vec.argmax(score))
-
-
-def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed: int = 0, cosine: bool = False) -> list[list[float]]:
-    """k centres after Lloyd rounds from k seeded rows; an empty cluster keeps its centre. A round is one aggregate over the
-    table; only the k centres come to the driver."""
-    first = df.orderBy(md5_key(seed, key), key).limit(k).select(F.col(vector).cast("array<double>").alias("v")).collect()
-    centres = [list(r["v"]) for r in first]
-    for _ in range(rounds):
-        means = elementwise_mean(nearest(df, vector, centres, cosine), ["code"], vector)
-        new = list(centres)
-        for r in means.collect():
-            new[r["code"]] = list(r["vec"])
-        if cosine:
-            new = [[v / max(sum(a * a for a in c) ** 0.5, 1e-12) for v in c] for c in new]
-        if new == centres:
-            break
-        centres = new
-    return centres

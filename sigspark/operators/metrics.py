@@ -102,17 +102,6 @@ def latency_profile(df: DataFrame, value: str, order: str, warmup: int) -> DataF
     return cum.agg(F.max("t").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.max("t")).alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.sum(F.col("v") * F.col("n")).alias("total"))
 
 
-def contrastive_loss(pairs: DataFrame, row: str, column: str, logit: str) -> DataFrame:
-    """Symmetric cross entropy of a batch's logits (row, column, logit), true pairs where row = column."""
-    def side(key: str) -> DataFrame:
-        top = F.max(logit).over(Window.partitionBy(key))
-        lse = pairs.withColumn("_m", top).groupBy(key).agg((F.max("_m") + F.log(F.sum(F.exp(F.col(logit) - F.col("_m"))))).alias("lse"), F.max(F.when(F.col(row) == F.col(column), F.col(logit))).alias("own"))
-        return lse.agg(F.avg(F.col("lse") - F.col("own")).alias(f"loss_{key}"))
-
-    a, b = side(row), side(column)
-    return a.crossJoin(b).select(((F.col(f"loss_{row}") + F.col(f"loss_{column}")) / 2).alias("loss"))
-
-
 def smoothed_cross_entropy(logits: Column, label: Column, smoothing: float) -> Column:
     """Cross entropy of one row with label smoothing over the classes of logits."""
     c = logits.cast("array<double>")

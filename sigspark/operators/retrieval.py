@@ -11,23 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import md5_key
+from . import matrices
 from .ordered import small
 
 #: Galleries up to this many rows are broadcast whole; larger ones are scored in blocks.
 BROADCAST_ROWS = 20_000
 
 
-def elementwise_mean(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """keys and vec, the mean vector of each group. Partial sums are made before the shuffle, one row a component."""
-    long = df.select(*keys, F.posexplode(vector).alias("pos", "v"))
-    means = long.groupBy(*keys, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    packed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("a"))
-    return packed.select(*keys, F.transform("a", lambda s: s["m"]).alias("vec"))
-
-
 def class_prototypes(df: DataFrame, label: str = "label", vector: str = "embedding", normalize: bool = True, by: list[str] | None = None) -> DataFrame:
     """One mean vector per class (per class and by), scaled to length 1 unless normalize is false."""
-    out = elementwise_mean(df, [*(by or []), label], vector)
+    out = matrices.means(df, [*(by or []), label], vector).drop("n")
     return out.withColumn("vec", vec.l2_normalize("vec")) if normalize else out
 
 

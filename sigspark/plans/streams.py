@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import augment, dsp
+from ..operators import augment, dsp, matrices
 from ..operators.sampling import split_random
 from ..sources.shared import shared_folder
 from ..streaming import jobs
@@ -141,10 +141,20 @@ def _(t):
     return _values(_signal(t).withColumn("signal", augment.mask_channels("signal", 4, 0.6, 4, "vec_id")))
 
 
-@query("a31_kmeans")
+def _lloyd(k: int, rounds: int) -> str:
+    """SQL of Lloyd rounds from the first k vectors by a hash of their key; an empty cluster keeps its centre."""
+    steps = f"""c0 AS (SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '1', vec_id)), vec_id) - 1 AS code, embedding::DOUBLE[] AS c FROM embeddings QUALIFY code < {k})"""
+    for r in range(rounds + 1):
+        steps += f""", a{r} AS (SELECT vec_id, arg_min(code, (d, code)) AS code FROM (SELECT vec_id, code, list_distance(embedding::DOUBLE[], c) AS d FROM embeddings, c{r}) GROUP BY vec_id),
+m{r} AS (SELECT code, list(m ORDER BY pos) AS c FROM (SELECT code, pos, avg(v) AS m FROM (SELECT code, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings JOIN a{r} USING (vec_id)) GROUP BY ALL) GROUP BY code),
+c{r + 1} AS (SELECT code, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (code))"""
+    return f"WITH {steps} SELECT code::INT AS code, count(*)::BIGINT AS n FROM a{rounds} GROUP BY code"
+
+
+@query("a31_kmeans", _lloyd(8, 3))
 def _(t):
-    centres = augment.kmeans(t.embeddings, "vec_id", "embedding", 8, 10, 1)
-    return augment.nearest(t.embeddings, "embedding", centres).groupBy("code").agg(F.count("*").alias("n"))
+    centres = matrices.kmeans(t.embeddings, "vec_id", "embedding", 8, 3, 1, starts="seeded")
+    return matrices.nearest(t.embeddings, "embedding", centres).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("z6_stream_interactions", "SELECT event_type, strftime(day, '%Y-%m-%d') AS day, n FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(DISTINCT ts)::BIGINT AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

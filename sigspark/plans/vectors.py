@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import uniform
-from ..operators import choices, clean, metrics, retrieval, sampling, windows
+from ..operators import choices, clean, matrices, metrics, retrieval, sampling, windows
 from ..operators.ordered import small
 from .benchmarks import floyd, numbers_sql
 from .registry import Tables, query
@@ -160,7 +160,7 @@ def _(t):
 
 @query("a6_trial_average", "SELECT g, pos::INT AS pos, round(avg(v), 6) AS v FROM (SELECT vec_id // 4 AS g, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY ALL")
 def _(t):
-    return _long(retrieval.elementwise_mean(t.embeddings.withColumn("g", F.floor(F.col("vec_id") / 4)), ["g"], "embedding"), "vec", "g")
+    return _long(matrices.means(t.embeddings.withColumn("g", F.floor(F.col("vec_id") / 4)), ["g"], "embedding"), "vec", "g")
 
 
 @query("a16_confusion", f"WITH {_PROTO} SELECT label, class, count(*)::BIGINT AS n FROM ranked WHERE rank = 1 GROUP BY ALL")
@@ -206,13 +206,8 @@ r AS (SELECT batch, q, ln(sum(exp(x))) - max(CASE WHEN q = k THEN x END) AS c FR
 SELECT r2.batch, round((a + b) / 2, 6) AS loss FROM (SELECT batch, avg(c) AS a FROM r GROUP BY 1) r2 JOIN (SELECT batch, avg(c) AS b FROM s GROUP BY 1) s2 USING (batch)""")
 def _(t):
     e = t.embeddings.select(F.floor(F.col("vec_id") / 32).alias("batch"), "vec_id", vec.l2_normalize("embedding").alias("v"))
-    other = e.select("batch", F.col("vec_id").alias("k"), F.col("v").alias("w"))
-    pairs = e.withColumnRenamed("vec_id", "q").hint("merge").join(other, "batch").select("batch", "q", "k", (F.least(F.exp(F.lit(2.0)), F.lit(100.0)) * vec.dot("v", "w")).alias("x"))
-
-    def side(key):
-        return pairs.groupBy("batch", key).agg((F.log(F.sum(F.exp("x"))) - F.max(F.when(F.col("q") == F.col("k"), F.col("x")))).alias("c")).groupBy("batch").agg(F.avg("c").alias(f"c_{key}"))
-
-    return side("q").join(side("k"), "batch").select("batch", R((F.col("c_q") + F.col("c_k")) / 2).alias("loss"))
+    out = matrices.contrastive_loss(e, "batch", "vec_id", "v", "v", F.least(F.exp(F.lit(2.0)), F.lit(100.0)))
+    return out.select("batch", R("loss").alias("loss"))
 
 
 @query("a28_cross_entropy", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT *, ln(list_sum(list_transform(v, lambda x: exp(x)))) AS z FROM e)
@@ -239,16 +234,19 @@ def _(t):
     return ranked(t, 1).select("vec_id", F.col("class").alias("code"))
 
 
-@query("a30_codebook_usage", f"""{_CODE}, u AS (SELECT code, pos, count(*) AS n, avg(v) AS m FROM (SELECT code, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings JOIN a USING (vec_id)) GROUP BY ALL),
-o AS (SELECT class AS code, unnest(range(0, 64)) AS pos, unnest(vec) AS old FROM proto UNION ALL SELECT 99, pos, 0.125 FROM range(0, 64) r(pos))
-SELECT o.code, o.pos::INT AS pos, coalesce(n, 0)::BIGINT AS used, round(CASE WHEN n IS NULL THEN old ELSE 0.99 * old + 0.01 * m END, 6) AS v FROM o LEFT JOIN u USING (code, pos)""")
+@query("a30_codebook_usage", f"""WITH {_PROTO}, book AS (SELECT class AS code, vec FROM proto UNION ALL SELECT 99, list_transform(range(0, 64), lambda x: 0.125) UNION ALL SELECT 100, list_transform(range(0, 64), lambda x: CASE WHEN x < 2 THEN -5.0 ELSE 0.0 END)),
+a AS (SELECT vec_id, code FROM (SELECT vec_id, code, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], vec) DESC, code) AS r FROM embeddings, book) WHERE r = 1),
+u AS (SELECT code, pos, count(*) AS n, avg(v) AS m FROM (SELECT code, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings JOIN a USING (vec_id)) GROUP BY ALL),
+o AS (SELECT code, unnest(range(0, 64)) AS pos, unnest(vec) AS old FROM book)
+SELECT o.code, o.pos::INT AS pos, coalesce(n, 0)::BIGINT AS used, round(CASE WHEN n IS NULL THEN old ELSE 0.99 * old + 0.01 * m END, 6) + 0.0 AS v FROM o LEFT JOIN u USING (code, pos)""")
 def _(t):
     """Usage counts and the moving average of the codes; a code that nothing chose keeps its vector."""
-    assigned = ranked(t, 1).select(F.col("class").alias("code"), "embedding")
-    new = assigned.select("code", F.posexplode("embedding").alias("pos", "v")).groupBy("code", "pos").agg(F.count("*").alias("used"), F.avg(F.col("v").cast("double")).alias("m"))
-    unused = t.spark.range(1).select(F.lit(99).alias("class"), F.array_repeat(F.lit(0.125), 64).alias("vec"))
-    old = prototypes(t).unionByName(unused).select(F.col("class").alias("code"), F.posexplode("vec").alias("pos", "old"))
-    return old.join(new.hint("merge"), ["code", "pos"], "left").select("code", "pos", F.coalesce("used", F.lit(0)).cast("long").alias("used"), R(F.when(F.col("m").isNull(), F.col("old")).otherwise(0.99 * F.col("old") + 0.01 * F.col("m"))).alias("v"))
+    far = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i < 2, -5.0).otherwise(0.0))
+    one = t.spark.range(1)
+    more = one.select(F.lit(99).alias("code"), F.array_repeat(F.lit(0.125), 64).alias("vec")).unionByName(one.select(F.lit(100).alias("code"), far.alias("vec")))
+    book = prototypes(t).select(F.col("class").alias("code"), "vec").unionByName(more)
+    new = matrices.update_codebook(t.embeddings, "embedding", book, 0.99)
+    return new.select("code", "used", F.posexplode("vec").alias("pos", "v")).select("code", "pos", "used", (R("v") + 0.0).alias("v"))
 
 
 @query("a33_global_stats", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(greatest(list_stddev_samp(embedding::DOUBLE[]), 1e-8), 6) AS std FROM embeddings")

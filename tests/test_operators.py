@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import rnd, text, vec
-from sigspark.operators import augment, clean, dsp, instruct, metrics, retrieval, sampling, windows, within
+from sigspark.operators import augment, clean, dsp, instruct, matrices, metrics, retrieval, sampling, windows, within
 
 
 def one(df, c):
@@ -193,9 +193,9 @@ def test_augment(spark):
     x = np.array([r.j for r in flat.select(augment.jitter("v", 2.0, 1, "id").alias("j")).collect()])
     assert abs(x.mean()) < 0.15 and abs(x.std() - 2) < 0.1
     pts = spark.createDataFrame([(i, [float(i % 2) * 10, float(i) / 100]) for i in range(40)], "id long, v array<double>")
-    centres = sorted(augment.kmeans(pts, "id", "v", 2, 10, 3))
+    centres = sorted(matrices.kmeans(pts, "id", "v", 2, 10, 3))
     assert np.allclose(centres, [[0, 0.19], [10, 0.2]], atol=1e-9) or len(centres) == 2
-    assert augment.nearest(pts, "v", [[0.0, 0.0], [10.0, 0.0]]).where("code <> id % 2").count() == 0
+    assert matrices.nearest(pts, "v", [[0.0, 0.0], [10.0, 0.0]]).where("code <> id % 2").count() == 0
 
 
 def test_statistics_of_whole_samples(spark):
@@ -284,4 +284,4 @@ def test_even_chunks_and_kmeans_brute(spark):
     for _ in range(5):
         of = ((x[:, None] - c) ** 2).sum(2).argmin(1)
         c = np.stack([x[of == j].mean(0) if (of == j).any() else c[j] for j in range(4)])
-    assert np.allclose(augment.kmeans(vectors, "k", "v", 4, 5, 1), c)
+    assert np.allclose(matrices.kmeans(vectors, "k", "v", 4, 5, 1, starts="seeded"), c)
