@@ -162,11 +162,24 @@ def word_count(x: Column | str) -> Column:
     return F.size(F.filter(F.split(_c(x), r"\s+"), lambda w: w != ""))
 
 
-def strip_placeholder(x: Column | str, front: Column, mark: str = "<image>") -> Column:
-    """The text without placeholders, trimmed, with one put back in front or behind; double line breaks become one."""
-    bare = F.trim(F.replace(_c(x), F.lit(mark), F.lit("")))
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def strip_placeholder(x: Column | str, front: Column, mark: str = "<image>", wrap: tuple[str, str] | None = None) -> Column:
+    """The text without placeholders, trimmed, with one put back in front or behind; double line breaks become one. wrap: strings put
+    before and after the placeholder."""
+    bare = F.btrim(F.replace(_c(x), F.lit(mark), F.lit("")), F.lit(WHITE))
     put = F.when(front, F.concat(F.lit(mark + "\n"), bare)).otherwise(F.concat(bare, F.lit("\n" + mark)))
-    return F.replace(put, F.lit("\n\n"), F.lit("\n"))
+    put = F.replace(put, F.lit("\n\n"), F.lit("\n"))
+    return F.replace(put, F.lit(mark), F.lit(wrap[0] + mark + wrap[1])) if wrap else put
+
+
+def ask_with(x: Column | str, context: Column, front: Column, mark: str = "<image>") -> Column:
+    """A question with context as its next sentence, the placeholder (if it has one) moved in front or behind; unchanged for null context."""
+    bare = F.btrim(F.replace(_c(x), F.lit(mark), F.lit("")), F.lit(WHITE))
+    told = F.concat(bare, F.lit(". "), context)
+    moved = F.when(front, F.concat(F.lit(mark + "\n"), told)).otherwise(F.concat(told, F.lit(f" {mark}\n")))
+    return F.when(context.isNull(), _c(x)).when(F.contains(_c(x), F.lit(mark)), moved).otherwise(F.concat(_c(x), F.lit(". "), context))
 
 
 def render_prompt(turns: Column | str, style: str, system: Column | str, sep: str, sep2: str = "") -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rnd import md5_key, uniform
 from ..functions.text import word_count
+from ..sources.shared import saved
+from .ordered import small
 from .sampling import numbered
 
 IGNORE = -100
@@ -64,16 +66,26 @@ def splice_placeholder(chunks: Column | str, mark: int, start: int | None = None
     return F.flatten(parts)
 
 
-def pad_batch(df: DataFrame, batch: str, key: str, ids: str, labels: str, pad_id: int, longest: int) -> DataFrame:
-    """Rows of a batch padded to its longest one: ids with pad_id, labels with IGNORE; rows over longest are cut to
-    longest - 1. mask: true on what isn't padding."""
-    cut = lambda c: F.when(F.size(c) > longest, F.slice(c, 1, longest - 1)).otherwise(F.col(c))
-    told = df.withColumn(ids, cut(ids)).withColumn(labels, cut(labels))
+def pad_batch(df: DataFrame, batch: str, key: str, ids: str, labels: str, pad_id: int, longest: int, mark: int | None = None, mark_at: int = 10, pad_ends: bool = False) -> DataFrame:
+    """Rows of a batch padded to its longest one: ids with pad_id, labels with IGNORE; in a batch with a row over longest, rows are cut to longest - 1.
+    A mark that a row loses by that takes the place mark_at (from 0). mask: true on what isn't padding; pad_ends (the padding id also ends
+    texts): true on ids that aren't pad_id, and on the first one after the last of those."""
     width = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    told = told.withColumn("_n", F.size(ids)).withColumn("_w", width)
+    told = df.withColumn("_w", width).withColumn("_over", F.col("_w") > longest)
+    cut = lambda c: F.when(F.col("_over"), F.slice(c, 1, longest - 1)).otherwise(F.col(c))
+    short = cut(ids)
+    if mark is not None:
+        lost = F.array_contains(ids, mark) & ~F.array_contains(short, mark)
+        short = F.when(lost, F.transform(short, lambda x, i: F.when(i == mark_at, mark).otherwise(x))).otherwise(short)
+    told = told.withColumn("_ids", short).withColumn(labels, cut(labels)).withColumn("_w", F.when(F.col("_over"), longest - 1).otherwise(F.col("_w")))
+    told = told.drop(ids).withColumnRenamed("_ids", ids).withColumn("_n", F.size(ids))
     fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("_w") - F.col("_n")))
-    mask = F.transform(F.sequence(F.lit(1), F.col("_w")), lambda i: i <= F.col("_n"))
-    return told.select(batch, key, fill(ids, pad_id).alias(ids), fill(labels, IGNORE).alias(labels), F.when(F.col("_w") > 0, mask).otherwise(F.array().cast("array<boolean>")).alias("mask"))
+    told = told.withColumn("_full", fill(ids, pad_id))
+    real = F.transform("_full", lambda x, i: i < F.col("_n"))
+    if pad_ends:
+        last = F.size("_full") - F.coalesce(F.array_position(F.transform(F.reverse("_full"), lambda x: x != pad_id), True), F.size("_full") + 1).cast("int")
+        real = F.transform("_full", lambda x, i: (x != pad_id) | (i == last + 1))
+    return told.select(batch, key, F.col("_full").alias(ids), fill(labels, IGNORE).alias(labels), real.alias("mask"))
 
 
 def length_order(df: DataFrame, key: str, length: str, megabatch: int, seed: int) -> DataFrame:
@@ -83,13 +95,33 @@ def length_order(df: DataFrame, key: str, length: str, megabatch: int, seed: int
     return told.withColumn("place", F.row_number().over(Window.partitionBy("megabatch").orderBy(F.col(length).desc(), key)) - 1).drop("_r")
 
 
+def modality_order(df: DataFrame, key: str, length: str, image: Column, megabatch: int, seed: int) -> DataFrame:
+    """megabatch and place with rows that have an image apart from those that don't: each kind is ordered by length_order, all its megabatches but
+    the last are dealt in seeded order, and both last ones together are the last of all, by key. Rows of one kind alone are in
+    length_order. A null image counts as none."""
+    told = df.withColumn("_m", F.coalesce(image, F.lit(False)))
+    n = {r["_m"]: r["n"] for r in told.groupBy("_m").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return length_order(df, key, length, megabatch, seed)
+    parts = [length_order(told.where(F.col("_m") == m), key, length, megabatch, seed).withColumn("_last", F.col("megabatch") == -(-n[m] // megabatch) - 1) for m in (True, False)]
+    both = saved(parts[0].unionByName(parts[1]), "order")
+    whole = both.where("not _last")
+    dealt = numbered(whole.select("_m", "megabatch").distinct(), md5_key(seed, "_m", "megabatch"), "_to", ["_m", "megabatch"])
+    first = whole.join(small(dealt), ["_m", "megabatch"]).withColumn("megabatch", F.col("_to")).select(*df.columns, "megabatch", "place")
+    total = sum(-(-c // megabatch) - 1 for c in n.values())
+    tail = both.where("_last").withColumns({"megabatch": F.lit(total).cast("long"), "place": F.row_number().over(Window.partitionBy("_last").orderBy(key)) - 1})  # at most two megabatches
+    return first.unionByName(tail.select(*df.columns, "megabatch", "place"))
+
+
 def even_chunks(df: DataFrame, key: str, length: str, world: int) -> DataFrame:
-    """chunk of each row of a megabatch of length_order: longest first, each to the chunk of the least total length that
-    still has room, so that world chunks are of equal size and near-equal length."""
+    """chunk of each row of a megabatch of length_order: longest first, each to the chunk of the least total length that still has room, so that
+    world chunks are of equal size and near-equal length. A megabatch that world does not divide is dealt in turn."""
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", kind="stable")
-        room = -(-len(rows) // world)
+        room = len(rows) // world
+        if len(rows) % world:
+            return pd.DataFrame({key: rows[key], "megabatch": rows["megabatch"], "chunk": [i % world for i in range(len(rows))]})
         totals, counts, out = [0] * world, [0] * world, []
         for n in rows[length]:
             k = min((t, i) for i, t in enumerate(totals) if counts[i] < room)[1]

@@ -459,13 +459,20 @@ def _(t):
     return instruct.length_order(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars", 64, 5).select("doc_id", "megabatch", "place")
 
 
-@query("w10_even_chunks")
+_CHUNKS = """WITH RECURSIVE o AS (SELECT doc_id, n_chars, megabatch, row_number() OVER (PARTITION BY megabatch ORDER BY n_chars DESC, doc_id) - 1 AS place, count(*) OVER (PARTITION BY megabatch) AS size FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5(concat_ws('|', '5', doc_id)), doc_id) - 1) // 64 AS megabatch FROM documents)),
+g AS (SELECT DISTINCT megabatch, -1::BIGINT AS place, [0, 0, 0, 0]::BIGINT[] AS total, [0, 0, 0, 0]::BIGINT[] AS n, -1::BIGINT AS chunk FROM o WHERE size % 4 = 0
+UNION ALL SELECT megabatch, place, list_transform(range(0, 4), lambda i: total[i + 1] + CASE WHEN i = k THEN n_chars ELSE 0 END), list_transform(range(0, 4), lambda i: n[i + 1] + CASE WHEN i = k THEN 1 ELSE 0 END), k
+  FROM (SELECT o.megabatch, o.place, o.n_chars, g.total, g.n, list_sort(list_transform(list_filter(range(0, 4), lambda i: g.n[i + 1] < size // 4), lambda i: [g.total[i + 1], i]))[1][2] AS k FROM g JOIN o ON o.megabatch = g.megabatch AND o.place = g.place + 1))
+SELECT doc_id, megabatch, (CASE WHEN size % 4 = 0 THEN chunk ELSE place % 4 END)::INT AS chunk FROM o LEFT JOIN g USING (megabatch, place)"""
+
+
+@query("w10_even_chunks", _CHUNKS)
 def _(t):
     order = instruct.length_order(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars", 64, 5)
     return instruct.even_chunks(order, "doc_id", "n_chars", 4)
 
 
-@query("w11_pad_batch", """WITH b AS (SELECT conv_id, turn, conv_id // 8 AS batch, least(len(string_split(text, ' ')), 40) AS raw, len(string_split(text, ' ')) AS n0 FROM conversations), c AS (SELECT conv_id, turn, batch, CASE WHEN n0 > 40 THEN 39 ELSE n0 END AS n FROM b), m AS (SELECT batch, max(n) AS w FROM c GROUP BY 1)
+@query("w11_pad_batch", """WITH b AS (SELECT conv_id, turn, conv_id // 8 AS batch, least(len(string_split(text, ' ')), 40) AS raw, len(string_split(text, ' ')) AS n0 FROM conversations), c AS (SELECT conv_id, turn, batch, CASE WHEN max(n0) OVER (PARTITION BY batch) > 40 THEN least(n0, 39) ELSE n0 END AS n FROM b), m AS (SELECT batch, max(n) AS w FROM c GROUP BY 1)
 SELECT conv_id * 1000 + turn AS k, w::INT AS width, n::INT AS real, (w - n)::INT AS padded FROM c JOIN m USING (batch)""")
 def _(t):
     ids = F.transform(F.split("text", " ", -1), lambda x: F.length(x))
@@ -517,7 +524,7 @@ def _(t):
     return t.conversations.select("conv_id", "turn", X.prediction_code("text", 2, {"the": 1, "of": 2, "que": 3}).alias("code"))
 
 
-@query("x12_placeholder", f"SELECT conv_id, turn, md5(replace(CASE WHEN {hashed(2, 'conv_id, turn')} < 0.5 THEN '<image>' || chr(10) || trim(replace(text, '<image>', '')) ELSE trim(replace(text, '<image>', '')) || chr(10) || '<image>' END, chr(10) || chr(10), chr(10))) AS t FROM conversations")
+@query("x12_placeholder", f"SELECT conv_id, turn, md5(replace(CASE WHEN {hashed(2, 'conv_id, turn')} < 0.5 THEN '<image>' || chr(10) || trim(replace(text, '<image>', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE trim(replace(text, '<image>', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || '<image>' END, chr(10) || chr(10), chr(10))) AS t FROM conversations")
 def _(t):
     return t.conversations.select("conv_id", "turn", F.md5(X.strip_placeholder("text", uniform(2, "conv_id", "turn") < 0.5)).alias("t"))
 
