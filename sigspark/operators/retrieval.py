@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rnd import md5_key
+from ..sources.shared import saved
 from . import matrices
 from .ordered import small
 
@@ -42,8 +44,15 @@ def similarity_join(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str
     return _blocked(queries, gallery, qvec, gvec, on or [])
 
 
-def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], k: int | None = None, rows: int = 2048) -> DataFrame:
-    """Pairs by blocks; with k, each query's k best of every block, and those that tie with the last of them."""
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Where a row's value is among its k largest, or ties with the last of them."""
+    if k >= score.shape[1]:
+        return np.ones(score.shape, bool)
+    return score >= np.partition(score, -k, axis=1)[:, -k, None] - 1e-9
+
+
+def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], keep: Callable[[np.ndarray, pa.StructArray], np.ndarray] | None = None, rows: int = 2048) -> DataFrame:
+    """Pairs by blocks; with keep, those it picks of a block's scores (NaN above all, unknown ones -inf) and gallery rows."""
     n = [max(1, -(-df.count() // rows)) for df in (queries, gallery)]
 
     def side(df: DataFrame, mine: str, its: int, other: str, others: int) -> DataFrame:
@@ -79,11 +88,10 @@ def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: l
         for width in np.intersect1d(nx[nx >= 0], ny[ny >= 0]).tolist():
             p, q = np.flatnonzero(nx == width), np.flatnonzero(ny == width)
             s[np.ix_(p, q)] = np.stack([x[r] for r in p]) @ np.stack([y[r] for r in q]).T
-        keep = np.ones(s.shape, bool)
-        if k is not None and k < s.shape[1]:
-            order = np.where(known, np.where(np.isnan(s), np.inf, s), -np.inf)  # as Spark orders: NaN above all, null last
-            keep = order >= np.partition(order, -k, axis=1)[:, -k, None] - 1e-9
-        at = np.nonzero(keep)
+        picked = np.ones(s.shape, bool)
+        if keep is not None:
+            picked = keep(np.where(known, np.where(np.isnan(s), np.inf, s), -np.inf), gs)  # as Spark orders: NaN above all, null last
+        at = np.nonzero(picked)
         return pa.table({"q": qs.take(pa.array(at[0])), "g": gs.take(pa.array(at[1])), "sim": pa.array(s[at], mask=~known[at])})
 
     out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"q {q_type}, g {g_type}, sim double")
@@ -103,7 +111,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, k: int
         method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
     if method == "broadcast":
         return topk(similarity_join(queries, gallery, qvec, gvec, on, method), query, k, tie)
-    return topk(_blocked(queries, gallery, qvec, gvec, on or [], k), query, k, tie)
+    return topk(_blocked(queries, gallery, qvec, gvec, on or [], lambda s, _: _best(s, k)), query, k, tie)
 
 
 def topk_by_type(queries: DataFrame, gallery: DataFrame, only: str, k: int, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str]) -> DataFrame:
@@ -116,14 +124,91 @@ def topk_by_candidates(queries: DataFrame, gallery: DataFrame, candidates: DataF
     return nearest(queries, gallery.join(small(candidates.select(label).distinct()), label, "left_semi"), qvec, gvec, k, query, tie)
 
 
-def topk_with_type_quota(queries: DataFrame, gallery: DataFrame, k: int, fill: str, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str]) -> DataFrame:
-    """The best row of every type, then the next best of the type fill until max(k, number of types) rows."""
+def topk_with_type_quota(queries: DataFrame, gallery: DataFrame, k: int, fill: str, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str], method: str = "auto") -> DataFrame:
+    """The best row of every type, then the next best of the type fill until max(k, number of types) rows. Beyond BROADCAST_ROWS gallery rows a block
+    keeps no more of a query than the best of each type and those that can still fill up."""
     types = gallery.select(type_col).distinct().count()
-    scored = similarity_join(queries, gallery, qvec, gvec)
+    need = max(k, types) - types + 1
+
+    def keep(s: np.ndarray, rows: pa.StructArray) -> np.ndarray:
+        kinds = np.array([str(v) for v in rows.field(type_col).to_pylist()])
+        out = np.zeros(s.shape, bool)
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            out[:, at] = _best(s[:, at], need if kind == str(fill) else 1)
+        return out
+
+    if method == "auto":
+        method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
+    scored = similarity_join(queries, gallery, qvec, gvec, method=method) if method == "broadcast" else _blocked(queries, gallery, qvec, gvec, [], keep)
     per_type = scored.withColumn("_t", F.row_number().over(Window.partitionBy(*query, type_col).orderBy(F.col("sim").desc(), *tie)))
-    best = per_type.where("_t = 1").withColumn("part", F.lit(0))
-    rest = per_type.where((F.col("_t") > 1) & (F.col(type_col) == fill) & (F.col("_t") <= max(k, types) - types + 1)).withColumn("part", F.lit(1))
-    return best.unionByName(rest).drop("_t")
+    best = (F.col("_t") == 1).cast("int")
+    fits = (F.col("_t") == 1) | ((F.col(type_col) == fill) & (F.col("_t") <= need))
+    return per_type.where(fits).withColumn("part", 1 - best).drop("_t")
+
+
+def own_rank(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, query: str, label: str, cls: str, method: str = "auto") -> DataFrame:
+    """(query, label, rank): the place of each query's own class among all gallery rows, one a class, by cosine and then class: one more than the rows
+    ahead of it, which are counted block by block. No pair is written and nothing is sorted. Queries whose label is no class, or
+    whose vector is null or holds nulls, have no place."""
+    told = saved(gallery.select(F.col(cls).alias("c"), F.col(gvec).cast("array<double>").alias("g")), "gallery")
+    own = told.select(F.col("c").alias("_c"), F.col("g").alias("_own"))
+    clean = ~F.exists(qvec, lambda v: v.isNull())
+    q = queries.select(F.col(query).alias("q"), F.col(label).alias("l"), F.col(qvec).cast("array<double>").alias("v")).where(clean).join(small(own), F.col("l") == F.col("_c")).drop("_c")
+    kinds = dict(q.dtypes)
+
+    def ahead(x: np.ndarray, own: np.ndarray, mine: list, g: np.ndarray, names: list) -> np.ndarray:
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        x, g = unit(x), unit(g)
+        s, at = x @ g.T, (x * unit(own)).sum(1)[:, None]
+        same = np.abs(s - at) < 1e-12
+        rank = {c: i for i, c in enumerate(sorted({*mine, *names}))}
+        place, its = np.array([rank[c] for c in names]), np.array([rank[c] for c in mine])[:, None]
+        return np.where(place == its, False, np.where(same, place < its, s > at)).sum(1)
+
+    names = ["q", "l", "n"]
+    if method == "auto":
+        method = "broadcast" if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
+    if method == "broadcast":
+        rows = told.collect()
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r["g"] for r in rows], float), [r["c"] for r in rows]))
+
+        def run(batches):
+            g, classes = shared.value
+            for b in batches:
+                for k in range(0, b.num_rows, 1024):
+                    t = b.slice(k, 1024)
+                    n = ahead(np.array(t.column("v").to_pylist(), float), np.array(t.column("_own").to_pylist(), float), t.column("l").to_pylist(), g, classes)
+                    yield pa.RecordBatch.from_arrays([t.column("q"), t.column("l"), pa.array(n.astype(np.int64))], names)
+
+        out = q.mapInArrow(run, f"q {kinds['q']}, l {kinds['l']}, n long")
+    else:
+        rows = 2048
+        parts = max(1, -(-told.count() // rows)), max(1, -(-queries.count() // rows))
+        left = q.withColumn("j", F.pmod(F.xxhash64("q"), F.lit(parts[1]))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))))
+        right = told.withColumn("i", F.pmod(F.xxhash64("c"), F.lit(parts[0]))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))))
+
+        def count(t: pa.Table, g: pa.Table) -> pa.Table:
+            n = np.zeros(len(t), np.int64)
+            if len(t) and len(g):
+                n = ahead(np.array(t.column("v").to_pylist(), float), np.array(t.column("_own").to_pylist(), float), t.column("l").to_pylist(), np.array(g.column("g").to_pylist(), float), g.column("c").to_pylist())
+            return pa.table({"q": t.column("q"), "l": t.column("l"), "n": pa.array(n)})
+
+        out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(count, f"q {kinds['q']}, l {kinds['l']}, n long").groupBy("q", "l").agg(F.sum("n").alias("n"))
+    return out.select(F.col("q").alias(query), F.col("l").alias(label), (F.col("n") + 1).cast("int").alias("rank"))
+
+
+def retrieve(queries: DataFrame, gallery: DataFrame, k: int, qvec: str, gvec: str, query: list[str], type_col: str, label: str, tie: list[str], only: str | None = None, candidates: DataFrame | None = None, fill: str | None = None) -> DataFrame:
+    """Each query's hits with their rank: among candidates where they are given, else of the type only, else the best of every type filled up by the type
+    fill. All by one column rank: hits of the first part ahead, by cosine and tie."""
+    if candidates is not None:
+        return topk_by_candidates(queries, gallery, candidates, k, qvec, gvec, query, label, tie)
+    if only is not None:
+        return topk_by_type(queries, gallery, only, k, qvec, gvec, query, type_col, tie)
+    if fill is None:
+        return nearest(queries, gallery, qvec, gvec, k, query, tie)
+    quota = topk_with_type_quota(queries, gallery, k, fill, qvec, gvec, query, type_col, tie)
+    return quota.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy("part", F.col("sim").desc(), *tie))).drop("part")
 
 
 def recommended_k(n: Column, share: float = 0.25, most: int = 420) -> Column:

@@ -35,13 +35,13 @@ def scored(t: Tables) -> DataFrame:
     return retrieval.similarity_join(t.embeddings.select("vec_id", "label", "embedding"), prototypes(t), "embedding", "vec")
 
 
-def ranked(t: Tables, k: int = 1 << 30) -> DataFrame:
-    return retrieval.topk(scored(t), ["vec_id"], k, ["class"])
+def ranked(t: Tables, k: int) -> DataFrame:
+    return retrieval.nearest(t.embeddings.select("vec_id", "label", "embedding"), prototypes(t), "embedding", "vec", k, ["vec_id"], ["class"])
 
 
 def hits(t: Tables) -> DataFrame:
     """Place of each vector's own class among all prototypes."""
-    return ranked(t).where(F.col("class") == F.col("label")).select("vec_id", "label", "rank")
+    return retrieval.own_rank(t.embeddings, prototypes(t), "embedding", "vec", "vec_id", "label", "class")
 
 
 @query("a4_class_prototypes", f"WITH {_PROTO} SELECT class, unnest(range(0, 64))::INT AS pos, round(unnest(vec), 6) AS v FROM proto")
@@ -306,7 +306,7 @@ def _(t):
 @query("n15_self_similarity", f"WITH {_PROTO} SELECT vec_id, round(max(sim) FILTER (rank = 1), 6) AS top, round(coalesce(max(sim) FILTER (rank = 2), 0), 6) AS second, round(coalesce(max(sim) FILTER (rank = 11), 0), 6) AS eleventh, bool_or(rank = 1 AND class = label) AS is_highest FROM ranked GROUP BY vec_id")
 def _(t):
     at = lambda k: R(F.coalesce(F.max(F.when(F.col("rank") == k, F.col("sim"))), F.lit(0.0)))
-    return ranked(t).groupBy("vec_id").agg(at(1).alias("top"), at(2).alias("second"), at(11).alias("eleventh"), F.bool_or((F.col("rank") == 1) & (F.col("class") == F.col("label"))).alias("is_highest"))
+    return ranked(t, 11).groupBy("vec_id").agg(at(1).alias("top"), at(2).alias("second"), at(11).alias("eleventh"), F.bool_or((F.col("rank") == 1) & (F.col("class") == F.col("label"))).alias("is_highest"))
 
 
 @query("n16_one_hot", "SELECT vec_id, pos::INT AS pos, (pos = label)::INT AS v FROM embeddings, range(0, 10) r(pos)")
@@ -445,14 +445,41 @@ def _(t):
     return t.embeddings.groupBy("label").agg(F.max_by("vec_id", x).alias("best"), F.min_by("vec_id", x).alias("worst"))
 
 
-@query("c5_retrieve_context", f"""WITH {_PROTO}, h AS (SELECT vec_id, class, class % 3 AS type, rank FROM ranked WHERE rank <= 4),
-l AS (SELECT vec_id, type, 'If task is ' || type || ': ' || string_agg(class::VARCHAR, ' | ' ORDER BY rank) AS t FROM h GROUP BY vec_id, type)
-SELECT vec_id, string_agg(t, chr(10) ORDER BY o) AS context FROM (SELECT *, md5(concat_ws('|', '21', vec_id, type)) AS o FROM l) GROUP BY vec_id""")
-def _(t):
-    h = ranked(t, 4).withColumn("type", F.col("class") % 3)
+def _context_sql(hits: str) -> str:
+    """SQL of the contexts of hits h(vec_id, class, type, rank)."""
+    return f"""WITH {_PROTO}, h AS ({hits}), l AS (SELECT vec_id, type, 'If task is ' || type || ': ' || string_agg(class::VARCHAR, ' | ' ORDER BY rank) AS t FROM h GROUP BY vec_id, type)
+SELECT vec_id, string_agg(t, chr(10) ORDER BY o) AS context FROM (SELECT *, md5(concat_ws('|', '21', vec_id, type)) AS o FROM l) GROUP BY vec_id"""
+
+
+def _context(t: Tables, k: int, **how) -> DataFrame:
+    g = prototypes(t).withColumn("type", F.col("class") % 3)
+    h = retrieval.retrieve(t.embeddings.select("vec_id", "embedding"), g, k, "embedding", "vec", ["vec_id"], "type", "class", ["class"], **how)
     return retrieval.label_text(h, ["vec_id"], "type", "class", 21)
 
 
+@query("c5_retrieve_context", _context_sql("SELECT vec_id, class, class % 3 AS type, rank FROM ranked WHERE rank <= 4"))
+def _(t):
+    return _context(t, 4)
+
+
+@query("c5_retrieve_of_type", _context_sql("SELECT vec_id, class, 2 AS type, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, class) AS rank FROM sims WHERE class % 3 = 2 QUALIFY rank <= 2"))
+def _(t):
+    return _context(t, 2, only=2)
+
+
+@query("c5_retrieve_candidates", _context_sql("SELECT vec_id, class, class % 3 AS type, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, class) AS rank FROM sims WHERE class IN (1, 3, 7) QUALIFY rank <= 2"))
+def _(t):
+    """Candidates come before a type; an unknown one is passed over."""
+    wanted = prototypes(t).select("class").where("class in (1, 3, 7)").unionByName(t.spark.range(1).select(F.lit(99).alias("class")))
+    return _context(t, 2, only=2, candidates=wanted)
+
+
+@query("c5_retrieve_with_quota", _context_sql("SELECT vec_id, class, class % 3 AS type, row_number() OVER (PARTITION BY vec_id ORDER BY (n > 1)::INT, sim DESC, class) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, class % 3 ORDER BY sim DESC, class) AS n FROM sims) WHERE n = 1 OR (class % 3 = 0 AND n <= 3)"))
+def _(t):
+    """No type: the best of each of three types, and the next two of one."""
+    return _context(t, 5, fill=0)
+
+
 @query("c9_store_audit", "SELECT label, count(*)::BIGINT AS n, count(*) FILTER (NOT list_bool_and(list_transform(embedding, lambda v: isfinite(v))))::BIGINT AS bad, count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-4)::BIGINT AS off_norm, round(min(list_stddev_pop(embedding::DOUBLE[])), 6) AS least_std FROM embeddings GROUP BY label")
 def _(t):
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.count_if(~vec.is_finite("embedding")).alias("bad"), F.count_if(F.abs(vec.norm("embedding") - 1) > 1e-4).alias("off_norm"), R(F.min(vec.std("embedding"))).alias("least_std"))

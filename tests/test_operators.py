@@ -121,6 +121,33 @@ def test_retrieval_methods_agree(spark):
     assert retrieval.topk_by_type(q, g, 9, 3, "a", "b", ["q"], "t", ["g"]).count() == 0
 
 
+def test_quota_and_own_rank_methods_agree(spark, monkeypatch):
+    """Blocks, however many, give what one copy of the gallery gives."""
+    rng = np.random.default_rng(5)
+    g = rng.normal(size=(60, 4))
+    g[7] = g[3]  # ties go to the smaller class
+    q = spark.createDataFrame([(i, i % 70, (g[i % 60] + 0.7 * rng.normal(size=4)).tolist()) for i in range(140)] + [(900, 3, None), (901, 3, [None] * 4), (902, 3, g[3].tolist()), (903, 7, g[3].tolist())], "q long, label int, a array<double>")
+    gal = spark.createDataFrame([(i, i % 5, v.tolist()) for i, v in enumerate(g)], "cls int, type int, b array<double>")
+    u = g / np.linalg.norm(g, axis=1, keepdims=True)
+    rows = {r.q: r for r in q.where("q < 900 or q > 901").collect()}
+    for method in ("broadcast", "blocked"):
+        got = {r.q: r.rank for r in retrieval.own_rank(q, gal, "a", "b", "q", "label", "cls", method).collect()}
+        assert set(got) == {i for i, r in rows.items() if r.label < 60} and (got[902], got[903]) == (1, 2)
+        for i in range(140):
+            if i % 70 < 60 and i % 70 not in (3, 7):
+                s = u @ np.array(rows[i].a)
+                assert got[i] == 1 + (s > s[i % 70]).sum()
+        quota = retrieval.topk_with_type_quota(q.where("q < 140"), gal, 8, 2, "a", "b", ["q"], "type", ["cls"], method)
+        mine = sorted((r.q, r.cls, r.part) for r in quota.select("q", "cls", "part").collect())
+        assert len(mine) == 140 * 8
+        if method == "broadcast":
+            want = mine
+        assert mine == want
+    real = retrieval._blocked
+    monkeypatch.setattr(retrieval, "_blocked", lambda *a: real(*a, rows=7))
+    assert sorted((r.q, r.cls, r.part) for r in retrieval.topk_with_type_quota(q.where("q < 140"), gal, 8, 2, "a", "b", ["q"], "type", ["cls"], "blocked").select("q", "cls", "part").collect()) == want
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("u", i, float(i)) for i in range(5)], "g string, i int, v double")
     t = [r.trend for r in within.moving_average(df, "g", "i", "v", 3).orderBy("i").collect()]
