@@ -70,10 +70,11 @@ def sleep_caption(stage: Column | str, strict: bool = True) -> Column:
     return _named("Sleep Stage Recognition Task. This person is in ", _c(stage), ".", strict)
 
 
-def label_by_words(caption: Column | str, rules: list[tuple[str, int]]) -> Column:
-    """The number of the first word the caption contains; null for none."""
+def label_by_words(caption: Column | str, rules: list[tuple[str, int]], strict: bool = False) -> Column:
+    """The number of the first word the caption contains; null for none, or with strict an error that names the caption."""
     c = _c(caption)
-    return reduce(lambda rest, rule: F.when(c.contains(rule[0]), F.lit(rule[1])).otherwise(rest), reversed(rules), F.lit(None).cast("int"))
+    none = F.raise_error(F.concat(F.lit("no label for caption: "), F.coalesce(c, F.lit("null")))) if strict else F.lit(None)
+    return reduce(lambda rest, rule: F.when(c.contains(rule[0]), F.lit(rule[1])).otherwise(rest), reversed(rules), none.cast("int"))
 
 
 def option_letter(i: Column | str) -> Column:
@@ -162,6 +163,12 @@ def word_count(x: Column | str) -> Column:
     return F.size(F.filter(F.split(_c(x), r"\s+"), lambda w: w != ""))
 
 
+def turns_state(turns: Column | str, system: Column | str, roles: list[str]) -> Column:
+    """A conversation's state as JSON: system, roles and messages (pairs of role and text; a null text stays null)."""
+    pairs = F.transform(_c(turns), lambda x: F.array(x["role"], x["text"]))
+    return F.to_json(F.struct(_c(system).alias("system"), F.array(*(F.lit(r) for r in roles)).alias("roles"), pairs.alias("messages")))
+
+
 WHITE = " \t\n\x0b\x0c\r"
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rnd import uniform
+
 
 def _c(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
@@ -91,6 +93,25 @@ def normalize_named(x: Column | str, method: Column) -> Column:
     )
 
 
+def normalize_signal(x: Column | str, method: str, seed: int = 0, *key: str) -> Column:
+    """A signal (channels) by one of identity, zscore_global, std_global (statistics over all channels), zscore_channel, std_channel (a channel's own), or
+    random: one of those five by a hash of the row's key. Deviations are the sample's, and 1e-8 at least."""
+    c = (F.col(x) if isinstance(x, str) else x).cast("array<array<double>>")
+    floor = lambda v: F.greatest(std(v, True), F.lit(1e-8))
+    scaled = lambda s, f: F.transform(s, lambda ch: F.transform(ch, f))
+    whole = bound({"s": c, "m": mean(F.flatten(c)), "d": floor(F.flatten(c))}, lambda b: scaled(b["s"], lambda v: (v - b["m"]) / b["d"]))
+    over = bound({"s": c, "d": floor(F.flatten(c))}, lambda b: scaled(b["s"], lambda v: v / b["d"]))
+    made = {"identity": c, "zscore_global": whole, "std_global": over, "zscore_channel": F.transform(c, lambda ch: zscore_sample(ch)), "std_channel": F.transform(c, lambda ch: scale_std(ch))}
+    if method == "random":
+        out, pick = c, F.floor(uniform(seed, *key) * len(made))
+        for i, m in enumerate(made.values()):
+            out = F.when(pick == i, m).otherwise(out)
+        return out
+    if method not in made:
+        raise ValueError(f"unknown normalisation: {method}")
+    return made[method]
+
+
 def linear_resample(x: Column | str, m: int) -> Column:
     """n to m samples by linear interpolation at (i + 0.5) * n / m - 0.5, held at the ends."""
 

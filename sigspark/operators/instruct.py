@@ -35,6 +35,13 @@ def token_lengths(df: DataFrame, conv: str, text: str, image: Column, image_toke
     return out.select(conv, length.cast("long").alias("length"), F.when(F.col("image"), length).otherwise(-length).cast("long").alias("signed"))
 
 
+def length_totals(lengths: DataFrame) -> DataFrame:
+    """(rows_with_image, rows_without, total_with_image, total_without) of token_lengths(), by the sign."""
+    pos = F.col("signed") > 0
+    neg = F.col("signed") < 0
+    return lengths.agg(F.count_if(pos).alias("rows_with_image"), F.count_if(neg).alias("rows_without"), F.coalesce(F.sum(F.when(pos, F.col("signed"))), F.lit(0)).alias("total_with_image"), F.coalesce(F.sum(F.when(neg, -F.col("signed"))), F.lit(0)).alias("total_without"))
+
+
 def collect_turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """conv and turns: array of struct(role, text) in order."""
     packed = df.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("text")))).alias("a"))

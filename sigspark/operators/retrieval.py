@@ -211,8 +211,24 @@ def retrieve(queries: DataFrame, gallery: DataFrame, k: int, qvec: str, gvec: st
     return quota.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy("part", F.col("sim").desc(), *tie))).drop("part")
 
 
-def recommended_k(n: Column, share: float = 0.25, most: int = 420) -> Column:
-    return F.least(F.floor(n * share), F.lit(most)).cast("long")
+def recommended_k(n: Column, share: float = 0.25, most: int = 420, jitter: Column | None = None) -> Column:
+    """A share of n, at most most; jitter, in [0, 1), moves it by up to a tenth to either side."""
+    k = F.least(F.floor(n * share), F.lit(most)).cast("long")
+    return k if jitter is None else F.floor(k * (0.9 + 0.2 * jitter)).cast("long")
+
+
+def logits(sim: Column, scale: float) -> Column:
+    """Similarities times exp(scale), at most 100."""
+    return sim * F.least(F.exp(F.lit(float(scale))), F.lit(100.0))
+
+
+def image_index(index: Column, n_classes: int, train: bool = True, classes: int | None = None, pictures: bool = False) -> Column:
+    """Row of the image and text features of sample index: in train samples four in a row share one, ten images a class (one with chosen pictures); in test
+    samples classes go round. classes: the number of chosen ones."""
+    k = classes or n_classes
+    if train:
+        return F.floor(F.pmod(index, F.lit(k * (1 if pictures else 10) * 4)) / 4).cast("long")
+    return F.pmod(F.pmod(index, F.lit(k * 80)), F.lit(n_classes)).cast("long")
 
 
 def label_text(hits: DataFrame, query: list[str], type_col: str, label: str, seed: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from . import within
+from .ordered import small
 
 
 def _c(x: Column | str) -> Column:
@@ -84,6 +86,21 @@ def range_join(events: DataFrame, samples: DataFrame, key: str, start: str, stop
     return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(stop))).drop("_b")
 
 
+def part_windows(df: DataFrame, trial: str, order: str, low: float, high: float, size: int, stride: int) -> DataFrame:
+    """Rows of trial_part() in each window that holds them: window (from 0) of size rows every stride ones from the part's begin, and i, their place in it.
+    A part's end that fills no window is left out."""
+    told = within.number(df, [trial], order, "t")
+    sizes = saved(df.groupBy(trial).agg(F.count("*").alias("_n")), "sizes")
+    told = told.join(small(sizes), trial).withColumn("_a", F.floor(F.col("_n") * low)).withColumn("_len", F.floor(F.col("_n") * high) - F.col("_a"))
+    u = F.col("t") - F.col("_a")
+    last = F.floor((F.col("_len") - size) / stride)
+    first = F.greatest(F.ceil((u - size + 1) / stride), F.lit(0))
+    to = F.least(F.floor(u / stride), last)
+    ok = (u >= 0) & (u < F.col("_len")) & (F.col("_len") >= size) & (first <= to)
+    rows = told.where(ok).withColumn("window", F.explode(F.sequence(first, to)))
+    return rows.withColumn("i", u - F.col("window") * stride).drop("_n", "_a", "_len")
+
+
 def trial_part(df: DataFrame, trial: str, order: str, low: float, high: float) -> DataFrame:
     """Rows of each trial from share low to share high of its length, with t from 0."""
     w = Window.partitionBy(trial)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rnd import md5_key, uniform
-from ..operators import choices, clean, instruct, metrics, sampling, windows, within
+from ..operators import choices, clean, instruct, metrics, retrieval, sampling, windows, within
 from ..operators.ordered import small
 from ..sources import store
 from ..sources.store import missing_keys
@@ -63,6 +63,12 @@ def _(t):
     return missing_keys(keys, "k", keys.join(t.labels.select("doc_id"), "doc_id", "left_semi"))
 
 
+@query("s21_part_windows", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events), p AS (SELECT *, t - floor(n * 0.6) AS u, floor(n * 0.8) - floor(n * 0.6) AS len FROM r), w AS (SELECT *, unnest(range(0, greatest(floor((len - 8) / 3) + 1, 0)::BIGINT)) AS w FROM p WHERE u >= 0 AND u < len AND len >= 8) SELECT event_id, w AS \"window\", (u - w * 3)::BIGINT AS i FROM w WHERE u >= w * 3 AND u < w * 3 + 8")
+def _(t):
+    """Windows of 8 rows every 3, from six to eight tenths of each user's events."""
+    return windows.part_windows(t.events, "user_id", "event_id", 0.6, 0.8, 8, 3).select("event_id", F.col("window").cast("long").alias("window"), F.col("i").cast("long").alias("i"))
+
+
 @query("s21_trial_part", "SELECT event_id, t, t // 8 AS window_no FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE t >= floor(n * 0.6) AND t < floor(n * 0.8)")
 def _(t):
     e = t.events.withColumn("o", F.struct("ts", "event_id"))
@@ -185,6 +191,13 @@ def _(t):
     return t.events.withColumn("k", key).join(t.part, F.col("k") == F.col("p_partkey")).select("event_id", "p_partkey")
 
 
+@query("j3_image_index_forms", "SELECT event_id, (event_id % (12 * 10 * 4)) // 4 AS chosen, (event_id % (20 * 4)) // 4 AS pictures, event_id % (20 * 80) % 20 AS test, event_id % (12 * 80) % 20 AS test_chosen FROM events")
+def _(t):
+    """Chosen classes, chosen pictures, and test samples of 20 classes."""
+    of = lambda **how: retrieval.image_index(F.col("event_id"), 20, **how)
+    return t.events.select("event_id", of(classes=12).alias("chosen"), of(pictures=True).alias("pictures"), of(train=False).alias("test"), of(train=False, classes=12).alias("test_chosen"))
+
+
 @query("j4_zip_join", "SELECT doc_id, item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) USING (r)")
 def _(t):
     r = lambda df, key: sampling.numbered(df.select(key), F.col(key), "r")
@@ -280,9 +293,9 @@ def _(t):
 
 
 @query("a18_latency_profile", """WITH k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS r FROM events) WHERE r > 100)
-SELECT max(n)::BIGINT AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, max(value) FILTER (i = n // 2) AS median, max(value) FILTER (i = floor(n * 0.95)) AS p95, max(value) FILTER (i = floor(n * 0.99)) AS p99, round(sum(value), 4) AS total FROM k""")
+SELECT max(n)::BIGINT AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, max(value) FILTER (i = n // 2) AS median, max(value) FILTER (i = floor(n * 0.95)) AS p95, max(value) FILTER (i = floor(n * 0.99)) AS p99, round(sum(value), 4) AS total, round(1000 / avg(value), 6) AS throughput FROM k""")
 def _(t):
-    return metrics.latency_profile(t.events, "value", "event_id", 100).withColumn("avg", R("avg")).withColumn("total", R("total", 4))
+    return metrics.latency_profile(t.events, "value", "event_id", 100).withColumn("avg", R("avg")).withColumn("total", R("total", 4)).withColumn("throughput", R("throughput"))
 
 
 @query("a19_token_lengths", "SELECT conv_id, (w + CASE WHEN img THEN 128 ELSE 0 END)::BIGINT AS length, (CASE WHEN img THEN w + 128 ELSE -w END)::BIGINT AS signed FROM (SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS w, bool_or(contains(text, 'the')) AS img FROM conversations GROUP BY 1)")
@@ -290,6 +303,11 @@ def _(t):
     return instruct.token_lengths(t.conversations, "conv_id", "text", F.col("text").contains("the"))
 
 
+@query("a19_length_totals", "WITH l AS (SELECT CASE WHEN img THEN w + 128 ELSE -w END AS s FROM (SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS w, bool_or(contains(text, 'idiot')) AS img FROM conversations GROUP BY 1)) SELECT count(*) FILTER (s > 0)::BIGINT AS rows_with_image, count(*) FILTER (s < 0)::BIGINT AS rows_without, coalesce(sum(s) FILTER (s > 0), 0)::BIGINT AS total_with_image, coalesce(-sum(s) FILTER (s < 0), 0)::BIGINT AS total_without FROM l")
+def _(t):
+    return instruct.length_totals(instruct.token_lengths(t.conversations, "conv_id", "text", F.col("text").contains("idiot")))
+
+
 def languages(t: Tables) -> DataFrame:
     """Each source's languages as one line of retrieval text."""
     from ..operators import retrieval
@@ -504,6 +522,13 @@ def _(t):
     return t.documents.select("doc_id", X.label_by_words("text", [("ing", 2), ("en", 1), ("la", 0)]).alias("label"))
 
 
+@query("x4_label_strict", "SELECT doc_id, CASE WHEN contains(text, 'ing') THEN 2 WHEN contains(text, 'en') THEN 1 END::INT AS label FROM documents WHERE contains(text, 'ing') OR contains(text, 'en')")
+def _(t):
+    """No caption without a label is left, so nothing is raised."""
+    known = t.documents.where(F.col("text").contains("ing") | F.col("text").contains("en"))
+    return known.select("doc_id", X.label_by_words("text", [("ing", 2), ("en", 1)], strict=True).alias("label"))
+
+
 @query("x5_class_from_caption", "SELECT p_partkey, regexp_replace(regexp_replace(list_aggregate(list_slice(string_split(p_type, ' '), -2, -1), 'string_agg', ' '), '\\.$', ''), '^a ', '') AS c, string_split(p_type, ' ')[1] AS w FROM part")
 def _(t):
     return t.part.select("p_partkey", X.class_from_caption("p_type").alias("c"), X.word_at("p_type", 0).alias("w"))
@@ -614,6 +639,12 @@ def _(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+@query("x26_turns_state", "SELECT conv_id, md5(to_json({'system': 'sys', 'roles': ['user', 'assistant'], 'messages': list([role, text] ORDER BY turn)})::VARCHAR) AS state FROM conversations GROUP BY conv_id")
+def _(t):
+    turns = instruct.collect_turns(t.conversations, "conv_id", "turn", "role", "text")
+    return turns.select("conv_id", F.md5(X.turns_state("turns", F.lit("sys"), ["user", "assistant"])).alias("state"))
+
+
 # Batch twins of the streams --------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from ..operators import choices, clean, matrices, metrics, retrieval, sampling,
 from ..operators.ordered import small
 from .benchmarks import floyd, numbers_sql
 from .registry import Tables, query
+from .tables import hashed
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -96,6 +97,16 @@ def _(t):
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n")).select("label", retrieval.recommended_k(F.col("n")).alias("k"))
 
 
+@query("r5_jittered_topk", f"SELECT label, floor(least(floor(count(*) * 0.25), 420) * (0.9 + 0.2 * {hashed(8, 'label')}))::BIGINT AS k FROM embeddings GROUP BY label")
+def _(t):
+    return t.embeddings.groupBy("label").agg(F.count("*").alias("n")).select("label", retrieval.recommended_k(F.col("n"), jitter=uniform(8, "label")).alias("k"))
+
+
+@query("j9_logits", f"WITH {_PROTO} SELECT vec_id, class, round(sim * least(exp(2.5), 100), 6) AS warm, round(sim * least(exp(7), 100), 6) AS hot FROM sims")
+def _(t):
+    return scored(t).select("vec_id", "class", R(retrieval.logits(F.col("sim"), 2.5)).alias("warm"), R(retrieval.logits(F.col("sim"), 7)).alias("hot"))
+
+
 @query("a8_accuracy", f"WITH {_PROTO} SELECT count(*)::BIGINT AS total, count(*) FILTER (class = label)::BIGINT AS correct, round(avg((class = label)::INT), 6) AS accuracy FROM ranked WHERE rank = 1")
 def _(t):
     return metrics.accuracy(ranked(t, 1), F.col("class") == F.col("label")).select("total", "correct", R("accuracy").alias("accuracy"))
@@ -286,6 +297,29 @@ def _(t):
     return _long(t.embeddings.select("vec_id", vec.normalize_named("embedding", method).alias("x")), "x", "vec_id")
 
 
+def _normal_sql() -> str:
+    """SQL of all ways to normalise a signal of four channels, and the one that a hash picks."""
+    z = "list_transform({c}, lambda v: (v - list_avg({s})) / greatest(list_stddev_samp({s}), 1e-8))"
+    d = "list_transform({c}, lambda v: v / greatest(list_stddev_samp({s}), 1e-8))"
+    forms = ["c", z.format(c="c", s="e"), d.format(c="c", s="e"), z.format(c="c", s="c"), d.format(c="c", s="c")]
+    pick = f"floor({hashed(9, 'vec_id')} * 5)"
+    chosen = "CASE " + " ".join(f"WHEN {pick} = {i} THEN {f}" for i, f in enumerate(forms)) + " END"
+    return f"""WITH x AS (SELECT vec_id, k, embedding::DOUBLE[] AS e, list_slice(embedding::DOUBLE[], k * 16 + 1, k * 16 + 16) AS c FROM embeddings, range(0, 4) r(k))
+SELECT vec_id, k::INT AS channel, unnest(range(0, 16))::INT AS pos, round(unnest({forms[1]}), 6) + 0.0 AS zscore_global, round(unnest({forms[2]}), 6) + 0.0 AS std_global, round(unnest({forms[3]}), 6) + 0.0 AS zscore_channel, round(unnest({forms[4]}), 6) + 0.0 AS std_channel, round(unnest({chosen}), 6) + 0.0 AS random FROM x"""
+
+
+@query("n5_normalize_signal", _normal_sql())
+def _(t):
+    """Global and channel forms of a signal of four channels, and one picked by the row's key."""
+    e = F.col("embedding").cast("array<double>")
+    names = ["zscore_global", "std_global", "zscore_channel", "std_channel", "random"]
+    df = t.embeddings.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice(e, c * 16 + 1, F.lit(16))).alias("s"))
+    df = df.select("vec_id", *(vec.normalize_signal("s", n, 9, "vec_id").alias(n) for n in names))
+    rows = df.select("vec_id", F.posexplode(F.arrays_zip(*names)).alias("channel", "z"))
+    rows = rows.select("vec_id", "channel", F.posexplode(F.arrays_zip(*(F.col(f"z.{n}").alias(n) for n in names))).alias("pos", "v"))
+    return rows.select("vec_id", "channel", "pos", *((R(f"v.{n}") + 0.0).alias(n) for n in names))
+
+
 @query("n2_norm_dot_cosine", "SELECT a.vec_id, round(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(t):
     b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o"))

@@ -312,3 +312,23 @@ def test_even_chunks_and_kmeans_brute(spark):
         of = ((x[:, None] - c) ** 2).sum(2).argmin(1)
         c = np.stack([x[of == j].mean(0) if (of == j).any() else c[j] for j in range(4)])
     assert np.allclose(matrices.kmeans(vectors, "k", "v", 4, 5, 1, starts="seeded"), c)
+
+
+def test_named_forms(spark):
+    """Strict labels, unknown methods, windows of a trial's part, JSON of turns, and a jittered k."""
+    df = spark.createDataFrame([("a cat",), ("a dog",)], "c string")
+    assert [r.x for r in df.select(text.label_by_words("c", [("cat", 1), ("dog", 2)], strict=True).alias("x")).collect()] == [1, 2]
+    with pytest.raises(Exception, match="no label for caption: a dog"):
+        df.select(text.label_by_words("c", [("cat", 1)], strict=True)).collect()
+    with pytest.raises(ValueError):
+        vec.normalize_signal("s", "other")
+    rows = spark.createDataFrame([("u", i) for i in range(50)] + [("v", i) for i in range(3)], "g string, i int").withColumnRenamed("i", "o")
+    got = {}
+    for r in windows.part_windows(rows, "g", "o", 0.2, 0.9, 10, 7).collect():
+        got.setdefault((r.g, r.window), []).append((r.i, r.o))
+    assert {k: sorted(v) for k, v in got.items()} == {("u", w): [(j, 10 + 7 * w + j) for j in range(10)] for w in range(4)}
+    turns = spark.createDataFrame([([("user", 'say "hi"'), ("bot", None)],)], "t array<struct<role:string,text:string>>")
+    import json
+
+    assert json.loads(one(turns, text.turns_state("t", F.lit("s"), ["user", "bot"]))) == {"system": "s", "roles": ["user", "bot"], "messages": [["user", 'say "hi"'], ["bot", None]]}
+    assert [one(spark.range(1), retrieval.recommended_k(F.lit(n), jitter=F.lit(j))) for n, j in ((400, 0.0), (400, 0.999), (10_000, 0.25))] == [90, 109, 399]
