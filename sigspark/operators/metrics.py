@@ -83,6 +83,17 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return out.select("f1_macro", "f1_weighted", "recall_macro", "accuracy", ((F.col("accuracy") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
+def f1_by(df: DataFrame, by: str, label: str, predicted: str) -> DataFrame:
+    """(by, f1_macro, f1_weighted) of each group's multi-class prediction. A class that is only predicted counts in the macro mean with 0."""
+    c = df.groupBy(by, F.col(label).alias("_l"), F.col(predicted).alias("_p")).agg(F.count("*").alias("_n"))
+    sides = F.array(F.struct(F.col("_l").alias("k"), F.lit(True).alias("s")), F.struct(F.col("_p").alias("k"), F.lit(False).alias("s")))
+    per = c.select(by, F.explode(sides).alias("x"), "_n", (F.col("_l") == F.col("_p")).alias("_ok")).groupBy(by, "x.k").agg(
+        F.sum(F.when(F.col("x.s"), F.col("_n")).otherwise(0)).alias("support"), F.sum(F.when(~F.col("x.s"), F.col("_n")).otherwise(0)).alias("given"), F.sum(F.when(F.col("x.s") & F.col("_ok"), F.col("_n")).otherwise(0)).alias("tp")
+    )
+    f1 = F.col("tp") * 2 / (F.col("support") + F.col("given"))
+    return per.groupBy(by).agg(F.avg(f1).alias("f1_macro"), (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+
+
 def average_precision(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Area under the precision-recall curve: sum over distinct scores, high to low, of recall gained times precision."""
     per = df.select(label.cast("int").alias("y"), score.alias("s")).groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))

@@ -61,7 +61,7 @@ def event_windows(samples: DataFrame, events: DataFrame, fs: float, pad_s: float
     first = F.ceil(F.col("start_s") * fs).cast("int")
     last = F.ceil(F.col("end_s") * fs).cast("int")
     pad = int(pad_s * fs)
-    both = events.join(samples, "rec_id").withColumn("_n", n).withColumn("_a", first - pad).withColumn("_z", last + pad)
+    both = events.hint("merge").join(samples, "rec_id").withColumn("_n", n).withColumn("_a", first - pad).withColumn("_z", last + pad)
     at = F.sequence(F.col("_a"), F.col("_z") - 1)
     take = F.transform("signal", lambda ch: F.transform(at, lambda i: F.get(ch, F.pmod(i, F.col("_n")) if circular else i)))
     return both.withColumn("window", take).drop("_n", "_a", "_z", "signal")

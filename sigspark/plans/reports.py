@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import retrieval
+from ..functions.rnd import md5_key
+from ..operators import metrics, retrieval
+from ..operators.ordered import small
 from ..operators.sampling import first_per
+from ..sources.shared import saved
 from .registry import query
 from .vectors import _PROTO, R, _long
 
@@ -23,8 +26,6 @@ def caption_prototypes(labels: DataFrame, embed: Callable[[Column], Column]) ->
 
 def build_prototypes(parts: dict[str, DataFrame]) -> DataFrame:
     """(type, label, proto_idx, feature) of parts(label, vec) by type; proto_idx counts labels within a type, in order."""
-    from pyspark.sql import Window
-
     out = None
     for name, df in sorted(parts.items()):
         part = df.select(F.lit(name).alias("type"), F.col("label").cast("string").alias("label"), (F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("label")) - 1).alias("proto_idx"), F.col("vec").alias("feature"))
@@ -33,24 +34,24 @@ def build_prototypes(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def retrieval_report(queries: DataFrame, ks: list[int], query_key: str, label: str, vector: str, dataset: str, seed: int) -> DataFrame:
-    """(dataset, k, n, top1, balanced): each dataset's vectors against its own prototypes, among k classes."""
+    """(dataset, k, n, top1, top5, balanced, auroc, f1_macro, f1_weighted): each dataset's vectors against its own prototypes, among k classes, the own one and
+    seeded others. The last three are those of the choice among all classes, the row of the largest k as well, null in the others.
+    Scores are made and written once; all ks are one ranking and one aggregate."""
     protos = retrieval.class_prototypes(queries, label, vector, by=[dataset]).withColumnRenamed(label, "class")
-    sims = retrieval.similarity_join(queries, protos, vector, "vec", on=[dataset])
-    from pyspark.sql import Window
-
-    from ..functions.rnd import md5_key
-
+    sims = retrieval.similarity_join(queries.select(query_key, dataset, label, vector), protos, vector, "vec", on=[dataset]).select(query_key, dataset, label, "class", "sim")
     own = F.col("class") == F.col(label)
     order = F.row_number().over(Window.partitionBy(query_key).orderBy(own.desc(), md5_key(seed, query_key, "class")))
-    ranked = sims.withColumn("_m", order).select(query_key, dataset, label, "class", "sim", "_m")
-    out = None
-    for k in ks:
-        w = Window.partitionBy(query_key).orderBy(F.col("sim").desc(), "class")
-        hit = ranked.where(F.col("_m") <= k).withColumn("rank", F.row_number().over(w)).where(own)
-        per = hit.groupBy(dataset, label).agg(F.count("*").alias("n"), F.sum((F.col("rank") == 1).cast("long")).alias("c"))
-        part = per.groupBy(dataset).agg(F.lit(k).alias("k"), F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("top1"), F.avg(F.col("c") / F.col("n")).alias("balanced"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    told = saved(sims.withColumn("_m", order), "scores")
+    each = told.withColumn("k", F.explode(F.filter(F.array(*(F.lit(k) for k in ks)), lambda k: k >= F.col("_m"))))
+    w = Window.partitionBy("k", query_key).orderBy(F.col("sim").desc(), "class")
+    hit = each.withColumn("rank", F.row_number().over(w)).where(own)
+    per = hit.groupBy(dataset, "k", label).agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("c"), F.count_if(F.col("rank") <= 5).alias("c5"))
+    rates = per.groupBy(dataset, "k").agg(F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("top1"), (F.sum("c5") / F.sum("n")).alias("top5"), F.avg(F.col("c") / F.col("n")).alias("balanced"))
+    area = metrics.auroc_by(told, [dataset, "class"], own, F.round("sim", 9)).groupBy(dataset).agg(F.avg("auroc").alias("auroc"))
+    best = told.groupBy(dataset, query_key, label).agg(F.max_by("class", F.struct("sim", -F.col("class"))).alias("predicted"))
+    f1 = metrics.f1_by(best, dataset, label, "predicted")
+    whole = small(saved(area.join(f1.hint("merge"), dataset).withColumn("k", F.lit(max(ks))), "whole"))
+    return rates.join(whole, [dataset, "k"], "left")
 
 
 @query("c2_build_prototypes", f"""WITH {_PROTO}, f AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label)
@@ -66,8 +67,14 @@ p AS (SELECT dataset, label, pos, avg(v) AS m FROM (SELECT dataset, label, unnes
 g AS (SELECT dataset, label AS class, list(m ORDER BY pos) AS vec FROM p GROUP BY dataset, label),
 s AS (SELECT e.dataset, vec_id, label, class, list_cosine_similarity(embedding::DOUBLE[], vec) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY (class = label)::INT DESC, md5(concat_ws('|', '17', vec_id, class))) AS m FROM e JOIN g ON e.dataset = g.dataset),
 r AS (SELECT k, dataset, vec_id, label, class, row_number() OVER (PARTITION BY k, vec_id ORDER BY sim DESC, class) AS r FROM s, (VALUES (2), (4), (10)) v(k) WHERE m <= k),
-a AS (SELECT k, dataset, label, count(*) AS n, sum((r = 1)::INT) AS c FROM r WHERE class = label GROUP BY ALL)
-SELECT dataset, k::INT AS k, sum(n)::BIGINT AS n, round(sum(c)::DOUBLE / sum(n), 6) AS top1, round(avg(c::DOUBLE / n), 6) AS balanced FROM a GROUP BY dataset, k""")
+a AS (SELECT k, dataset, label, count(*) AS n, sum((r = 1)::INT) AS c, sum((r <= 5)::INT) AS c5 FROM r WHERE class = label GROUP BY ALL),
+u AS (SELECT dataset, class, (sum(CASE WHEN label = class THEN k ELSE 0 END) - count(*) FILTER (label = class) * (count(*) FILTER (label = class) + 1) / 2.0) / (count(*) FILTER (label = class) * count(*) FILTER (label <> class)) AS auc
+  FROM (SELECT *, rank() OVER (PARTITION BY dataset, class ORDER BY round(sim, 9)) + (count(*) OVER (PARTITION BY dataset, class, round(sim, 9)) - 1) / 2.0 AS k FROM s) GROUP BY ALL),
+b AS (SELECT dataset, vec_id, label, class FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, class) = 1),
+f AS (SELECT dataset, avg(2.0 * tp / (n + given)) AS f1_macro, sum(2.0 * tp / (n + given) * n) / sum(n) AS f1_weighted FROM (SELECT l.dataset, l.label, count(*) AS n, count(*) FILTER (l.class = l.label) AS tp, (SELECT count(*) FROM b WHERE b.dataset = l.dataset AND b.class = l.label) AS given FROM b l GROUP BY ALL) GROUP BY dataset),
+t AS (SELECT dataset, k::INT AS k, sum(n)::BIGINT AS n, round(sum(c)::DOUBLE / sum(n), 6) AS top1, round(sum(c5)::DOUBLE / sum(n), 6) AS top5, round(avg(c::DOUBLE / n), 6) AS balanced FROM a GROUP BY dataset, k)
+SELECT t.*, CASE WHEN k = 10 THEN (SELECT round(avg(auc), 6) FROM u WHERE u.dataset = t.dataset) END::DOUBLE AS auroc, CASE WHEN k = 10 THEN round(f1_macro, 6) END AS f1_macro, CASE WHEN k = 10 THEN round(f1_weighted, 6) END AS f1_weighted FROM t JOIN f USING (dataset)""")
 def _(t):
     e = t.embeddings.withColumn("dataset", F.col("vec_id") % 3)
-    return retrieval_report(e, [2, 4, 10], "vec_id", "label", "embedding", "dataset", 17).withColumn("top1", R("top1")).withColumn("balanced", R("balanced"))
+    out = retrieval_report(e, [2, 4, 10], "vec_id", "label", "embedding", "dataset", 17)
+    return out.select("dataset", "k", "n", *(R(c).alias(c) for c in ("top1", "top5", "balanced", "auroc", "f1_macro", "f1_weighted")))

@@ -108,7 +108,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def join_annotations(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
-    return recordings.join(annotations, "rec_id")
+    return recordings.join(annotations.hint("merge"), "rec_id")
 
 
 def image_catalogue(files: DataFrame, classes: list[int] | None = None, pictures: list[int] | None = None) -> DataFrame:
