@@ -6,12 +6,13 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from ..sources import store
+from ..sources import ranges, store
 from ..sources.shared import saved, shared_folder
 from . import pipelines
 from .pipelines import Harmonise
@@ -253,3 +254,44 @@ def _(t):
     df = t.events.select(F.col("event_type").alias("dataset"), (F.col("user_id") % 2).alias("label"), (F.col("value") > 10).cast("int").alias("predicted"), (F.col("value") + 10 * (F.col("user_id") % 2)).alias("score"))
     made = pipelines.metric_report(df, {"click": ["accuracy", "balanced_accuracy"], "view": ["accuracy", "roc_auc"]})
     return made.withColumn("value", R("value"))
+
+
+@query("s10_npz_ranges", "SELECT vec_id, pos::INT AS pos, round(x::DOUBLE, 6) + 0.0 AS v, n::BIGINT AS n FROM (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding) AS x FROM embeddings), (SELECT count(*) AS n FROM embeddings)")
+def _(t):
+    """Vectors written as archives and read by ranges of a few rows; ids and vectors are members of their own, met by row."""
+    at = shared_folder(t.spark, "npz")
+    n = ranges.write_npz(t.embeddings, at, ["vec_id", "embedding"], 150)
+    read = saved(ranges.arrays(ranges.files(t.spark, at, "*.npz"), 50, 4096, 16), "arrays")
+    ids = read.where("member = 'vec_id'").select("path", "start", F.posexplode("values").alias("i", "id")).select("path", (F.col("start") + F.col("i")).alias("row"), F.col("id").cast("long").alias("vec_id"))
+    parts = read.where("member = 'embedding'").select("path", "row", "start", "values")
+    long = parts.join(ids.hint("merge"), ["path", "row"]).select("vec_id", "start", F.posexplode("values").alias("i", "x"))
+    return long.select("vec_id", (F.col("start") + F.col("i")).cast("int").alias("pos"), (F.round("x", 6) + 0.0).alias("v"), F.lit(n).cast("long").alias("n"))
+
+
+@query("h5_recording_ranges", f"WITH {_X}, s AS (SELECT vec_id // 100 AS rec, c, row_number() OVER (PARTITION BY vec_id // 100, c ORDER BY vec_id, i) - 1 AS k, x FROM x) SELECT rec::VARCHAR AS rec_id, c::INT AS channel, (k // 100)::BIGINT AS chunk, count(*)::BIGINT AS n, round(sum(x), 6) + 0.0 AS v, round(sum(x * (k % 100)), 5) + 0.0 AS w FROM s GROUP BY ALL")
+def _(t):
+    """Recordings of 100 vectors each, written one file a recording, and read through a describing and a reading function; a
+    chunk of 100 samples reaches over several vectors."""
+    at = shared_folder(t.spark, "recordings")
+    _signal(t).select(F.floor(F.col("vec_id") / 100).alias("rec"), "vec_id", "signal").groupBy("rec").applyInArrow(lambda key, rows: _interleaved(at, key, rows), "rec long").count()
+
+    def describe(f, path):
+        n = f.size() // 32
+        yield {"rec_id": path.rsplit("/", 1)[1].removesuffix(".raw"), "ch_names": ["a", "b", "c", "d"], "fs": 16.0, "n": n}
+
+    def read(f, d, start, stop):
+        f.seek(32 * start)
+        return np.frombuffer(f.read(32 * (stop - start)), "<f8").reshape(-1, 4).T
+
+    chunks = ranges.recordings(ranges.files(t.spark, at, "*.raw"), describe, read, 100, 3, 16)
+    long = chunks.select("rec_id", "chunk", F.posexplode("signal").alias("channel", "ch")).select("rec_id", "chunk", "channel", F.posexplode("ch").alias("k", "x"))
+    return long.groupBy("rec_id", "channel", "chunk").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 6) + 0.0).alias("v"), (F.round(F.sum(F.col("x") * F.col("k")), 5) + 0.0).alias("w"))
+
+
+def _interleaved(folder: str, key: tuple, rows: pa.Table) -> pa.Table:
+    """A recording of the query's own as a file of doubles, all channels of a sample together, vectors by id."""
+    system, at = ranges.located(folder)
+    signal = np.concatenate([np.array(s) for s in rows.sort_by("vec_id")["signal"].to_pylist()], 1)
+    with system.open_output_stream(f"{at}/{key[0].as_py()}.raw") as out:
+        out.write(signal.T.astype("<f8").tobytes())
+    return pa.table({"rec": pa.array([key[0].as_py()], pa.int64())})

@@ -7,6 +7,7 @@ the driver nor a task ever holds a file. A file or part that fails is a row with
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import struct
@@ -17,6 +18,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,13 +31,19 @@ Plan = Callable[[pa.NativeFile, str, int], Iterator[dict]]
 Read = Callable[[pa.NativeFile, str, dict], Iterator[list[tuple]]]
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file, as Spark names it, for reading at any place."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there."""
     at = urlparse(path)
     if at.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(path.removeprefix("file:") if at.scheme else path)
+        return fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
     system, root = fs.FileSystem.from_uri(f"{at.scheme}://{at.netloc}/")
-    return system.open_input_file(root.rstrip("/") + path.split(at.netloc, 1)[1] if at.netloc else at.path)
+    return system, root.rstrip("/") + path.split(at.netloc, 1)[1] if at.netloc else at.path
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file for reading at any place."""
+    system, at = located(path)
+    return system.open_input_file(at)
 
 
 def files(spark: SparkSession, root: str, pattern: str, streaming: bool = False, per_batch: int = 1000) -> DataFrame:
@@ -219,6 +227,50 @@ def arrays(found: DataFrame, piece: int = PIECE, part_bytes: int = PART_BYTES, t
     return by_ranges(found, plan_arrays(piece, part_bytes), read_arrays(piece), "member string, shape array<long>, row long, start long, values array<double>", tasks)
 
 
+def write_npz(df: DataFrame, folder: str, columns: list[str], rows_per_file: int = 10_000) -> int:
+    """Writes number and array columns of df as .npz files of at most rows_per_file rows, one member a column, and returns the rows
+    written. A file is named by its task and place and appears whole, so a task that runs again writes its files again. Nulls and arrays of
+    unlike lengths in a file are errors; an empty table has no files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = located(folder)
+        task, place, held = TaskContext.get().partitionId(), 0, []
+
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal place
+            members = {}
+            for name in columns:
+                c = rows[name].combine_chunks()
+                if c.null_count:
+                    raise ValueError(f"{name}: null in a column for numbers")
+                members[name] = np.array(c.to_pylist())
+                if members[name].dtype.kind not in "biuf":
+                    raise ValueError(f"{name}: arrays of unlike lengths, or no numbers")
+            name = f"{at.rstrip('/')}/part-{task:06d}-{place:06d}.npz"
+            with system.open_output_stream(name + ".partial") as out:
+                whole = io.BytesIO()
+                np.savez(whole, **members)
+                out.write(whole.getbuffer())
+            system.move(name + ".partial", name)
+            place += 1
+            return pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], ["n"])
+
+        for batch in batches:
+            held.append(batch)
+            whole = pa.Table.from_batches(held)
+            while whole.num_rows >= rows_per_file:
+                yield flush(whole.slice(0, rows_per_file))
+                whole = whole.slice(rows_per_file)
+            held = whole.to_batches()
+        if sum(b.num_rows for b in held):
+            yield flush(pa.Table.from_batches(held))
+
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return df.select(*columns).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def array_chunks(read: DataFrame, size: int, member: str = "signal") -> DataFrame:
     """Chunk rows (rec_id, chunk, n, signal) for operators.longsignal of the channels x time arrays of that name: rec_id is the
     path. Pieces that reach over a chunk's end are cut there, so size is free. A group is a chunk; rows with error are left out."""

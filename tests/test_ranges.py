@@ -139,3 +139,17 @@ def test_recordings_of_any_format(spark, tmp_path):
     for name, x in want.items():
         own = sorted((r for r in rows if r.rec_id == f"{name}.raw"), key=lambda r: r.chunk)
         assert [r.chunk for r in own] == list(range(-(-x.shape[1] // 64))) and np.array_equal(np.concatenate([np.array(r.signal) for r in own], 1), x)
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 3).select("id", F.array(F.col("id") * 0.5, F.lit(1.0)).alias("x"), F.lit("no").alias("word"))
+    at = str(tmp_path / "out")
+    assert ranges.write_npz(df, at, ["id", "x"], 150) == 1000
+    files = sorted((tmp_path / "out").glob("*"))
+    assert all(f.suffix == ".npz" for f in files) and len(files) == 9
+    ids = np.concatenate([np.load(f)["id"] for f in files])
+    assert sorted(ids) == list(range(1000)) and all(np.array_equal(np.load(f)["x"][:, 0], np.load(f)["id"] / 2) for f in files)
+    assert ranges.write_npz(df.limit(0), str(tmp_path / "none"), ["id"]) == 0
+    for bad in (["word"], ["gap"]):
+        with pytest.raises(Exception, match="null|numbers"):
+            ranges.write_npz(df.withColumn("gap", F.when(F.col("id") > 5, 1)), str(tmp_path / "bad"), bad)
