@@ -63,6 +63,17 @@ def _(t):
     return t.spark.read.parquet(at).groupBy("dataset", "split").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
+@query("s5_stored_rows", f"SELECT (SELECT count(*) FROM embeddings)::BIGINT AS appended, (SELECT count(*) FROM ({_STORED}) WHERE dataset <> 'd2' AND NOT (dataset = 'd0' AND split = 'test'))::BIGINT AS kept")
+def _(t):
+    """The log's totals after two appends, and after two partitions were dropped."""
+    at = shared_folder(t.spark, "samples")
+    for odd in (0, 1):
+        appended = store.append_samples(_samples(t).where(F.pmod("vec_id", F.lit(2)) == odd), at, 4, 16)
+    store.drop_partition(t.spark, at, "d2")
+    store.drop_partition(t.spark, at, "d0", "test")
+    return t.embeddings.limit(1).select(F.lit(appended).cast("long").alias("appended"), F.lit(store.stored_rows(t.spark, at)).cast("long").alias("kept"))
+
+
 @query("s9_list_files", "SELECT '.parquet' AS kind, count(DISTINCT label)::BIGINT AS folders, true AS some_bytes FROM embeddings")
 def _(t):
     """Files of a table written by label, listed without their contents."""

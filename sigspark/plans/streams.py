@@ -174,8 +174,26 @@ def _batches(t: Tables, out: DataFrame, mode: str) -> DataFrame:
 @query("z7_stream_liveness", "SELECT user_id, max(ts) AS last_seen, max(ts) + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS expired FROM events GROUP BY user_id")
 def _(t):
     """A user expires when the watermark has passed the last time seen by a day."""
-    seen = _batches(t, jobs.liveness(_events(t).select("user_id", "ts"), "user_id", "ts", 86400, "10 minutes"), "update")
-    return seen.groupBy("user_id").agg(F.max("last_seen").cast("timestamp_ntz").alias("last_seen"), F.bool_or(~F.col("alive")).alias("expired"))
+    rows = _append(t, jobs.liveness(_events(t).select("user_id", "ts"), "user_id", "ts", 86400, "10 minutes"))
+    return jobs.latest(rows, "user_id").select("user_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), (~F.col("alive")).alias("expired"))
+
+
+@query("z7_stream_spells", """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+s AS (SELECT user_id, ts, sum((b IS NULL OR ts > b + INTERVAL 6 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, b NULLS FIRST ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*)::BIGINT AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def _(t):
+    """Users seen, expired after six hours and seen again: each stretch that has ended."""
+    out = _append(t, jobs.spells(_events(t).select("user_id", "ts"), "user_id", "ts", 6 * 3600, "10 minutes"))
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")), "n")
+
+
+@query("z2_ingest_totals", "SELECT count(*) FILTER (value >= 1)::BIGINT AS rows, count(*) FILTER (value < 1 OR value IS NULL)::BIGINT AS bad_rows FROM events")
+def _(t):
+    """Rows counted as the micro-batches were written."""
+    at = shared_folder(t.spark, "stream")
+    ok = F.coalesce(F.col("value") >= 1, F.lit(False))
+    jobs.ingest(_events(t), f"{at}/store", f"{at}/state", lambda b: (b.where(ok), b.where(~ok)), f"{at}/bad").awaitTermination()
+    return jobs.ingested(t.spark, f"{at}/store").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"))
 
 
 @query("z8_stream_totals", f"SELECT CASE WHEN {hashed(42, 'event_id')} < 0.9 THEN 'train' ELSE 'test' END AS split, count(*)::BIGINT AS n FROM events GROUP BY 1")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_underscore, stem
@@ -25,16 +25,58 @@ def checked_samples(df: DataFrame, channels: int, length: int, spare: int = 1) -
     return df.withColumn("eeg", eeg).withColumn("caption", F.left(F.coalesce("caption", F.lit("")), F.lit(192)))
 
 
-def append_samples(df: DataFrame, path: str, channels: int, length: int) -> None:
-    """Appends to the store, partitioned by dataset and split; Spark's committer makes each append whole or absent."""
-    checked_samples(df, channels, length).write.mode("append").partitionBy("dataset", "split").parquet(path)
+def _holds(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder with anything but hidden files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(at) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(at))
+
+
+def _totals(spark: SparkSession, path: str) -> int | None:
+    at = f"{path}/_totals"
+    return spark.read.schema("rows long, what string").json(at).agg(F.sum("rows")).first()[0] if _holds(spark, at) else None
+
+
+def _note(spark: SparkSession, path: str, rows: int, what: str) -> None:
+    spark.createDataFrame([(rows, what)], "rows long, what string").coalesce(1).write.mode("append").json(f"{path}/_totals")
+
+
+def _counted(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).count() if _holds(spark, path) else 0
+
+
+def stored_rows(spark: SparkSession, path: str, recount: bool = False) -> int:
+    """Rows of a store by its log of totals, which every append and drop writes a line to; the data are not read. A store without a log,
+    or recount, is counted once and noted: so after a driver was lost between an append and its line."""
+    known = _totals(spark, path)
+    if known is None or recount:
+        found = _counted(spark, path)
+        if found != (known or 0):
+            _note(spark, path, found - (known or 0), "counted")
+        return found
+    return known
+
+
+def _append(df: DataFrame, path: str, by: list[str]) -> int:
+    """Rows are counted in the tasks that write them."""
+    before = stored_rows(df.sparkSession, path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*by).parquet(path)
+    _note(df.sparkSession, path, seen.get["n"], "appended")
+    return before + seen.get["n"]
+
+
+def append_samples(df: DataFrame, path: str, channels: int, length: int) -> int:
+    """Appends to the store, partitioned by dataset and split; Spark's committer makes each append whole or absent. Returns the rows
+    that it then holds."""
+    return _append(checked_samples(df, channels, length), path, ["dataset", "split"])
 
 
 def append_epochs(df: DataFrame, path: str, channels: int = 32, length: int = 513) -> int:
     """Appends epochs of exactly channels x length to the older store, partitioned by dataset, in half precision. Returns the
     rows that it then holds."""
-    dsp.cast_half(checked_samples(df.withColumn("caption", F.lit("")), channels, length, 0).drop("caption"), "eeg").write.mode("append").partitionBy("dataset").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    half = dsp.cast_half(checked_samples(df.withColumn("caption", F.lit("")), channels, length, 0).drop("caption"), "eeg")
+    return _append(half, path, ["dataset"])
 
 
 def read_samples(spark: SparkSession, path: str, mode: str, datasets: list[str] | str = "all", exclude: list[str] = (), limit: int | None = None) -> DataFrame:
@@ -58,6 +100,8 @@ def drop_partition(spark: SparkSession, path: str, dataset: str, split: str | No
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(target):
         raise ValueError(f"no such partition: {target}")
+    if _totals(spark, path) is not None:  # counted from the footers of the partition alone
+        _note(spark, path, -_counted(spark, target.toString()), "dropped")
     fs.delete(target, True)
 
 

@@ -127,7 +127,7 @@ def test_streams(spark, tmp_path):
     twin = batch.groupBy("k", F.window("ts", "10 seconds").alias("w")).agg(F.count("*").alias("n")).collect()
     got = {(r.k, r.start): r.n for r in spark.table("w").collect()}
     assert got and all(got[(r.k, r.w.start)] == r.n for r in twin if (r.k, r.w.start) in got)
-    live = jobs.liveness(jobs.read_files(spark, str(tmp_path / "in"), batch.schema, per_batch=100), "k", "ts", 1).writeStream.format("memory").queryName("live").outputMode("update").trigger(availableNow=True).start()
+    live = jobs.liveness(jobs.read_files(spark, str(tmp_path / "in"), batch.schema, per_batch=100), "k", "ts", 1).writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).start()
     live.awaitTermination(120)
     assert {r.k for r in spark.table("live").where("alive").collect()} == {0, 1}
 
@@ -225,8 +225,10 @@ def test_flush_size_and_expiry(spark, tmp_path):
     sizes = sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "store")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
     assert sizes == [100, 300, 300, 300]
     out = jobs.liveness(stream().select("user", "ts"), "user", "ts", 600, "10 seconds")
-    out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/live/b{i}")).outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/live/b{i}")).outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/live/*").collect()
+    assert {(r.user, r.alive) for r in jobs.latest(spark.read.schema(out.schema).parquet(f"{tmp_path}/live/*"), "user").collect()} == {*((u, False) for u in range(5)), *((u, True) for u in range(10, 15))}
+    assert "Python" not in out._jdf.queryExecution().analyzed().toString()
     assert {r.user for r in rows if not r.alive} == set(range(5)) and {r.user for r in rows if r.alive} == {*range(5), *range(10, 15)}
 
 
@@ -238,3 +240,51 @@ def test_log_goes_on(spark):
     first = store.append_log(df, None, "time")
     again = store.append_log(df, first, "time").orderBy("time").collect()
     assert [r.idx for r in again] == list(range(50, 100))
+
+
+def test_totals_without_scans(spark, tmp_path):
+    path = str(tmp_path / "store")
+    samples(spark, "old", "train", 4).write.partitionBy("dataset", "split").parquet(path)  # a store older than its log
+    assert store.append_samples(samples(spark, "a", "train", 5, 5), path, 2, 4) == 9
+    assert store.append_samples(samples(spark, "a", "test", 0), path, 2, 4) == 9
+    with pytest.raises(Exception, match="wrong shape"):
+        store.append_samples(samples(spark, "c", "train", 1, 9), path, 2, 4)
+    assert store.stored_rows(spark, path) == 9 == spark.read.parquet(path).count()
+    store.drop_partition(spark, path, "old")
+    assert store.stored_rows(spark, path) == 5 and store.read_samples(spark, path, "train").count() == 5
+    checked = samples(spark, "b", "train", 2)
+    checked.write.mode("append").partitionBy("dataset", "split").parquet(path)  # rows that no line tells of
+    assert store.stored_rows(spark, path) == 5 and store.stored_rows(spark, path, recount=True) == 7 == store.stored_rows(spark, path)
+    assert store.stored_rows(spark, str(tmp_path / "nowhere")) == 0
+
+
+def test_spells_seen_again_and_late(spark, tmp_path):
+    """Three files in turn: a key ends, is seen again, and a late row joins a stretch that is still open."""
+    src = tmp_path / "in"
+    at = lambda xs: spark.createDataFrame([(k, s) for k, s in xs], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    got = []
+    for i, xs in enumerate(([("a", 0), ("a", 5), ("b", 3)], [("a", 100), ("b", 97)], [("a", 93), ("c", 300), (None, 301)])):
+        at(xs).coalesce(1).write.mode("append").parquet(str(src))
+        stream = jobs.read_files(spark, str(src), at(xs).schema)
+        out = jobs.spells(stream, "k", "ts", 20, "10 seconds")
+        out.writeStream.foreachBatch(lambda b, j: got.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    told = sorted((r.k, int(r.first_seen.timestamp()), int(r.last_seen.timestamp()), r.n) for r in got)
+    assert told == [("a", 0, 5, 2), ("a", 93, 100, 2), ("b", 3, 3, 1), ("b", 97, 97, 1)]
+
+
+def test_store_audit(spark):
+    from sigspark.plans.reports import store_audit
+
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(8)]
+    rows = [(i, "thingEEG" if i < 4 else "x", [[float(i), 1.0, 2.0]], unit(i), "p" if i < 3 else "", unit(i)) for i in range(8)]
+    rows[5] = (5, "x", [[1.0, 1.0, 1.0]], [2.0 * v for v in unit(5)], "p", unit(6))  # flat, of norm 2, with a path, and not its own
+    rows += [(8, "x", None, unit(0), None, unit(0)), (9, "x", [[1.0]], [float("nan")], None, None), (10, None, [[1.0, 2.0]], unit(0), None, None), (11, "x", [[]], unit(0), "", None)]
+    df = spark.createDataFrame(rows, "k long, dataset string, eeg array<array<double>>, feature array<double>, image_path string, fresh array<double>")
+    got = {r.dataset: r.asDict() for r in store_audit(df, "k", "fresh", others=50).collect()}
+    assert got["thingEEG"] | {"mean": 0, "std": 0} == {"dataset": "thingEEG", "n": 4, "bad": 0, "mean": 0, "std": 0, "flat": 0, "off_norm": 0, "path_wrong": 1, "asked": 4, "not_own": 0}
+    x = got["x"]
+    assert (x["n"], x["bad"], x["flat"], x["off_norm"], x["path_wrong"], x["asked"], x["not_own"]) == (7, 3, 1, 1, 1, 4, 1)
+    values = np.array([[4, 1, 2], [1, 1, 1], [6, 1, 2], [7, 1, 2]], float)
+    assert abs(x["mean"] - values.mean()) < 1e-12 and abs(x["std"] - values.std()) < 1e-12
+    assert got[None]["asked"] == 0 and got[None]["n"] == 1
+    assert store_audit(df.limit(0), "k", "fresh").count() == 0 and store_audit(df, "k").columns == ["dataset", "n", "bad", "mean", "std", "flat", "off_norm", "path_wrong"]
