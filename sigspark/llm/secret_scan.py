@@ -34,38 +34,57 @@ ENDPOINT = (
 )
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 SCOPE = 400
+#: What a text must hold for a match of each pattern (null: nothing cheaper to look for than the pattern).
+HINTS = ["[:=]", "AKIA", None, r"@[A-Za-z0-9-]|[KS]IA[A-Z0-9]|[:=]", None, r"\.[a-z0-9]"]
+#: Matches of a text whose spans are made in one go.
+BLOCK = 64
 
 
-def found(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches of a pattern, and the pieces between them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def spans(matches: Column, pieces: Column, keep=None) -> Column:
-    """(start, end) code points of matches: each begins after all pieces and matches before it."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    """(start, end) code points of matches (one or more): each begins after all pieces and matches before it. Matches are taken BLOCK at a time: a
+    block's length gives where the next one starts, so the cost of growing lists stays with the blocks."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    told = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), (keep(m) if keep else F.lit(True)).alias("ok")))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (F.concat(acc["out"], F.when(keep(x["m"]), span).otherwise(F.array().cast("array<struct<start:int,end:int>>"))) if keep else F.concat(acc["out"], span)).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + x["len"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.when(x["ok"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)).alias("out"))
 
-    zipped = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    return F.aggregate(zipped, zero, add, lambda acc: acc["out"])
+    def block(x: Column, at: Column) -> Column:
+        return F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def ahead(acc: Column, x: Column) -> Column:
+        total = F.aggregate(x, F.lit(0), lambda n, v: n + v["gap"] + v["len"])
+        return F.struct((acc["at"] + total).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda blocks: F.aggregate(blocks, zero, ahead, lambda acc: acc["out"])
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(z) - 1) / BLOCK).cast("int"), F.lit(0))), lambda k: F.slice(z, k * BLOCK + 1, F.lit(BLOCK)))
+    return _once(told, lambda z: _once(cut(z), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), block))))
 
 
 def _long_value(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 2)) >= 6
 
 
+def _hinted(i: int) -> Column:
+    """The text, or null where it can hold no match of pattern i."""
+    return F.col("text") if HINTS[i] is None else F.when(F.col("text").rlike(HINTS[i]), F.col("text"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with key (a hash of the text) and base and weak: arrays of (kind, start, end), kind a
     number in KINDS."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select("doc_id", text.alias("text"))
     patterns = (ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT)
-    out = out.select("doc_id", "text", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate(patterns)))
+    out = out.select("doc_id", "text", *(F.regexp_extract_all(_hinted(i), F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate(patterns)))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     made = [F.when(F.size(f"m{i}") > 0, spans(F.col(f"m{i}"), F.split("text", p, -1), _long_value if i == 0 else None)).otherwise(empty).alias(f"s{i}") for i, p in enumerate(patterns)]
     out = out.select("doc_id", F.xxhash64("text").alias("key"), *made)

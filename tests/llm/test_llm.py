@@ -615,3 +615,20 @@ def test_pipeline(spark, tmp_path):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_many_secrets_and_hints(spark):
+    """Spans of many matches over several blocks, and texts that hold a pattern's rarest signs only, against re."""
+    import re
+
+    from sigspark.llm import secret_scan as S
+
+    texts = ["token=abcdefgh " * n for n in (1, 63, 64, 65, 129, 1000)]
+    texts += ["ä x@-a.com y", "AKIA" + "B" * 16, "see a.-b.com", "1.2.3.4", "ASIA12345678", "user : bob", "no sign", "", "f" * 24 + " " + "0" * 23, "password: é12345 secret=short api-key"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.scan(df).collect()}
+    for i, x in enumerate(texts):
+        for j, (name, p) in enumerate([("base", S.ASSIGN), ("base", S.ACCESS), ("base", S.HEX), ("weak", S.WEAK_ID), ("weak", S.WEAK_SECRET), ("weak", S.ENDPOINT)]):
+            own = re.compile(re.sub(r"\(\?i\)([^()]*)", r"(?i:\1)", p) if j == 0 else p, re.ASCII)
+            want = [m.span() for m in own.finditer(x) if j or len(m.group(2)) >= 6]
+            assert [(s.start, s.end) for s in got[i][name] if s.kind == j] == want, (x[:40], j)
