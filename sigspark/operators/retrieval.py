@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from .ordered import small
 
 #: Galleries up to this many rows are broadcast whole; larger ones are scored in blocks.
 BROADCAST_ROWS = 20_000
+#: Galleries beyond this many rows are scored in blocks by nearest(): there the products cost less than rows a pair.
+NEAREST_ROWS = 1_000
+#: Values of vectors in a block, and pairs (or products) that a task holds at once.
+BLOCK, PAIRS = 1 << 19, 1 << 18
 
 
 def class_prototypes(df: DataFrame, label: str = "label", vector: str = "embedding", normalize: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -31,8 +36,8 @@ def similarity_join(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str
     both differ in length. Null keys match nothing. Both methods give the same rows.
 
     broadcast: one copy of the gallery at every executor, for galleries of at most BROADCAST_ROWS (checked by auto).
-    blocked: gallery rows are gathered into chunks of a few thousand and each query chunk meets each gallery chunk
-    as one matrix product; no side is broadcast. For the best k use nearest(), which never makes all pairs' rows.
+    blocked: rows of both sides are gathered into chunks and each query chunk meets each gallery chunk; no side is
+    broadcast. For the best k use nearest(), which never makes all pairs' rows.
     """
     if method == "auto":
         method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
@@ -44,55 +49,122 @@ def similarity_join(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str
     return _blocked(queries, gallery, qvec, gvec, on or [])
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Where a row's value is among its k largest, or ties with the last of them."""
-    if k >= score.shape[1]:
-        return np.ones(score.shape, bool)
-    return score >= np.partition(score, -k, axis=1)[:, -k, None] - 1e-9
-
-
-def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], keep: Callable[[np.ndarray, pa.StructArray], np.ndarray] | None = None, rows: int = 2048) -> DataFrame:
-    """Pairs by blocks; with keep, those it picks of a block's scores (NaN above all, unknown ones -inf) and gallery rows."""
-    n = [max(1, -(-df.count() // rows)) for df in (queries, gallery)]
-
-    def side(df: DataFrame, mine: str, its: int, other: str, others: int) -> DataFrame:
+def _vectors(column: pa.Array) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """Unit rows of the vectors of each length that have all their values, every vector's length (-1 for the rest) and place among those of its length.
+    Sums are taken in order, as Spark takes them, so that equal vectors have equal cosines in every block and by both methods."""
+    flat = column.flatten()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = size.cumsum()
+    holes = np.concatenate([[0], flat.is_null().to_numpy(zero_copy_only=False).cumsum()])
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False) & (holes[ends] == holes[ends - size]), size, -1)
+    values = pc.fill_null(flat.cast(pa.float64(), safe=False), 0.0).to_numpy(zero_copy_only=False)
+    units, place = {}, np.zeros(len(column), np.int64)
+    for width in np.unique(length[length >= 0]).tolist():
+        at = np.flatnonzero(length == width)
+        x = np.empty((len(at), width))
+        for k in range(0, len(at), 1024):
+            v = values[(ends[at[k : k + 1024]] - width)[:, None] + np.arange(width)]
+            x[k : k + 1024] = v / np.maximum(np.sqrt((v * v).cumsum(1)[:, -1:].sum(1, keepdims=True)), 1e-12)
+        units[width], place[at] = x, np.arange(len(at))
+    return units, length, place
+
+
+def _firsts(units: dict[int, np.ndarray], length: np.ndarray, place: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of rows at, in order, the first k of each vector: no later copy is among a query's k best."""
+    kept = [at[length[at] < 0][:k]]
+    for width, x in units.items():
+        mine = at[length[at] == width]
+        bits = np.ascontiguousarray(x[place[mine]]).view(np.uint64)
+        with np.errstate(over="ignore"):
+            mark = (bits * (2 * np.arange(width, dtype=np.uint64) + 1) ** 5).sum(1, dtype=np.uint64)
+        order = np.argsort(mark, kind="stable")
+        new = np.ones(len(order), bool)  # rows of one mark and other bits are not copies
+        new[1:] = (mark[order][1:] != mark[order][:-1]) | (bits[order][1:] != bits[order][:-1]).any(1)
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        kept.append(mine[order[nth < k]])
+    return np.sort(np.concatenate(kept))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of unit rows, each summed in order."""
+    out, step = np.zeros(len(i)), max(1, PAIRS // max(1, x.shape[1]))
+    for k in range(0, len(i) if x.shape[1] else 0, step):
+        at = slice(k, k + step)
+        out[at] = (x[i[at]] * y[j[at]]).cumsum(1)[:, -1]
+    return out
+
+
+def _scores(q: pa.Array, g: pa.Array, keep: list[tuple[np.ndarray, int]] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine, whether it is known) of all pairs of two blocks' vectors, or of the k best of each query among each set of gallery rows in keep, ties
+    by their order: as Spark orders, NaN above all and unknown ones last. No more than PAIRS scores are held at once."""
+    (x, nx, px), (y, ny, py) = _vectors(q), _vectors(g)
+    found = []
+    for columns, k in keep or [(np.arange(len(g)), len(g))]:
+        if k < len(columns):
+            columns = _firsts(y, ny, py, columns, k)
+        step = max(1, PAIRS // max(1, len(columns)))
+        sides = {width: (at := np.flatnonzero(ny[columns] == width), y[width][py[columns[at]]].T) for width in x.keys() & y.keys()} if k < len(columns) else {}
+        for start in range(0, len(q), step):
+            rows = np.arange(start, min(start + step, len(q)))
+            if k < len(columns):  # products of matrices tell which pairs come into question
+                s = np.full((len(rows), len(columns)), -np.inf)
+                for width, (at, m) in sides.items():
+                    mine = np.flatnonzero(nx[rows] == width)
+                    product = x[width][px[rows[mine]]] @ m
+                    if np.isnan(product.sum()):
+                        product[np.isnan(product)] = np.inf
+                    if product.shape == s.shape:
+                        s = product
+                    else:
+                        s[np.ix_(mine, at)] = product
+                i, j = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k, None] - 1e-9)
+            else:
+                i, j = np.indices((len(rows), len(columns))).reshape(2, -1)
+            width = nx[rows[i]]
+            known, s = (width == ny[columns[j]]) & (width >= 0), np.full(len(i), -np.inf)
+            for w in np.unique(width[known]).tolist():
+                at = np.flatnonzero(known & (width == w))
+                s[at] = _cosines(x[w], y[w], px[rows[i[at]]], py[columns[j[at]]])
+            if k < len(columns):
+                order = np.lexsort((j, np.where(np.isnan(s), -np.inf, -s), i))
+                best = order[np.arange(len(order)) - np.searchsorted(i, np.arange(len(rows)))[i[order]] < k]
+                i, j, s, known = i[best], j[best], s[best], known[best]
+            found.append((rows[i], columns[j], s, known))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _blocked(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, on: list[str], keep: Callable[[pa.StructArray], list[tuple[np.ndarray, int]]] | None = None, tie: list[str] | None = None, most: int = 1, rows: int | None = None) -> DataFrame:
+    """Pairs by blocks, each a matrix product in slices; with keep, a query's best among the sets of gallery rows that it tells, most in all, ties by the tie
+    columns. A block has about BLOCK values of vectors and returns four times as many, so a task's memory does not depend on the tables' size."""
+    told = [df.agg(F.count("*").alias("n"), F.max(F.size(v)).alias("width")).first() for df, v in ((queries, qvec), (gallery, gvec))]
+    width = max(1, *(t["width"] or 1 for t in told))
+    returned = max(256, min(PAIRS // 4, 4 * BLOCK // width))
+    its = rows or (max(16, min(8192, BLOCK // width)) if keep else int(returned**0.5))
+    mine = rows or (max(1, min(its, returned // max(1, most))) if keep else its)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = [max(1, -(-t["n"] // size)) for t, size in zip(told, (mine, its))]
+    n[0] = max(n[0], min(-(-told[0]["n"] // 1024), -(-tasks // n[1])))
+
+    def side(df: DataFrame, mine: str, its: int, other: str, others: int, order: list[str]) -> DataFrame:
         row = F.struct(*df.columns)
         known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in on), F.lit(True))
-        chunked = df.where(known).select(*on, row.alias("row"), F.pmod(F.xxhash64(row), F.lit(its)).cast("int").alias(mine))
-        return chunked.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        chunked = df.where(known).withColumn(mine, F.pmod(F.xxhash64(row), F.lit(its)).cast("int"))
+        place = F.row_number().over(Window.partitionBy(*on, mine).orderBy(*order)) if order else F.lit(0)
+        return chunked.select(*on, row.alias("row"), mine, place.alias("place")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    left = side(queries, "i", n[0], "j", n[1]).withColumnRenamed("row", "q")
-    right = side(gallery, "j", n[1], "i", n[0]).withColumnRenamed("row", "g")
     keys = [*on, "i", "j"]
+    parts = max(tasks, min(n[0] * n[1], 2000))  # fixed, as blocks take time by their pairs, not by their bytes
+    left = side(queries, "i", n[0], "j", n[1], []).drop("place").withColumnRenamed("row", "q").repartition(parts, *keys)
+    right = side(gallery, "j", n[1], "i", n[0], [c for c in tie or [] if c in gallery.columns]).withColumnRenamed("row", "g").repartition(parts, *keys)
     q_type, g_type = left.schema["q"].dataType.simpleString(), right.schema["g"].dataType.simpleString()
 
-    def matrix(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """Unit rows of each vector that has all its values, and every vector's length (-1 for the rest)."""
-        out, length = [], np.full(len(column), -1)
-        for r, v in enumerate(column.to_pylist()):
-            if v is not None and None not in v:
-                x = np.array(v, np.float64)
-                out.append(x / max(float(np.linalg.norm(x)), 1e-12))
-                length[r] = len(v)
-            else:
-                out.append(np.zeros(0))
-        return out, length
-
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"q": a.column("q").slice(0, 0), "g": b.column("g").slice(0, 0), "sim": pa.array([], pa.float64())})
         qs, gs = a.column("q").combine_chunks(), b.column("g").combine_chunks()
-        if not len(qs) or not len(gs):
-            return pa.table({"q": qs.slice(0, 0), "g": gs.slice(0, 0), "sim": pa.array([], pa.float64())})
-        (x, nx), (y, ny) = matrix(qs.field(qvec)), matrix(gs.field(gvec))
-        s = np.full((len(qs), len(gs)), np.nan)
-        known = (nx[:, None] == ny) & (nx[:, None] >= 0)
-        for width in np.intersect1d(nx[nx >= 0], ny[ny >= 0]).tolist():
-            p, q = np.flatnonzero(nx == width), np.flatnonzero(ny == width)
-            s[np.ix_(p, q)] = np.stack([x[r] for r in p]) @ np.stack([y[r] for r in q]).T
-        picked = np.ones(s.shape, bool)
-        if keep is not None:
-            picked = keep(np.where(known, np.where(np.isnan(s), np.inf, s), -np.inf), gs)  # as Spark orders: NaN above all, null last
-        at = np.nonzero(picked)
-        return pa.table({"q": qs.take(pa.array(at[0])), "g": gs.take(pa.array(at[1])), "sim": pa.array(s[at], mask=~known[at])})
+        gs = gs.take(pa.array(np.argsort(b.column("place").to_numpy(), kind="stable")))
+        i, j, s, known = _scores(qs.field(qvec), gs.field(gvec), keep and keep(gs))
+        return pa.table({"q": qs.take(pa.array(i)), "g": gs.take(pa.array(j)), "sim": pa.array(s, mask=~known)})
 
     out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"q {q_type}, g {g_type}, sim double")
     return out.select("q.*", *(F.col(f"g.{c}") for c in gallery.columns if c not in on), "sim")
@@ -105,13 +177,13 @@ def topk(scored: DataFrame, query: list[str], k: int | Column, tie: list[str]) -
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, qvec: str, gvec: str, k: int, query: list[str], tie: list[str], on: list[str] | None = None, method: str = "auto") -> DataFrame:
-    """topk() of similarity_join(). Beyond BROADCAST_ROWS gallery rows each block keeps its k best of every query, so what is
-    ranked is k rows a block, not all pairs."""
+    """topk() of similarity_join(). Beyond NEAREST_ROWS gallery rows each block keeps its k best of every query, copies or not, so what
+    is ranked is k rows a block, not all pairs."""
     if method == "auto":
-        method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
+        method = "broadcast" if gallery.limit(NEAREST_ROWS + 1).count() <= NEAREST_ROWS else "blocked"
     if method == "broadcast":
         return topk(similarity_join(queries, gallery, qvec, gvec, on, method), query, k, tie)
-    return topk(_blocked(queries, gallery, qvec, gvec, on or [], lambda s, _: _best(s, k)), query, k, tie)
+    return topk(_blocked(queries, gallery, qvec, gvec, on or [], lambda rows: [(np.arange(len(rows)), k)], tie, k), query, k, tie)
 
 
 def topk_by_type(queries: DataFrame, gallery: DataFrame, only: str, k: int, qvec: str, gvec: str, query: list[str], type_col: str, tie: list[str]) -> DataFrame:
@@ -130,17 +202,13 @@ def topk_with_type_quota(queries: DataFrame, gallery: DataFrame, k: int, fill: s
     types = gallery.select(type_col).distinct().count()
     need = max(k, types) - types + 1
 
-    def keep(s: np.ndarray, rows: pa.StructArray) -> np.ndarray:
+    def keep(rows: pa.StructArray) -> list[tuple[np.ndarray, int]]:
         kinds = np.array([str(v) for v in rows.field(type_col).to_pylist()])
-        out = np.zeros(s.shape, bool)
-        for kind in np.unique(kinds):
-            at = np.flatnonzero(kinds == kind)
-            out[:, at] = _best(s[:, at], need if kind == str(fill) else 1)
-        return out
+        return [(np.flatnonzero(kinds == kind), need if kind == str(fill) else 1) for kind in np.unique(kinds)]
 
     if method == "auto":
         method = "broadcast" if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocked"
-    scored = similarity_join(queries, gallery, qvec, gvec, method=method) if method == "broadcast" else _blocked(queries, gallery, qvec, gvec, [], keep)
+    scored = similarity_join(queries, gallery, qvec, gvec, method=method) if method == "broadcast" else _blocked(queries, gallery, qvec, gvec, [], keep, tie, max(k, types))
     per_type = scored.withColumn("_t", F.row_number().over(Window.partitionBy(*query, type_col).orderBy(F.col("sim").desc(), *tie)))
     best = (F.col("_t") == 1).cast("int")
     fits = (F.col("_t") == 1) | ((F.col(type_col) == fill) & (F.col("_t") <= need))

@@ -282,6 +282,53 @@ def test_both_ways_of_similarity_agree(spark):
         assert best[0] == best[1]
 
 
+def test_blocks_keep_k_of_copies(spark, monkeypatch):
+    """Copies, multiples and unknown vectors tie: a block keeps k rows of a query, and ranks are those of one copy of the gallery."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 6))
+    vectors = [base[0]] * 150 + [base[1] * s for s in np.linspace(0.1, 3, 60)] + [base[2], base[3]] + [[float("nan")] * 6] * 5 + [None] * 20 + [[1.0, 2.0]] * 5
+    rng.shuffle(ids := list(range(len(vectors))))
+    g = spark.createDataFrame([(i, i % 3, None if v is None else list(map(float, v))) for i, v in zip(ids, vectors)], "g long, t int, w array<double>")
+    queries = [(i, (base[i % 4] + 0.01 * rng.normal(size=6)).tolist()) for i in range(40)] + [(90, None), (91, [float("nan")] * 6), (92, [3.0, 1.0]), (93, base[0].tolist())]
+    q = spark.createDataFrame(queries, "q long, v array<double>")
+    kept, blocked = [], retrieval._blocked
+
+    def spied(*a):
+        out = blocked(*a)
+        kept.append(out.count())
+        return out
+
+    def rows(df, *more):
+        return sorted((r.q, r.g, str(r.sim), *(r[c] for c in more)) for r in df.collect())
+
+    monkeypatch.setattr(retrieval, "_blocked", spied)
+    best = [rows(retrieval.nearest(q, g, "v", "w", 5, ["q"], ["g"], None, m), "rank") for m in ("broadcast", "blocked")]
+    quota = [rows(retrieval.topk_with_type_quota(q, g, 6, 1, "v", "w", ["q"], "t", ["g"], m), "part") for m in ("broadcast", "blocked")]
+    assert best[0] == best[1] and len(best[0]) == 44 * 5 and quota[0] == quota[1] and len(quota[0]) == 44 * 6
+    assert kept == [44 * 5, 44 * 6]
+    monkeypatch.setattr(retrieval, "_blocked", lambda *a: blocked(*a, rows=50))
+    assert rows(retrieval.nearest(q, g, "v", "w", 5, ["q"], ["g"], None, "blocked"), "rank") == best[0]
+
+
+def test_memory_of_blocks():
+    """Scores are held in slices, whatever the size of the blocks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8))
+    x[1000:] = x[:1] * np.linspace(1, 2, 2000)[:, None]
+    column = pa.array(x.tolist())
+    tracemalloc.start()
+    i, j, s, _ = retrieval._scores(column, column, [(np.arange(3000), 2)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == 6000 and most < 50e6  # all scores: 72 MB
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(np.sort(u @ u.T, axis=1)[:, :-3:-1], s.reshape(-1, 2))
+
+
 def test_seeded_ranks(spark):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(400)], "k long, g int")
     got = sampling.seeded_rank(df, ["g"], "k", 5).collect()
